@@ -3,9 +3,12 @@ r"""N-gram Jaccard join by parity sketches.
 A document's set is its distinct shingles of `k` words (fewer words: the whole sequence as one). Each shingle is hashed
 and toggles one bit of a sketch; the Hamming distance of two sketches is at most the symmetric difference of the sets.
 Sizes are cut into bands, each with the greatest difference D that a link in it may have, and a band's sketches are
-cut into D + 1 + E blocks. Linked sets differ in at most D blocks, so 1 + E blocks at least are equal, of which one at
-least holds shingles unless both sets have more than E empty blocks; such sets emit their empty blocks as well. So an
-equality join on (band, block, content) finds every link; a set near a band's lower end also emits the band below.
+cut into D + 1 + E blocks. Linked sets differ in at most D blocks, so 1 + E blocks at least are equal. Blocks of no or
+one shingle are weak: they are equal in sets that just share a phrase. A set with at most E weak blocks has an equal
+block that isn't, with whatever it links to, and emits the others only; a set with more emits all. So an equality join
+on (band, block, content) finds every link; a set that may be a pair's larger one emits the band below as well. Keys
+that one set alone has are most; they are found by a pre-aggregated count, and a second pass over the texts emits the
+rest only, thinned by a bitmap of bounded size (beyond that size it just thins less).
 
 Groups of near copies would make all pairs of a bucket. Instead a bucket's members meet only its least member, the
 leader, and their symmetric differences from it are computed exactly. Links between members follow from these:
@@ -36,6 +39,10 @@ from lodegraph.llm.components import components
 
 #: Bits of a block. Wide: what is shipped is a hash of the block's content, whatever its width.
 BLOCK_BITS = 4096
+#: Growth of sizes from band to band, if the similarity doesn't ask for more.
+WIDEN = 1.25
+#: Bits, as a power of two, of the bitmap over keys that more than one set has.
+BITMAP = 25
 #: Candidate ids are broadcast up to this many (8 bytes each), and joined by shuffle beyond.
 BROADCAST_IDS = 500_000
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -78,22 +85,23 @@ def shingles(text: str | None, k: int) -> np.ndarray:
 
 @lru_cache(maxsize=4096)
 def _low(i: int, num: int, den: int) -> int:
-    """Least size of band i."""
+    """Least size of band i. Bands widen by WIDEN, or by what a link's sizes may differ if that is more."""
     low = 1
     for _ in range(i):
-        low = max(low + 1, math.ceil(low * (den / num) ** 3))
+        low = max(low + 1, math.ceil(low * max(WIDEN, den / num)))
     return low
 
 
 @lru_cache(maxsize=4096)
 def _blocks(i: int, num: int, den: int) -> tuple[int, int]:
-    """(E, blocks) of band i: E covers nearly all sets' empty blocks."""
+    """(E, blocks) of band i: E covers nearly all sets' weak blocks, if that many blocks can."""
     low, top = _low(i, num, den), _low(i + 1, num, den) - 1
     d = (den - num) * (top + top * den // num) // (den + num)
     e = 1
     for _ in range(64):
-        empty = (d + 1 + e) * math.exp(-low / (d + 1 + e))
-        more = math.ceil(empty + 3 * math.sqrt(empty))
+        mean = low / (d + 1 + e)
+        weak = (d + 1 + e) * (1 + mean) * math.exp(-mean)
+        more = math.ceil(weak + 2 * math.sqrt(weak))
         if more <= e or e > d:
             break
         e = more
@@ -123,9 +131,12 @@ def block_keys(tokens: np.ndarray, num: int, den: int) -> np.ndarray:
             toggled = mixed(block * np.uint64(BLOCK_BITS) + bit + np.uint64(1))
             first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
             content, which = np.bitwise_xor.reduceat(toggled, first), block[first]
-            if blocks - len(first) > spare:
+            strong = np.diff(np.append(first, n)) > 1
+            if blocks - int(strong.sum()) > spare:
                 gone = np.setdiff1d(np.arange(blocks, dtype=np.uint64), which)
                 content, which = np.concatenate([content, np.zeros(len(gone), np.uint64)]), np.concatenate([which, gone])
+            else:
+                content, which = content[strong], which[strong]
             out.append(mixed(content ^ mixed((np.uint64(i + 1) << _32) + which)))
     return np.concatenate(out).view(np.int64)
 
@@ -139,16 +150,37 @@ def fingerprint(tokens: np.ndarray) -> int:
     return int(h.view(np.int64)[0])
 
 
-def _sketched(df: DataFrame, row: str, text: str, k: int, num: int, den: int) -> DataFrame:
+def _sketched(df: DataFrame, row: str, text: str, k: int, num: int, den: int, bitmap: np.ndarray | None = None) -> DataFrame:
+    """(id, n, v, keys) of every row; with a bitmap, of the keys those that are in it."""
+    held = None if bitmap is None else df.sparkSession.sparkContext.broadcast(bitmap)
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = None if held is None else held.value
+
+        def keys(tokens: np.ndarray) -> np.ndarray:
+            found = block_keys(tokens, num, den)
+            if bits is None:
+                return found
+            at = found & ((1 << BITMAP) - 1)
+            return found[(bits[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)]
+
         for batch in by_bytes(batches, text):
             sets = [shingles(t, k) for t in batch.column(1).to_pylist()]
-            columns = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.int64()), pa.array([block_keys(s, num, den) for s in sets], pa.list_(pa.int64()))]
+            columns = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.int64()), pa.array([keys(s) for s in sets], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, ["id", "n", "v", "keys"])
 
     return map_batches(df.select(row, text), work, f"id {df.schema[row].dataType.simpleString()}, n long, v long, keys array<long>")
 
 
+def _bitmap(buckets: DataFrame) -> np.ndarray:
+    """Bits at the keys' low BITMAP bits, as 64-bit words; 2^(BITMAP - 6) of them at any number of keys."""
+    place = F.expr(f"key & {(1 << BITMAP) - 1}")
+    rows = buckets.groupBy(F.shiftright(place, 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast((key & 63) as int)))").alias("bits")).toArrow()
+    out = np.zeros(1 << (BITMAP - 6), np.uint64)
+    out[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
 def _sets(df: DataFrame, k: int) -> DataFrame:
     """(v, tokens) of rows (v, text): those whose text has the fingerprint v."""
 
@@ -213,11 +245,13 @@ def classes(df: DataFrame, row: str = "doc_id", text: str = "text", k: int = 3,
     """(row, n_shingles, component_id): sets link where den * intersection >= num * union; a component is named by the
     least id in it. Sets of one text or of copies are one component."""
     scratch = Scratch(df.sparkSession)
-    base = scratch.save(_sketched(df, row, text, k, num, den), "base")
-    nodes = scratch.save(base.where("n > 0").groupBy("v").agg(F.min("id").alias("least")), "nodes")
-    keyed = base.select(F.explode("keys").alias("key"), "v")
+    keyed = _sketched(df, row, text, k, num, den).select(F.explode("keys").alias("key"), "v")
     buckets = keyed.groupBy("key").agg(F.min("v").alias("leader"), F.max("v").alias("most")).where("leader < most").drop("most")
-    pairs = scratch.save(keyed.join(buckets, "key").where("v != leader").select("leader", "v").distinct(), "pairs")
+    buckets = scratch.save(buckets, "buckets")
+    base = scratch.save(_sketched(df, row, text, k, num, den, _bitmap(buckets)), "base")
+    nodes = scratch.save(base.where("n > 0").groupBy("v").agg(F.min("id").alias("least")), "nodes")
+    thinned = base.select(F.explode("keys").alias("key"), "v")
+    pairs = scratch.save(thinned.join(buckets, "key").where("v != leader").select("leader", "v").distinct(), "pairs")
     wanted = scratch.save(pairs.select("v").unionByName(pairs.select(F.col("leader").alias("v"))).distinct().join(nodes, "v"), "wanted")
     few = wanted.count() <= BROADCAST_IDS
     ids = wanted.select("v", F.col("least").alias("__id"))
