@@ -16,7 +16,7 @@ from lodegraph.shipping import ship
 SPACES = " \t\n\x0b\f\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 #: Rows and bytes of text that a Python worker takes at once.
-ARROW_ROWS = 2048
+ARROW_ROWS = 512
 BATCH_BYTES = 4 << 20
 
 
