@@ -1,14 +1,432 @@
-"""Registered queries of the repository-intelligence operators, and the same in SQL."""
+"""Registered queries of the repository-intelligence operators, and the same in SQL.
+
+The graph is that of the tables' foreign keys: regions, nations, suppliers, customers and parts are nodes, their
+references edges. Files are documents and pages.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lodegraph.functions import ids, text
+from lodegraph.operators import context, graph, search, store
+from lodegraph.sources import files
+from lodegraph.streaming import watch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
+# (table, key, name, kind) of the nodes; the kinds are of the reference's closed vocabulary.
+NODES = (("region", "r_regionkey", "r_name", "module"), ("nation", "n_nationkey", "n_name", "package"), ("supplier", "s_suppkey", "s_name", "class"), ("customer", "c_custkey", "c_name", "struct"), ("part", "p_partkey", "p_name", "function"))
+EDGES = (("nation", "n_nationkey", "region", "n_regionkey", "depends_on"), ("supplier", "s_suppkey", "nation", "s_nationkey", "references"), ("customer", "c_custkey", "nation", "c_nationkey", "references"))
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name."""
+
+    def register(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = None
+    for name, key, label, kind in NODES:
+        path = F.concat(F.lit(f"src/{name}/"), F.col(key).cast("string"), F.lit(".py" if kind == "function" else ".md"))
+        one = table(spark, sf_dir, name).select(ids.node_id(F.lit(kind), F.lit("fk"), path, F.lit(""), F.col(label), F.lit(0)).alias("node_id"), F.lit(kind).alias("kind"), F.col(label).alias("name"), path.alias("path"), F.concat(F.lit(f"{name}:"), F.col(key).cast("string")).alias("key"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = nodes(spark, sf_dir).select("key", "node_id")
+    out = None
+    for name, key, target, ref, kind in EDGES:
+        one = table(spark, sf_dir, name).select(F.concat(F.lit(f"{name}:"), F.col(key).cast("string")).alias("f"), F.concat(F.lit(f"{target}:"), F.col(ref).cast("string")).alias("t"), F.lit(kind).alias("kind"))
+        out = one if out is None else out.unionByName(one)
+    uses = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("supplier:"), F.col("l_suppkey").cast("string")).alias("f"), F.concat(F.lit("part:"), F.col("l_partkey").cast("string")).alias("t"), F.lit("calls").alias("kind")).distinct()
+    out = out.unionByName(uses)
+    out = out.join(named.select(F.col("key").alias("f"), F.col("node_id").alias("from_id")), "f").join(named.select(F.col("key").alias("t"), F.col("node_id").alias("to_id")), "t")
+    return out.select(ids.edge_id(F.col("from_id"), F.col("to_id"), F.col("kind"), F.lit("fk")).alias("edge_id"), "from_id", "to_id", "kind")
+
+
+def _graph_sql() -> str:
+    parts = " UNION ALL ".join(f"SELECT '{kind}' AS kind, {label} AS name, 'src/{name}/' || {key} || '{'.py' if kind == 'function' else '.md'}' AS path, '{name}:' || {key} AS key FROM {name}" for name, key, label, kind in NODES)
+    refs = " UNION ALL ".join(f"SELECT '{name}:' || {key} AS f, '{target}:' || {ref} AS t, '{kind}' AS kind FROM {name}" for name, key, target, ref, kind in EDGES)
+    return f"""WITH RECURSIVE named AS ({parts}),
+nodes AS (SELECT sha256(concat_ws(chr(31), 'node:v1', kind, 'fk', path, '', name, '0')) AS node_id, kind, name, path, key FROM named),
+refs AS ({refs} UNION ALL SELECT DISTINCT 'supplier:' || l_suppkey, 'part:' || l_partkey, 'calls' FROM lineitem),
+edges AS (SELECT sha256(concat_ws(chr(31), 'edge:v1', a.node_id, b.node_id, r.kind, 'fk')) AS edge_id, a.node_id AS from_id, b.node_id AS to_id, r.kind
+          FROM refs r JOIN nodes a ON a.key = r.f JOIN nodes b ON b.key = r.t)
+"""
+
+
+G = _graph_sql()
+FILES = """WITH files AS (
+SELECT 'corpus' AS root, lang || '/' || source || '/' || doc_id || '.txt' AS path, text AS content FROM documents
+UNION ALL SELECT 'web', 'pages/' || page_id || '.html', html FROM pages)
+"""
+
+
+def _seed(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
+    return nodes(spark, sf_dir).where(F.col("key") == key).select("node_id")
+
+
+# ---- identity, lookups, filters
+
+
+@query(G + "SELECT node_id, 'node_' || substr(node_id, 1, 12) AS shown, kind, name FROM nodes")
+def node_ids(spark, sf_dir):
+    return nodes(spark, sf_dir).select("node_id", ids.display(F.col("node_id")).alias("shown"), "kind", "name")
+
+
+@query(G + "SELECT edge_id, from_id, to_id, kind FROM edges")
+def edge_ids(spark, sf_dir):
+    return edges(spark, sf_dir)
+
+
+@query(G + "SELECT node_id, name FROM nodes WHERE lower(name) = 'an' OR name ILIKE '%an%'")
+def nodes_by_name(spark, sf_dir):
+    return nodes(spark, sf_dir).where((F.lower("name") == "an") | F.expr("name ILIKE '%an%'")).select("node_id", "name")
+
+
+@query(G + "SELECT node_id, kind, name FROM nodes WHERE path = 'src/nation/3.md'")
+def nodes_by_file(spark, sf_dir):
+    return nodes(spark, sf_dir).where("path = 'src/nation/3.md'").select("node_id", "kind", "name")
+
+
+@query(G + "SELECT kind, name, node_id FROM nodes WHERE kind IN ('module', 'package') AND path LIKE 'src/%'")
+def declared_filters(spark, sf_dir):
+    return nodes(spark, sf_dir).where(F.col("kind").isin("module", "package") & F.col("path").startswith("src/")).select("kind", "name", "node_id")
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) IN (1, 2, 3)")
+def json_path_filter(spark, sf_dir):
+    k = F.get_json_object("props", "$.k").cast("long")
+    return table(spark, sf_dir, "events").select("event_id", k.alias("k")).where(F.col("k").isin(1, 2, 3))
+
+
+@query("SELECT event_id AS revision, event_type FROM events WHERE event_id > 900")
+def changes_since(spark, sf_dir):
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("revision"), "event_type").where("revision > 900")
+
+
+@query("SELECT doc_id, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) - 1 AS ordinal FROM documents")
+def discriminators(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", (F.row_number().over(Window.partitionBy("lang", "source").orderBy("doc_id")) - 1).cast("long").alias("ordinal"))
+
+
+# ---- paths, classes, hashes
+
+
+_PATHS = """WITH p AS (SELECT page_id, regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') || CASE page_id % 8 WHEN 0 THEN '/tests/a.rs' WHEN 1 THEN '/docs/x.md' WHEN 2 THEN '/schema/a.json' WHEN 3 THEN '/a.toml' WHEN 4 THEN '/.github/w' WHEN 5 THEN '/k8s/x' WHEN 6 THEN '/id_rsa' ELSE '/m/a.py' END AS path FROM pages) """
+
+
+def _page_paths(spark, sf_dir):
+    tails = ["/tests/a.rs", "/docs/x.md", "/schema/a.json", "/a.toml", "/.github/w", "/k8s/x", "/id_rsa", "/m/a.py"]
+    bare = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", "")
+    return table(spark, sf_dir, "pages").select("page_id", F.concat(bare, F.get(F.array(*map(F.lit, tails)), (F.col("page_id") % 8).cast("int"))).alias("path"))
+
+
+@query(_PATHS + """SELECT page_id, path, CASE
+WHEN regexp_matches(lower(path), '^tests?/|/tests?/|_test\\.rs$|\\.(test|spec)\\.ts$') THEN 'tests' WHEN regexp_matches(lower(path), '\\.md$|(^|/)(docs|book)/') THEN 'docs'
+WHEN regexp_matches(lower(path), '/schema.*\\.(toml|ya?ml|json)$|\\.schema\\.json$') THEN 'schema' WHEN regexp_matches(lower(path), '\\.(toml|ya?ml|json)$') THEN 'config'
+WHEN regexp_matches(lower(path), '/\\.(github|gitlab-ci)/') THEN 'ci' WHEN regexp_matches(lower(path), '/(terraform|k8s)/|/docker') THEN 'infra'
+WHEN regexp_matches(lower(path), '\\.sql$|/migrations/') THEN 'data' WHEN regexp_matches(lower(path), '\\.(rs|ts|js|go|py|c|cpp)$') THEN 'code' ELSE 'build' END AS artifact_class FROM p""")
+def classify_paths(spark, sf_dir):
+    return _page_paths(spark, sf_dir).withColumn("artifact_class", files.artifact_class(F.col("path")))
+
+
+@query(_PATHS + "SELECT page_id, list_has_any(string_split(path, '/'), ['.git','.env','.env.local','.env.production','id_rsa','id_ed25519','node_modules','target','.DS_Store']) OR regexp_matches(path, '\\.(pem|key|pfx|p12|lock|exe|dll|so|dylib|bin)$') AS excluded, path <> '' AND NOT starts_with(path, '/') AND NOT list_contains(string_split(path, '/'), '..') AS contained FROM p")
+def exclude_paths(spark, sf_dir):
+    return _page_paths(spark, sf_dir).select("page_id", files.excluded(F.col("path")).alias("excluded"), files.contained(F.col("path")).alias("contained"))
+
+
+@query(FILES + "SELECT sha256(content) AS content_hash, count(*) AS copies, min(path) AS first_path FROM files GROUP BY 1")
+def content_hash_dedup(spark, sf_dir):
+    return files.corpus(spark, sf_dir).groupBy(F.sha2("content", 256).alias("content_hash")).agg(F.count(F.lit(1)).alias("copies"), F.min("path").alias("first_path"))
+
+
+# ---- graph
+
+
+@query(G + "SELECT n.node_id, count(e.to_id) AS in_degree FROM nodes n LEFT JOIN edges e ON e.to_id = n.node_id GROUP BY 1")
+def in_degree(spark, sf_dir):
+    d = graph.degrees(edges(spark, sf_dir)).select("node_id", "in_degree")
+    return nodes(spark, sf_dir).select("node_id").join(d, "node_id", "left").select("node_id", F.coalesce("in_degree", F.lit(0)).cast("long").alias("in_degree"))
+
+
+@query(G + "SELECT from_id AS node_id, count(*) AS out_degree FROM edges GROUP BY 1")
+def out_degree(spark, sf_dir):
+    return graph.degrees(edges(spark, sf_dir)).where("out_degree > 0").select("node_id", F.col("out_degree").cast("long").alias("out_degree"))
+
+
+@query(G + "SELECT (SELECT count(DISTINCT node_id) FROM nodes) AS n_nodes, (SELECT count(DISTINCT edge_id) FROM edges) AS n_edges")
+def distinct_counts(spark, sf_dir):
+    return nodes(spark, sf_dir).agg(F.countDistinct("node_id").alias("n_nodes")).join(edges(spark, sf_dir).agg(F.countDistinct("edge_id").alias("n_edges")))
+
+
+@query(G + """SELECT edge_id, x.kind, direction, x.node_id, n.name FROM (
+  SELECT edge_id, kind, 'out' AS direction, to_id AS node_id FROM edges WHERE from_id = (SELECT node_id FROM nodes WHERE key = 'nation:3')
+  UNION ALL SELECT edge_id, kind, 'in', from_id FROM edges WHERE to_id = (SELECT node_id FROM nodes WHERE key = 'nation:3')) x LEFT JOIN nodes n USING (node_id)""")
+def neighbors(spark, sf_dir):
+    return graph.neighbors(nodes(spark, sf_dir), edges(spark, sf_dir), _seed(spark, sf_dir, "nation:3"))
+
+
+@query(G + """, reach(node_id, depth) AS (
+  SELECT node_id, 0 FROM nodes WHERE key = 'region:1'
+  UNION SELECT e.from_id, r.depth + 1 FROM reach r JOIN edges e ON e.to_id = r.node_id WHERE r.depth < 3)
+SELECT n.node_id, n.name, min(depth)::BIGINT AS depth FROM reach JOIN nodes n USING (node_id) GROUP BY ALL HAVING min(depth) > 0""")
+def impact_bfs_d3(spark, sf_dir):
+    return graph.impact(nodes(spark, sf_dir), edges(spark, sf_dir), _seed(spark, sf_dir, "region:1"), 3).select("node_id", "name", "depth")
+
+
+@query(G + """, reach(node_id, depth) AS (
+  SELECT node_id, 0 FROM nodes WHERE key IN ('part:1', 'part:2', 'nation:4')
+  UNION SELECT e.from_id, r.depth + 1 FROM reach r JOIN edges e ON e.to_id = r.node_id WHERE r.depth < 2)
+SELECT n.node_id, min(depth)::BIGINT AS depth FROM reach JOIN nodes n USING (node_id) GROUP BY ALL HAVING min(depth) > 0""")
+def impact_multi_seed(spark, sf_dir):
+    seeds = nodes(spark, sf_dir).where(F.col("key").isin("part:1", "part:2", "nation:4")).select("node_id")
+    return graph.impact(nodes(spark, sf_dir), edges(spark, sf_dir), seeds, 2).select("node_id", "depth")
+
+
+@query(G + """, walk(tail, nodes_, edges_, depth) AS (
+  SELECT node_id, [node_id], CAST([] AS VARCHAR[]), 0 FROM nodes WHERE key = 'supplier:1'
+  UNION ALL SELECT e.to_id, list_append(nodes_, e.to_id), list_append(edges_, e.edge_id), depth + 1
+  FROM walk w JOIN edges e ON e.from_id = w.tail
+  WHERE depth < 3 AND NOT list_contains(nodes_, e.to_id) AND w.tail <> (SELECT b.node_id FROM nodes a JOIN edges e ON e.from_id = a.node_id JOIN edges f ON f.from_id = e.to_id JOIN nodes b ON b.node_id = f.to_id WHERE a.key = 'supplier:1' AND b.kind = 'module'))
+SELECT depth::BIGINT AS depth, array_to_string(nodes_, ',') AS path, array_to_string(edges_, ',') AS via FROM walk JOIN nodes n ON n.node_id = tail WHERE n.kind = 'module' AND depth > 0""")
+def paths_simple(spark, sf_dir):
+    n, e = nodes(spark, sf_dir), edges(spark, sf_dir)
+    s = table(spark, sf_dir, "supplier").where("s_suppkey = 1").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("n_regionkey").first()[0]
+    ends = {r["key"]: r["node_id"] for r in n.where(F.col("key").isin("supplier:1", f"region:{s}")).collect()}
+    got = graph.paths(e, ends["supplier:1"], ends[f"region:{s}"], 3)
+    return got.select("depth", F.array_join("nodes", ",").alias("path"), F.array_join("edges", ",").alias("via"))
+
+
+@query(G + ", kept AS (SELECT * FROM nodes WHERE name NOT LIKE '%A%') SELECT DISTINCT edge_id FROM edges WHERE from_id NOT IN (SELECT node_id FROM kept) OR to_id NOT IN (SELECT node_id FROM kept)")
+def dangling_edges(spark, sf_dir):
+    return graph.dangling(nodes(spark, sf_dir).where("name NOT LIKE '%A%'"), edges(spark, sf_dir))
+
+
+@query(G + "SELECT to_id, count(*) AS parents FROM edges WHERE kind = 'calls' GROUP BY 1 HAVING count(*) > 1")
+def forest_check(spark, sf_dir):
+    return graph.many_parents(edges(spark, sf_dir).where("kind = 'calls'").withColumn("kind", F.lit("contains")))
+
+
+# ---- resolution and the store's mutations
+
+
+_REFS = ", refs_ AS (SELECT DISTINCT o_custkey AS from_id, upper(substr(o_orderpriority, 3)) AS seeking FROM orders WHERE o_orderkey % 7 = 0 UNION SELECT DISTINCT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 5 = 0) "
+
+
+def _pending(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").where("o_orderkey % 7 = 0").select(F.col("o_custkey").alias("from_id"), F.upper(F.expr("substr(o_orderpriority, 3)")).alias("seeking"))
+    named = table(spark, sf_dir, "customer").where("c_custkey % 5 = 0").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("from_id"), F.col("n_name").alias("seeking"))
+    return orders.unionByName(named).distinct().withColumn("edge_kind", F.lit("imports"))
+
+
+@query(G + _REFS + "SELECT from_id, node_id AS to_id, 'imports' AS kind FROM refs_ JOIN nodes ON seeking = name")
+def resolve_exact(spark, sf_dir):
+    return store.resolve(_pending(spark, sf_dir), nodes(spark, sf_dir))[0]
+
+
+@query(G + _REFS + "SELECT from_id, seeking FROM refs_ WHERE seeking NOT IN (SELECT name FROM nodes)")
+def unresolved_remaining(spark, sf_dir):
+    return store.resolve(_pending(spark, sf_dir), nodes(spark, sf_dir))[1].select("from_id", "seeking")
+
+
+@query(G + _REFS + "SELECT from_id, first AS to_id, 'imports' AS kind FROM refs_ JOIN (SELECT name, arg_min(node_id, key) AS first FROM nodes GROUP BY 1) ON seeking = name")
+def promote_first(spark, sf_dir):
+    return store.promote(_pending(spark, sf_dir), nodes(spark, sf_dir).withColumn("ord", F.col("key")))
+
+
+@query(G + "SELECT edge_id FROM edges WHERE to_id NOT IN (SELECT node_id FROM nodes WHERE name NOT LIKE '%E%')")
+def demote_missing(spark, sf_dir):
+    return store.demote(edges(spark, sf_dir), nodes(spark, sf_dir).where("name NOT LIKE '%E%'")).select("edge_id")
+
+
+@query("SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM orders")
+def upsert_claims(spark, sf_dir):
+    old = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    new = old.where("o_orderkey % 3 = 0").withColumn("o_totalprice", F.col("o_totalprice") + 1)
+    return store.upsert(old, new, ["o_orderkey"])
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_custkey % 4 <> 1")
+def remove_owner(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return store.remove(orders, orders.where("o_custkey % 4 = 1").select("o_custkey")).select("o_orderkey")
+
+
+@query("WITH a AS (SELECT p_partkey AS name, p_size AS version FROM part WHERE p_partkey % 10 <> 1), b AS (SELECT p_partkey AS name, p_size + (p_partkey % 3 = 0)::INT AS version FROM part WHERE p_partkey % 10 <> 2) SELECT name, a.version AS stored, b.version AS current FROM a FULL JOIN b USING (name) WHERE a.version IS DISTINCT FROM b.version")
+def version_diff_full_outer(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    a = part.where("p_partkey % 10 <> 1").select(F.col("p_partkey").alias("name"), F.col("p_size").alias("version"))
+    b = part.where("p_partkey % 10 <> 2").select(F.col("p_partkey").alias("name"), F.expr("p_size + if(p_partkey % 3 = 0, 1, 0)").alias("version"))
+    return store.version_changes(a, b)
+
+
+@query("SELECT 0::BIGINT AS differences")
+def incremental_equals_rebuild(spark, sf_dir):
+    """Changes applied to a first state give what a rebuild of the second state gives."""
+    now = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    before = now.where("o_orderkey % 10 <> 9").withColumn("o_totalprice", F.expr("if(o_orderkey % 10 = 1, 0, o_totalprice)"))
+    gone = before.where("o_orderkey % 10 = 2").select("o_orderkey")
+    changed = now.where("o_orderkey % 10 IN (1, 9)")
+    return graph.equal(store.upsert(store.remove(before, gone), changed, ["o_orderkey"]), now.where("o_orderkey % 10 <> 2")).agg(F.count(F.lit(1)).alias("differences"))
+
+
+# ---- ranking and search
+
+
+def _candidates(spark, sf_dir):
+    d = graph.degrees(edges(spark, sf_dir)).select("node_id", "in_degree")
+    found = nodes(spark, sf_dir).where(F.expr("name ILIKE '%an%'"))
+    return found.join(d, "node_id", "left").withColumns({"in_degree": F.coalesce("in_degree", F.lit(0)), "artifact_class": F.when(F.col("path").endswith(".py"), "code").otherwise("docs"), "fts": F.lit(None).cast("double")})
+
+
+_RANK = G + """, c AS (SELECT n.*, (SELECT count(*) FROM edges e WHERE e.to_id = n.node_id) AS deg FROM nodes n WHERE name ILIKE '%an%'),
+r AS (SELECT node_id, name, round(CASE WHEN lower(name) = 'an' THEN 0.5 WHEN starts_with(lower(name), 'an') THEN 0.3 ELSE 0.15 END + CASE WHEN contains(lower(path), 'an') THEN 0.1 ELSE 0 END
+  + deg / greatest((SELECT max(deg) FROM c), 1)::DOUBLE * {boost} + CASE WHEN path LIKE '%.py' THEN 0.1 ELSE 0 END, 6) AS score FROM c)
+"""
+
+
+@query(_RANK.format(boost=0.15) + "SELECT * FROM r")
+def rank_fusion(spark, sf_dir):
+    return search.fused(_candidates(spark, sf_dir), "an").select("node_id", "name", F.round("score", 6).alias("score"))
+
+
+@query(_RANK.format(boost=0.15) + "SELECT * FROM r ORDER BY score DESC, node_id LIMIT 50")
+def hybrid_topk(spark, sf_dir):
+    return rank_fusion(spark, sf_dir).orderBy(F.desc("score"), "node_id").limit(50)
+
+
+@query(_RANK.format(boost=0) + "SELECT * FROM r")
+def boost_zero(spark, sf_dir):
+    return search.fused(_candidates(spark, sf_dir), "an", 0.0).select("node_id", "name", F.round("score", 6).alias("score"))
+
+
+_BM = r"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ts FROM documents),
+c AS (SELECT doc_id, len(ts) AS n, len(list_filter(ts, lambda x: starts_with(x, 'tion')))::DOUBLE AS tf0, len(list_filter(ts, lambda x: x = 'tion'))::DOUBLE AS tf1 FROM t),
+s AS (SELECT count(*) AS a, avg(n) AS l, count(*) FILTER (tf0 > 0) AS d0, count(*) FILTER (tf1 > 0) AS d1 FROM c),
+i AS (SELECT a, l, CASE WHEN ln((a - d0 + 0.5) / (d0 + 0.5)) <= 0 THEN 1e-6 ELSE ln((a - d0 + 0.5) / (d0 + 0.5)) END AS i0, CASE WHEN ln((a - d1 + 0.5) / (d1 + 0.5)) <= 0 THEN 1e-6 ELSE ln((a - d1 + 0.5) / (d1 + 0.5)) END AS i1 FROM s)
+SELECT doc_id, round(i0 * tf0 * 2.2 / (tf0 + 1.2 * (0.25 + 0.75 * n / l)) + i1 * tf1 * 2.2 / (tf1 + 1.2 * (0.25 + 0.75 * n / l)), 6) AS score FROM c, i WHERE tf0 > 0 OR tf1 > 0"""
+
+
+@query(_BM)
+def bm25_prefix(spark, sf_dir):
+    return search.bm25(table(spark, sf_dir, "documents"), "tion").select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query()
+def bm25_phrase(spark, sf_dir):
+    return search.bm25(table(spark, sf_dir, "documents"), "of the").select("doc_id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(50)
+
+
+@query(FILES + r""", l AS (SELECT root, path, generate_subscripts(x, 1) AS line, unnest(x) AS t FROM (SELECT root, path, string_split(content, chr(10)) AS x FROM files))
+SELECT root, path, line, count(*) AS n FROM (SELECT root, path, line, unnest(regexp_extract_all(t, '[0-9]{3}-[0-9]{4}')) FROM l) GROUP BY ALL""")
+def direct_search(spark, sf_dir):
+    return search.direct(files.corpus(spark, sf_dir), "[0-9]{3}-[0-9]{4}", True).groupBy("root", "path", "line").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(FILES + r""", l AS (SELECT root, path, generate_subscripts(x, 1) AS line, x AS a, unnest(x) AS t FROM (SELECT root, path, string_split(CASE WHEN ends_with(content, chr(10)) THEN left(content, length(content) - 1) ELSE content END, chr(10)) AS x FROM files WHERE root = 'corpus'))
+SELECT path, line, coalesce(sum(octet_length(encode(t)) + 1) OVER (PARTITION BY path ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM l""")
+def line_index(spark, sf_dir):
+    return search.lines(files.corpus(spark, sf_dir).where("root = 'corpus'")).select("path", "line", "start")
+
+
+@query(r"""WITH t AS (SELECT event_id, event_type || '_token: ' || event_id || chr(10) || 'plain ' || user_id || chr(10) || 'password=' || value AS x FROM events)
+SELECT event_id, array_to_string(list_transform(string_split(x, chr(10)), lambda l: regexp_replace(l, '(?i)^(.*?(?:api_key|access_key|credential|private_key|secret|password|token|auth|bearer)[^=:]*[=:]).*$', '\1 [REDACTED]')), chr(10)) AS redacted FROM t""")
+def redact_lines(spark, sf_dir):
+    x = F.concat_ws("\n", F.concat(F.col("event_type"), F.lit("_token: "), F.col("event_id").cast("string")), F.concat(F.lit("plain "), F.col("user_id").cast("string")), F.concat(F.lit("password="), F.col("value").cast("string")))
+    return table(spark, sf_dir, "events").select("event_id", text.redact_lines(x).alias("redacted"))
+
+
+@query(r"SELECT page_id, regexp_extract_all(html, '<h[1-6][^>]*>([^<]*)</h[1-6]>', 1)[1] AS first_heading, len(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1))::BIGINT AS n_links FROM pages")
+def html_outline(spark, sf_dir):
+    heads = F.regexp_extract_all("html", F.lit("<h[1-6][^>]*>([^<]*)</h[1-6]>"), F.lit(1))
+    return table(spark, sf_dir, "pages").select("page_id", F.get(heads, 0).alias("first_heading"), F.size(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))).cast("long").alias("n_links"))
+
+
+# ---- vectors
+
+
+@query("WITH q AS (SELECT embedding AS v FROM embeddings WHERE vec_id = 0) SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], v::DOUBLE[]), 5) AS score FROM embeddings, q ORDER BY list_cosine_similarity(embedding::DOUBLE[], v::DOUBLE[]) DESC, vec_id LIMIT 20")
+def knn_cosine(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    of = [float(x) for x in vectors.where("vec_id = 0").first()["embedding"]]
+    return search.nearest(vectors, of, 20).select("vec_id", F.round("score", 5).alias("score"))
+
+
+# ---- context
+
+
+@query("""WITH s AS (SELECT doc_id, source, octet_length(encode(text)) AS b, len(string_split(text, chr(10))) AS l FROM documents),
+t AS (SELECT doc_id, source, sum(b) OVER w AS tb, sum(l) OVER w AS tl FROM s WINDOW w AS (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING))
+SELECT source, doc_id, tb::BIGINT AS total_bytes, tl::BIGINT AS total_lines FROM t WHERE tb <= 65536 AND tl <= 400""")
+def context_pack(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("source", "doc_id", F.col("doc_id").alias("key"), F.octet_length("text").alias("bytes"), F.size(F.split("text", "\n")).alias("lines"))
+    got = context.packed(rows, ["source"], ["doc_id"], bytes=64 << 10, lines=400)
+    return got.select("source", "doc_id", F.col("total_bytes").cast("long").alias("total_bytes"), F.col("total_lines").cast("long").alias("total_lines"))
+
+
+@query("""WITH r AS (SELECT o_custkey % 50 AS path, o_orderkey AS node_id, (o_orderkey % 400)::BIGINT AS a, (o_orderkey % 400 + 1 + o_custkey % 97)::BIGINT AS b FROM orders),
+p AS (SELECT DISTINCT l_partkey % 50 AS path, (l_suppkey % 480)::BIGINT AS line FROM lineitem)
+SELECT p.path, line, arg_min(node_id, (b - a) * 10000000 + node_id) AS node_id FROM p JOIN r ON r.path = p.path AND line BETWEEN a AND b GROUP BY 1, 2""")
+def at_position_batch(spark, sf_dir):
+    ranges = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("path"), F.col("o_orderkey").alias("node_id"), (F.col("o_orderkey") % 400).cast("long").alias("start_line"), (F.col("o_orderkey") % 400 + 1 + F.col("o_custkey") % 97).cast("long").alias("end_line"))
+    points = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 50).alias("path"), (F.col("l_suppkey") % 480).cast("long").alias("line")).distinct()
+    return context.enclosing(points, ranges)
+
+
+# ---- streaming
+
+
+@query("""WITH e AS (SELECT user_id, ts, event_type, CASE WHEN ts - lag(ts) OVER w > INTERVAL 1 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT * FROM e ORDER BY user_id, ts))
+SELECT user_id AS root, min(ts) AS "start", count(*) AS n_events, count(DISTINCT event_type) AS n_paths FROM g GROUP BY user_id, s""")
+def debounce_sessions(spark, sf_dir):
+    changes = table(spark, sf_dir, "events").select(F.col("user_id").alias("root"), "ts", F.col("event_type").alias("path"))
+    return watch.sessions(changes, "1 hour").select("root", "start", "n_events", "n_paths")
+
+
+@query("SELECT user_id, count(DISTINCT event_type) AS n_paths, max(event_id) AS last_event FROM events GROUP BY 1")
+def coalesced_changes(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.countDistinct("event_type").alias("n_paths"), F.max("event_id").alias("last_event"))
+
+
+# ---- evaluation
+
+
+@query("""WITH r AS (SELECT p_name AS expected, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS rank FROM part)
+SELECT round(avg((rank = 1)::INT), 6) AS p_at_1, round(avg((rank <= 5)::INT), 6) AS p_at_5, round(avg(1.0::DOUBLE / rank), 6) AS mrr FROM r""")
+def eval_p1_p5_mrr(spark, sf_dir):
+    ranked = table(spark, sf_dir, "part").select(F.row_number().over(Window.partitionBy("p_brand").orderBy(F.desc("p_retailprice"), "p_partkey")).alias("rank"))
+    return ranked.agg(F.round(F.avg((F.col("rank") == 1).cast("int")), 6).alias("p_at_1"), F.round(F.avg((F.col("rank") <= 5).cast("int")), 6).alias("p_at_5"), F.round(F.avg(1.0 / F.col("rank")), 6).alias("mrr"))
+
+
+@query("SELECT conv_id, turn, round(least(1.0::DOUBLE, 0.5::DOUBLE + 0.15::DOUBLE * len(list_filter(['the', 'of', 'and'], lambda w: contains(lower(text), w)))), 6) AS score FROM conversations")
+def rerank_word_overlap(spark, sf_dir):
+    n = F.size(F.filter(F.array(*map(F.lit, ("the", "of", "and"))), lambda w: F.lower("text").contains(w)))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.round(F.least(F.lit(1.0), 0.5 + 0.15 * n), 6).alias("score"))
+
+
+@query("SELECT conv_id, turn, greatest(1, length(text) // 4)::BIGINT AS n_tokens FROM conversations")
+def token_estimates(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.estimated_tokens(F.col("text")).alias("n_tokens"))
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/nation.parquet")
+    return hybrid_topk(spark, sf_dir)
