@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from lodegraph.llm.common import by_bytes, map_batches
 
 BATCH_BYTES = 2 << 20
-REMEMBERED, SHORT = 1_000_000, 200
+REMEMBERED, SHORT = 1_500_000, 200
 #: Rows of token positions that one recursive query starts with.
 QUERY_ROWS = 1_500_000
 _coders: dict[tuple[str, str], Coder] = {}
@@ -49,7 +49,7 @@ WITH RECURSIVE state(step, w, pos, id) AS (
           WHERE least_rank IS NOT NULL)))
     WHERE NOT eaten
 )
-SELECT w, list(id ORDER BY pos) AS ids FROM (SELECT *, max(step) OVER (PARTITION BY w) AS last FROM state) WHERE step = last GROUP BY w
+SELECT w, string_agg(id::VARCHAR, ' ' ORDER BY pos) AS ids FROM (SELECT *, max(step) OVER (PARTITION BY w) AS last FROM state) WHERE step = last GROUP BY w
 """
 #: The same for short words, one contraction a step: the least of (rank, place) needs no order but the neighbours'.
 MERGE_SHORT = """
@@ -64,7 +64,7 @@ WITH RECURSIVE state(w, k, id, step) AS (
         JOIN merges m ON m.l = p.id AND m.r = p.next GROUP BY p.w)) b ON b.w = s.w
     WHERE s.k <> b.k + 1
 )
-SELECT w, list(id ORDER BY k) AS ids
+SELECT w, string_agg(id::VARCHAR, ' ' ORDER BY k) AS ids
 FROM (SELECT s.* FROM state s JOIN (SELECT w, max(step) AS last FROM state GROUP BY w) l ON l.w = s.w AND l.last = s.step) GROUP BY w
 """
 DECODE = "SELECT doc, string_agg(hex, '' ORDER BY pos) AS hex FROM tokens JOIN vocabulary USING (id) GROUP BY doc"
@@ -75,14 +75,18 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
+def numbers(shown: str) -> np.ndarray:
+    return np.fromstring(shown, np.int32, sep=" ") if shown else np.empty(0, np.int32)
+
+
 class Coder:
     def __init__(self, path: str, pattern: str):
         import duckdb
         import regex
 
         self.ranks, self.pattern = load_ranks(path), regex.compile(pattern)
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.shown: dict[str, str] = {}
+        #: Words' ids as decimal text, separated by blanks.
+        self.known: dict[str, str] = {}
         # Every way to cut a token into two tokens is a merge that yields it; its rank is its id.
         cuts = [(self.ranks[t[:k]], self.ranks[t[k:]], n) for t, n in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
         least: dict[int, int] = {}
@@ -102,8 +106,8 @@ class Coder:
         self.db.unregister("words")
         self.letter = np.array([self.ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
 
-    def merge(self, words: list[bytes]) -> dict[int, list[int]]:
-        """Ids by place in `words`, each of two bytes at least and no token itself."""
+    def merge(self, words: list[bytes]) -> tuple[list[int], list[str]]:
+        """Places in `words` and ids as text; each word is of two bytes at least and no token itself."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         raw = np.frombuffer(b"".join(words), np.uint8)
         starts = np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -111,43 +115,47 @@ class Coder:
         self.db.register("letters", letters)
         got = self.db.sql(MERGE_SHORT if int(sizes.max()) <= SHORT else MERGE).to_arrow_table()
         self.db.unregister("letters")
-        return dict(zip(got.column("w").to_pylist(), got.column("ids").to_pylist(), strict=True))
+        return got.column("w").to_pylist(), got.column("ids").to_pylist()
 
-    def learn(self, texts: list[list[str]]) -> dict[str, tuple[int, ...]]:
+    def learn(self, texts: list[list[str]]) -> dict[str, str]:
         """What each distinct word of the texts encodes to."""
         if len(self.known) > REMEMBERED:  # the older half goes
             self.known = dict(list(self.known.items())[REMEMBERED // 2 :])
-            self.shown = {w: " ".join(map(str, ids)) for w, ids in self.known.items()}
-        known, shown, ranks = self.known, self.shown, self.ranks
-        ask: dict[bool, list[tuple[str, bytes]]] = {True: [], False: []}
+        known, ranks = self.known, self.ranks
+        ask: dict[bool, tuple[list[str], list[bytes]]] = {True: ([], []), False: ([], [])}
         size = {True: 0, False: 0}
 
         def query(short: bool) -> None:
-            for k, ids in self.merge([b for _, b in ask[short]]).items():
-                word = ask[short][k][0]
-                known[word], shown[word] = tuple(ids), " ".join(map(str, ids))
-            ask[short].clear()
+            words, raws = ask[short]
+            places, ids = self.merge(raws)
+            known.update(zip(map(words.__getitem__, places), ids, strict=True))
+            words.clear(), raws.clear()
             size[short] = 0
 
         for word in set(chain.from_iterable(texts)).difference(known):
             raw = word.encode("utf-8", "surrogatepass")
             if raw in ranks:
-                known[word], shown[word] = (ranks[raw],), str(ranks[raw])
+                known[word] = str(ranks[raw])
                 continue
             short = len(raw) <= SHORT
-            if size[short] + len(raw) > QUERY_ROWS and ask[short]:
+            if size[short] + len(raw) > QUERY_ROWS and ask[short][0]:
                 query(short)
-            ask[short].append((word, raw))
+            ask[short][0].append(word)
+            ask[short][1].append(raw)
             size[short] += len(raw)
         for short in (True, False):
-            if ask[short]:
+            if ask[short][0]:
                 query(short)
         return known
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def shown(self, texts: list[str]) -> list[str]:
+        """Each text's ids as decimal text."""
         cut = [self.pattern.findall(t) for t in texts]
         known = self.learn(cut)
-        return [np.fromiter(chain.from_iterable(map(known.__getitem__, w)), np.int32) for w in cut]
+        return [" ".join(map(known.__getitem__, w)) for w in cut]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [numbers(x) for x in self.shown(texts)]
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
@@ -200,10 +208,9 @@ def round_trip(df: DataFrame, path: str, pattern: str, row: str = "doc_id", text
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(path, pattern)
         for batch in by_bytes(batches, text, BATCH_BYTES):
-            cut = [own.pattern.findall(t or "") for t in batch.column(1).to_pylist()]
-            known = own.learn(cut)
-            ids = [np.fromiter(chain.from_iterable(map(known.__getitem__, w)), np.int32) for w in cut]
-            shown = [hashlib.sha256(" ".join(map(own.shown.__getitem__, w)).encode()).hexdigest() for w in cut]
+            texts = own.shown([t or "" for t in batch.column(1).to_pylist()])
+            ids = [numbers(x) for x in texts]
+            shown = [hashlib.sha256(x.encode()).hexdigest() for x in texts]
             back = [hashlib.sha256(b).hexdigest() for b in own.decode(ids)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(shown, pa.string()), pa.array(back, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
