@@ -116,11 +116,12 @@ def _band(n: int, num: int, den: int) -> int:
     return i
 
 
-def block_keys(tokens: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Keys of the sketch's blocks, for the set's band and, if it may be the larger of a pair there, the band below."""
+def block_keys(tokens: np.ndarray, num: int, den: int) -> list[tuple[int, np.ndarray]]:
+    """(need, keys) for the set's band and, if it may be the larger of a pair there, the band below: whatever the set
+    links to in that band has at least `need` of the keys."""
     n = len(tokens)
     if not n:
-        return np.empty(0, np.int64)
+        return []
     own = _band(n, num, den)
     out = []
     for i in [own, *([own - 1] if own and n * num <= (_low(own, num, den) - 1) * den else [])]:
@@ -132,13 +133,17 @@ def block_keys(tokens: np.ndarray, num: int, den: int) -> np.ndarray:
             first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
             content, which = np.bitwise_xor.reduceat(toggled, first), block[first]
             strong = np.diff(np.append(first, n)) > 1
-            if blocks - int(strong.sum()) > spare:
+            weak = blocks - int(strong.sum())
+            if weak > spare:
                 gone = np.setdiff1d(np.arange(blocks, dtype=np.uint64), which)
                 content, which = np.concatenate([content, np.zeros(len(gone), np.uint64)]), np.concatenate([which, gone])
             else:
                 content, which = content[strong], which[strong]
-            out.append(mixed(content ^ mixed((np.uint64(i + 1) << _32) + which)))
-    return np.concatenate(out).view(np.int64)
+            # blocks - D equal blocks at least, D being blocks - 1 - spare; of a set that emits its strong blocks
+            # only, no more than its weak ones are missing, and its partner emits whatever is strong.
+            keys = mixed(content ^ mixed((np.uint64(i + 1) << _32) + which))
+            out.append((1 if weak > spare else 1 + spare - weak, keys.view(np.int64)))
+    return out
 
 
 def fingerprint(tokens: np.ndarray) -> int:
@@ -158,11 +163,15 @@ def _sketched(df: DataFrame, row: str, text: str, k: int, num: int, den: int, bi
         bits = None if held is None else held.value
 
         def keys(tokens: np.ndarray) -> np.ndarray:
-            found = block_keys(tokens, num, den)
-            if bits is None:
-                return found
-            at = found & ((1 << BITMAP) - 1)
-            return found[(bits[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)]
+            out = [np.empty(0, np.int64)]
+            for need, found in block_keys(tokens, num, den):
+                if bits is not None:
+                    at = found & ((1 << BITMAP) - 1)
+                    found = found[(bits[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)]
+                    if len(found) < need:  # fewer than any link of the set has in this band
+                        continue
+                out.append(found)
+            return np.concatenate(out)
 
         for batch in by_bytes(batches, text):
             sets = [shingles(t, k) for t in batch.column(1).to_pylist()]
