@@ -30,8 +30,6 @@ from lodegraph.llm.common import Scratch, by_bytes, map_batches
 MIN_WORDS = 50
 #: Places of the suffix array that a window takes at once.
 STRETCH = 100_000
-#: Documents with deletions are broadcast up to this many lines deleted, and joined by shuffle beyond.
-BROADCAST_LINES = 200_000
 
 
 def _lined(df: DataFrame, row: str, text: str) -> DataFrame:
@@ -149,8 +147,7 @@ def without_repeats(df: DataFrame, row: str = "doc_id", text: str = "text", min_
     cut = lined.dropDuplicates(["id", "th"]).join(gone.withColumnsRenamed({"id": "i", "th": "t"}), F.col("id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t")))
     cut = cut.select(F.col("id").alias("__i"), F.col("th").alias("__t"), F.expr("transform(ks, k -> at[k])").alias("__gone"), F.size("ks").cast("long").alias("__n"), F.expr("aggregate(ks, 0L, (a, k) -> a + words[k])").alias("__w"))
     cut = scratch.finish(cut, "removed")
-    few = (cut.agg(F.sum("__n")).first()[0] or 0) <= BROADCAST_LINES
     kept = df.drop("n_lines_removed", "n_words_removed")
-    joined = kept.join(F.broadcast(cut) if few else cut, F.col(row).eqNullSafe(F.col("__i")) & (F.xxhash64(text) == F.col("__t")), "left")
+    joined = kept.join(cut, F.col(row).eqNullSafe(F.col("__i")) & (F.xxhash64(text) == F.col("__t")), "left")
     cleaned = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(F.expr(f"filter(split(`{text}`, '\\n'), (x, i) -> not array_contains(__gone, i))"), "\n"))
     return joined.withColumns({text: cleaned, "n_lines_removed": F.coalesce("__n", F.lit(0)).cast("long"), "n_words_removed": F.coalesce("__w", F.lit(0)).cast("long")}).select(*kept.columns, "n_lines_removed", "n_words_removed")
