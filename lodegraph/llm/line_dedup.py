@@ -148,6 +148,6 @@ def without_repeats(df: DataFrame, row: str = "doc_id", text: str = "text", min_
     cut = cut.select(F.col("id").alias("__i"), F.col("th").alias("__t"), F.expr("transform(ks, k -> at[k])").alias("__gone"), F.size("ks").cast("long").alias("__n"), F.expr("aggregate(ks, 0L, (a, k) -> a + words[k])").alias("__w"))
     cut = scratch.finish(cut, "removed")
     kept = df.drop("n_lines_removed", "n_words_removed")
-    joined = kept.join(cut, F.col(row).eqNullSafe(F.col("__i")) & (F.xxhash64(text) == F.col("__t")), "left")
+    joined = kept.join(cut.hint("merge"), F.col(row).eqNullSafe(F.col("__i")) & (F.xxhash64(text) == F.col("__t")), "left")
     cleaned = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(F.expr(f"filter(split(`{text}`, '\\n'), (x, i) -> not array_contains(__gone, i))"), "\n"))
     return joined.withColumns({text: cleaned, "n_lines_removed": F.coalesce("__n", F.lit(0)).cast("long"), "n_words_removed": F.coalesce("__w", F.lit(0)).cast("long")}).select(*kept.columns, "n_lines_removed", "n_words_removed")
