@@ -1,0 +1,169 @@
+"""The operators against brute force, libraries and round trips, with nulls, empties, ties, repeats and clashing columns."""
+
+import hashlib
+import re
+from collections import Counter, defaultdict
+
+import public_tokenizers as P
+import pytest
+from brute_lines import removed
+from pyspark.sql import functions as F
+
+from lodegraph.llm import bpe, cotraining, jaccard, line_dedup, media, mixing, outliers, token_counts, url_filters, warc
+
+SF = "/root/testdata/sf0.001"
+ODD = [(1, None), (2, ""), (3, " \n "), (4, "a b"), (5, "A  b"), (5, "A  b"), (6, "x" * 70_000), (7, "naïve 中文 😀 <|endoftext|> #tag"), (8, "one two three " * 30)]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame(ODD, "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit(None).cast("string"), "n_chars": F.length("text").cast("long")})
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+def test_token_counts(spark, odd, docs):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    for df in (odd.withColumn("n_tokens", F.lit("clash")), docs):
+        for r in token_counts.with_token_counts(df, P.path("byte_bpe_50k.json")).collect():
+            assert r.n_tokens == len(t.encode(r.text or "", add_special_tokens=False)) and r.n_bytes == len((r.text or "").encode())
+    assert token_counts.with_token_counts(docs.limit(0), P.path("byte_bpe_50k.json")).count() == 0
+
+
+def test_media(odd):
+    for r, t in zip(sorted(media.media_features(odd).collect(), key=lambda r: r.doc_id), sorted(ODD, key=lambda x: x[0]), strict=True):
+        n, payload = media.padded(t[1])
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (n, len(payload), hashlib.sha256(payload).hexdigest())
+    png, wav = media.as_png(b"a" * 192), media.as_wav(b"b" * 192)
+    assert [x[:3] for x in media.sniff(b"BM RIFF" + png + b"ID3" + wav + b"\x1f\x8b\x08")] == [("image/png", 7, 7 + len(png)), ("audio/wav", 10 + len(png), 10 + len(png) + len(wav))]
+    assert media.sniff(png[:-3]) == [] and media.sniff(b"") == []
+
+
+def test_warc(spark):
+    body = "x" * 200
+    rows = [(1, "http://a", body), (2, None, body), (3, "http://c", "short"), (4, "u", "short"), (5, "u", None), (2, "again", body)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    archives = warc.write_archives(df)
+    got = sorted((r.record_id, r.record_type, r.refers_to or "", r.payload_bytes, r.error) for r in warc.read_archives(archives).collect())
+    assert got == [("1", "response", "", 200, None), ("2", "revisit", "1", 200, None), ("2", "revisit", "1", 200, None), ("3", "response", "", 5, None), ("4", "response", "", 5, None), ("5", "response", "", 0, None)]
+    content = bytes(archives.first().content)
+    assert list(warc.records(content[:-7]))[-1]["error"]
+    many = [warc.record(k, "u", f"<p>{k} some page text {k * 7919}</p>".encode() * 20, "d", 1, None) for k in range(400)]
+    assert len(list(warc.frames(warc.archive(many)))) == 401 and warc.archive(many)[8:12] == b"\x28\xb5\x2f\xfd"
+
+
+def test_url_filters(spark):
+    rules = [url_filters.host_rule("allow", "org/"), url_filters.host_rule("block", "example.org/es/"), *url_filters.WORD_RULES]
+    rows = [(1, "http://A.Example.org/es/x?q#f"), (2, "https://example.org"), (3, None), (4, "no scheme"), (5, "http://notexample.org/es/"), (5, "http://notexample.org/es/"), (6, "http://casino.com/"), (7, "http://my-casino.com/")]
+    df = spark.createDataFrame(rows, "page_id long, url string").withColumn("rule", F.lit(1))
+    got = sorted((r.page_id, r.host, r.path, r.rule, r.verdict) for r in url_filters.with_verdicts(df, rules).collect())
+    assert got == [(1, "a.example.org", "/es/x", "example.org/es/", "block"), (2, "example.org", "", None, "allow"), (3, "", "", None, "allow"), (4, "", "", None, "allow"), (5, "notexample.org", "/es/", "org/", "allow"), (5, "notexample.org", "/es/", "org/", "allow"), (6, "casino.com", "/", None, "block"), (7, "my-casino.com", "/", None, "allow")]
+
+
+def test_bpe(spark, odd, docs):
+    import tiktoken
+
+    path = P.path("byte_bpe_50k.tiktoken")
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.load_ranks(path), special_tokens={})
+    texts = {r.doc_id: r.text or "" for r in odd.collect()}
+    for r in bpe.round_trip(odd.where("doc_id <> 6"), path, P.PATTERN).collect():
+        ids = own.encode_ordinary(texts[r.doc_id])
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(texts[r.doc_id].encode()).hexdigest())
+    both = bpe.decoded(bpe.encoded(docs, path, P.PATTERN), path, P.PATTERN).join(docs, "doc_id")
+    assert all(bytes(r.bytes).decode() == r.text for r in both.collect())
+
+
+def test_statistics(odd, docs):
+    for df in (odd, docs):
+        for r in outliers.with_statistics(df).collect():
+            t = r.text or ""
+            w = re.findall(r"[^\x20\x09-\x0D]+", t)
+            windows = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+            seen = Counter(windows)
+            inside = {i + j for i, x in enumerate(windows) if seen[x] > 1 for j in range(3)}
+            lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+            assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(inside))
+
+
+def test_outliers(spark, odd):
+    d, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    got = {tuple(r)[:3]: r["count"] for r in outliers.with_verdicts(d).join(labels, "doc_id").groupBy("quality", "base_failed", "kept").count().collect()}
+    assert got.get((0, False, True), 0) == 0 and got.get((1, False, False), 0) <= 0.02 * got[1, False, True]
+    assert outliers.with_verdicts(odd).count() == len(ODD) and outliers.with_verdicts(odd.limit(0)).count() == 0
+
+
+def test_mixing(spark, odd, docs):
+    rows = mixing.mix(docs).collect()
+    by = defaultdict(list)
+    for r in rows:
+        by[r.source].append(r)
+    total = sum(r.size for r in rows)
+    assert abs(sum(x[0].target for x in by.values()) - 1.5 * total) < 1e-6 * total
+    for x in by.values():
+        assert x[0].source_size == sum(r.size for r in x) and abs(sum(r.taken for r in x) - x[0].target) <= max(r.size for r in x) and x[0].target <= 2 * x[0].source_size + 1e-9
+    assert sorted((r.doc_id, r.taken) for r in mixing.mix(docs.repartition(5)).collect()) == sorted((r.doc_id, r.taken) for r in rows)
+    assert mixing.mix(odd).count() == len(ODD) and mixing.mix(odd.limit(0)).count() == 0
+
+
+def brute_classes(rows, k, num, den):
+    sets = {}
+    for i, t in rows:
+        w = [x.decode() for x in (t or "").encode().lower().split()]
+        sets[i] = set(map(tuple, ([w] if 0 < len(w) < k else [w[j : j + k] for j in range(len(w) - k + 1)])))
+    up = {i: i for i in sets}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and den * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                up[y] = x
+    return {i: (len(sets[i]), find(i)) for i in sets}
+
+
+@pytest.mark.parametrize(("k", "num"), [(3, 90), (5, 80)])
+def test_jaccard(spark, k, num):
+    import random
+
+    random.seed(k)
+    rows = [(i, t) for i, t in ODD if i != 6]
+    for size, copies in ((120, 50), (30, 30), (9, 20)):
+        base = [f"w{random.randrange(200)}" for _ in range(size)]
+        for _ in range(copies):
+            w = list(base)
+            for _ in range(random.choice([0, 1, 1, 2, 3, 5])):
+                w[random.randrange(size)] = f"w{random.randrange(200)}"
+            rows.append((100 + len(rows), " ".join(w)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string"), k=k, num=num).collect()}
+    assert got == brute_classes(rows, k, num, 100)
+
+
+def test_line_dedup(spark):
+    import random
+
+    random.seed(4)
+    parts = ["a b", "c d e", "f", "g h i j", "", "k l"]
+    rows = [(n, "\n".join(random.choice(parts) for _ in range(random.randint(0, 20)))) for n in range(40)] + [(100, None), (101, ""), (102, "f\n" * 30), (103, "f\n" * 30)]
+    want = removed(rows, 10)
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_lines_removed", F.lit("clash"))
+    for r in line_dedup.without_repeats(df, min_words=10).collect():
+        t = dict(rows)[r.doc_id]
+        gone = want.get((r.doc_id, t), set())
+        assert r.n_lines_removed == len(gone) and r.text == (None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone))
+
+
+def test_cotraining(spark, odd):
+    d, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    held = cotraining.scored(d, labels.where("doc_id % 3 <> 0")).join(labels.where("doc_id % 3 = 0"), "doc_id").collect()
+    good, bad = [r.kept for r in held if r.quality == 1], [r.kept for r in held if r.quality == 0]
+    assert sum(good) >= 0.95 * len(good) and sum(bad) <= 0.5 * len(bad)
+    assert all(r.kept and r.score == 1 for r in cotraining.scored(odd, labels.limit(0)).collect())
