@@ -8,6 +8,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's own removal of an execution's shuffle files at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's `spark.checkpoint.dir`; only where that is unset (tests, local mode) a folder of our own."""
@@ -22,7 +25,8 @@ def shared_folder(spark: SparkSession) -> str:
 class Scratch:
     """Written tables that cut lineage: a lost executor rereads files instead of recomputing everything before them.
 
-    `save` writes a table as Parquet and returns it reread. `drop` deletes named tables; `finish` keeps only the
+    `save` writes a table as Parquet and returns it reread; the shuffle files of that one execution go when it ends, as
+    nothing reads them after it (they serve its own retries till then). `drop` deletes named tables; `finish` keeps only the
     result's table, which stays until the driver ends.
     """
 
@@ -33,7 +37,12 @@ class Scratch:
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        before = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").parquet(path)
+        finally:
+            self.spark.conf.unset(CLEANUP) if before is None else self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
