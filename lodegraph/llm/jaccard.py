@@ -3,10 +3,10 @@ r"""N-gram Jaccard join by parity sketches.
 A document's set is its distinct shingles of `k` words (fewer words: the whole sequence as one). Each shingle is hashed
 and toggles one bit of a sketch; the Hamming distance of two sketches is at most the symmetric difference of the sets.
 Sizes are cut into bands, each with the greatest difference D that a link in it may have, and a band's sketches are
-cut into D + 1 + E blocks. Linked sets differ in at most D blocks, so 1 + E blocks at least are equal. Blocks of no or
-one shingle are weak: they are equal in sets that just share a phrase. A set with at most E weak blocks has an equal
-block that isn't, with whatever it links to, and emits the others only; a set with more emits all. So an equality join
-on (band, block, content) finds every link; a set that may be a pair's larger one emits the band below as well. Keys
+cut into D + 1 + E blocks. Linked sets differ in at most D blocks, so 1 + E blocks at least are equal. Empty
+blocks are weak: they are equal in sets that share nothing. A set with w <= E of them has 1 + E - w filled blocks at
+least in common with whatever it links to, and emits the filled ones only; a set with more emits all. So an equality
+join on (band, block, content) finds every link; a set that may be a pair's larger one emits the band below as well. Keys
 that one set alone has are most; they are found by a pre-aggregated count, and a second pass over the texts emits the
 rest only, thinned by a bitmap of bounded size (beyond that size it just thins less).
 
@@ -94,18 +94,13 @@ def _low(i: int, num: int, den: int) -> int:
 
 @lru_cache(maxsize=4096)
 def _blocks(i: int, num: int, den: int) -> tuple[int, int]:
-    """(E, blocks) of band i: E covers nearly all sets' weak blocks, if that many blocks can."""
+    """(E, blocks) of band i: the least E by which nearly all sets have half as many filled blocks more as links differ in."""
     low, top = _low(i, num, den), _low(i + 1, num, den) - 1
     d = (den - num) * (top + top * den // num) // (den + num)
-    e = 1
-    for _ in range(64):
-        mean = low / (d + 1 + e)
-        weak = (d + 1 + e) * (1 + mean) * math.exp(-mean)
-        more = math.ceil(weak + 2 * math.sqrt(weak))
-        if more <= e or e > d:
+    for e in range(1, 2 * d + 4):
+        empty = (d + 1 + e) * math.exp(-low / (d + 1 + e))
+        if 1 + e - empty - 2 * math.sqrt(empty) >= d / 2:
             break
-        e = more
-    e = min(e, d + 1)
     return e, d + 1 + e
 
 
@@ -132,15 +127,11 @@ def block_keys(tokens: np.ndarray, num: int, den: int) -> list[tuple[int, np.nda
             toggled = mixed(block * np.uint64(BLOCK_BITS) + bit + np.uint64(1))
             first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
             content, which = np.bitwise_xor.reduceat(toggled, first), block[first]
-            strong = np.diff(np.append(first, n)) > 1
-            weak = blocks - int(strong.sum())
+            weak = blocks - len(which)
             if weak > spare:
                 gone = np.setdiff1d(np.arange(blocks, dtype=np.uint64), which)
                 content, which = np.concatenate([content, np.zeros(len(gone), np.uint64)]), np.concatenate([which, gone])
-            else:
-                content, which = content[strong], which[strong]
-            # blocks - D equal blocks at least, D being blocks - 1 - spare; of a set that emits its strong blocks
-            # only, no more than its weak ones are missing, and its partner emits whatever is strong.
+            # blocks - D equal blocks at least, D being blocks - 1 - spare, of which no more than `weak` are empty.
             keys = mixed(content ^ mixed((np.uint64(i + 1) << _32) + which))
             out.append((1 if weak > spare else 1 + spare - weak, keys.view(np.int64)))
     return out
@@ -156,29 +147,49 @@ def fingerprint(tokens: np.ndarray) -> int:
 
 
 def _sketched(df: DataFrame, row: str, text: str, k: int, num: int, den: int, bitmap: np.ndarray | None = None) -> DataFrame:
-    """(id, n, v, keys) of every row; with a bitmap, of the keys those that are in it."""
+    """(id, n, v, bands) of every row, bands being (need, keys) of each; with a bitmap, of the keys those that are in it."""
     held = None if bitmap is None else df.sparkSession.sparkContext.broadcast(bitmap)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = None if held is None else held.value
 
-        def keys(tokens: np.ndarray) -> np.ndarray:
-            out = [np.empty(0, np.int64)]
+        def bands(tokens: np.ndarray) -> list[tuple[int, np.ndarray]]:
+            out = []
             for need, found in block_keys(tokens, num, den):
                 if bits is not None:
                     at = found & ((1 << BITMAP) - 1)
                     found = found[(bits[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)]
                     if len(found) < need:  # fewer than any link of the set has in this band
                         continue
-                out.append(found)
-            return np.concatenate(out)
+                out.append((need, found))
+            return out
+
+        def offsets(parts: list) -> pa.Array:
+            return pa.array(np.cumsum([0, *map(len, parts)]), pa.int32())
 
         for batch in by_bytes(batches, text):
             sets = [shingles(t, k) for t in batch.column(1).to_pylist()]
-            columns = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.int64()), pa.array([keys(s) for s in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "v", "keys"])
+            by_set = [bands(s) for s in sets]
+            flat = [x for found in by_set for x in found]
+            keys = pa.ListArray.from_arrays(offsets([x for _, x in flat]), pa.array(np.concatenate([np.empty(0, np.int64), *(x for _, x in flat)])))
+            both = pa.StructArray.from_arrays([pa.array([need for need, _ in flat], pa.int32()), keys], ["need", "keys"])
+            columns = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(offsets(by_set), both)]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "v", "bands"])
+
+    return map_batches(df.select(row, text), work, f"id {df.schema[row].dataType.simpleString()}, n long, v long, bands array<struct<need:int,keys:array<bigint>>>")
+
+
+def _memberships(nodes: DataFrame, buckets: DataFrame) -> DataFrame:
+    """(leader, v): the leaders that v is compared with.
 
-    return map_batches(df.select(row, text), work, f"id {df.schema[row].dataType.simpleString()}, n long, v long, keys array<long>")
+    Linked sets share `need` keys of a band at least, both by the one's count and the other's. So each may leave out
+    half of what is short of that, floor((need - 1) / 2) keys: the two together leave one that both keep. Those of the
+    leaders that v shares fewest keys with go first; most of these just share a phrase with v.
+    """
+    keyed = nodes.select("v", F.posexplode("bands").alias("band", "x")).select("v", "band", "x.need", F.explode("x.keys").alias("key"))
+    shared = keyed.join(buckets, "key").where("v != leader").groupBy("v", "band", "need", "leader").agg(F.count(F.lit(1)).alias("c"))
+    kept = shared.withColumn("gone", F.expr("sum(c) over (partition by v, band order by c, leader rows unbounded preceding)")).where("gone > (need - 1) div 2")
+    return kept.select("leader", "v").distinct()
 
 
 def _bitmap(buckets: DataFrame) -> np.ndarray:
@@ -202,23 +213,26 @@ def _sets(df: DataFrame, k: int) -> DataFrame:
 
 
 def _differences(df: DataFrame) -> DataFrame:
-    """(leader, v, n, n_leader, delta) of rows (leader, v, tokens, own): own are the leader's tokens."""
+    """(leader, v, n, n_leader, d, delta) of rows (leader, v, m, tokens, own): own are the leader's tokens, d the
+    difference's size; the difference itself only where the leader has other sets that it serves to compare with."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                pairs = [(part.column(2)[i].values.to_numpy(zero_copy_only=False), part.column(3)[i].values.to_numpy(zero_copy_only=False)) for i in range(part.num_rows)]
-                columns = [part.column(0), part.column(1), pa.array([len(a) for a, _ in pairs], pa.int64()), pa.array([len(b) for _, b in pairs], pa.int64()), pa.array([np.setxor1d(a, b, assume_unique=True) for a, b in pairs], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, ["leader", "v", "n", "n_leader", "delta"])
+                many = [m > 1 for m in part.column(2).to_pylist()]
+                pairs = [(part.column(3)[i].values.to_numpy(zero_copy_only=False), part.column(4)[i].values.to_numpy(zero_copy_only=False)) for i in range(part.num_rows)]
+                found = [np.setxor1d(a, b, assume_unique=True) for a, b in pairs]
+                sizes = [pa.array([len(x) for x in y], pa.int64()) for y in (*([p[j] for p in pairs] for j in (0, 1)), found)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *sizes, pa.array([x if keep else None for x, keep in zip(found, many, strict=True)], pa.list_(pa.int64()))], ["leader", "v", "n", "n_leader", "d", "delta"])
 
-    return map_batches(df, work, "leader long, v long, n long, n_leader long, delta array<long>")
+    return map_batches(df, work, "leader long, v long, n long, n_leader long, d long, delta array<long>")
 
 
 def _links(given: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
     """(u, w): links that connect what the differences from leaders show to be connected."""
     a, b = den + num, den - num  # sets link where a * difference <= b * (size + size)
-    near = f"{a} * size(delta) <= {b} * (n + n_leader)"
+    near = f"{a} * d <= {b} * (n + n_leader)"
     to_leader = given.where(near).select(F.col("leader").alias("u"), F.col("v").alias("w"))
     groups = given.groupBy("leader").agg(F.count(F.lit(1)).alias("m"), F.sum(F.expr(f"if({near}, 0, 1)")).alias("far"), F.first("n_leader").alias("n"))
     opened = scratch.save(groups.where("m > 1 and far > 0"), "groups")
@@ -254,21 +268,23 @@ def classes(df: DataFrame, row: str = "doc_id", text: str = "text", k: int = 3,
     """(row, n_shingles, component_id): sets link where den * intersection >= num * union; a component is named by the
     least id in it. Sets of one text or of copies are one component."""
     scratch = Scratch(df.sparkSession)
-    keyed = _sketched(df, row, text, k, num, den).select(F.explode("keys").alias("key"), "v")
+    keyed = _sketched(df, row, text, k, num, den).select(F.explode("bands.keys").alias("keys"), "v").select(F.explode("keys").alias("key"), "v")
     buckets = keyed.groupBy("key").agg(F.min("v").alias("leader"), F.max("v").alias("most")).where("leader < most").drop("most")
     buckets = scratch.save(buckets, "buckets")
     base = scratch.save(_sketched(df, row, text, k, num, den, _bitmap(buckets)), "base")
-    nodes = scratch.save(base.where("n > 0").groupBy("v").agg(F.min("id").alias("least")), "nodes")
-    thinned = base.select(F.explode("keys").alias("key"), "v")
-    pairs = scratch.save(thinned.join(buckets, "key").where("v != leader").select("leader", "v").distinct(), "pairs")
-    wanted = scratch.save(pairs.select("v").unionByName(pairs.select(F.col("leader").alias("v"))).distinct().join(nodes, "v"), "wanted")
-    few = wanted.count() <= BROADCAST_IDS
+    nodes = scratch.save(base.where("n > 0").groupBy("v").agg(F.min("id").alias("least"), F.first("bands").alias("bands")), "nodes")
+    pairs = scratch.save(_memberships(nodes, buckets), "pairs")
+    wanted = scratch.save(pairs.select("v").unionByName(pairs.select(F.col("leader").alias("v"))).distinct().join(nodes, "v").select("v", "least"), "wanted")
+    size = wanted.count()
     ids = wanted.select("v", F.col("least").alias("__id"))
-    texts = df.select(F.col(row).alias("__id"), F.col(text).alias("text")).join(F.broadcast(ids) if few else ids, "__id").select("v", "text")
-    sets = scratch.save(_sets(texts, k).dropDuplicates(["v"]), "sets")
+    texts = df.select(F.col(row).alias("__id"), F.col(text).alias("text")).join(F.broadcast(ids) if size <= BROADCAST_IDS else ids, "__id").select("v", "text")
+    sets = scratch.save(_sets(texts, k), "sets")
+    if sets.count() != size:  # rows of one id and one text
+        sets = scratch.save(sets.dropDuplicates(["v"]), "distinct")
     own = sets.select(F.col("v").alias("leader"), F.col("tokens").alias("own"))
-    given = scratch.save(_differences(pairs.join(sets, "v").join(own, "leader").select("leader", "v", "tokens", "own")), "differences")
-    scratch.drop("sets")
+    met = pairs.join(pairs.groupBy("leader").agg(F.count(F.lit(1)).alias("m")), "leader").join(sets, "v").join(own, "leader")
+    given = scratch.save(_differences(met.select("leader", "v", "m", "tokens", "own")), "differences")
+    scratch.drop("sets", "distinct")
     links = scratch.save(_links(given, num, den, scratch), "links")
     roots = components(links, scratch)
     named = nodes.join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
