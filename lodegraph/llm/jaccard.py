@@ -201,6 +201,16 @@ def _bitmap(buckets: DataFrame) -> np.ndarray:
     return out
 
 
+def _fingerprinted(df: DataFrame, k: int) -> DataFrame:
+    """(v, text) of rows (text)."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, "text"):
+            yield pa.RecordBatch.from_arrays([pa.array([fingerprint(shingles(t, k)) for t in batch.column(0).to_pylist()], pa.int64()), batch.column(0)], ["v", "text"])
+
+    return map_batches(df, work, "v long, text string")
+
+
 def _sets(df: DataFrame, k: int) -> DataFrame:
     """(v, tokens) of rows (v, text): those whose text has the fingerprint v."""
 
@@ -276,11 +286,19 @@ def classes(df: DataFrame, row: str = "doc_id", text: str = "text", k: int = 3,
     pairs = scratch.save(_memberships(nodes, buckets), "pairs")
     wanted = scratch.save(pairs.select("v").unionByName(pairs.select(F.col("leader").alias("v"))).distinct().join(nodes, "v").select("v", "least"), "wanted")
     size = wanted.count()
-    ids = wanted.select("v", F.col("least").alias("__id"))
-    texts = df.select(F.col(row).alias("__id"), F.col(text).alias("text")).join(F.broadcast(ids) if size <= BROADCAST_IDS else ids, "__id").select("v", "text")
+    held = F.broadcast if size <= BROADCAST_IDS else lambda x: x
+    ids = wanted.where("least is not null").select("v", F.col("least").alias("__id"))
+    texts = df.select(F.col(row).alias("__id"), F.col(text).alias("text")).join(held(ids), "__id").select("v", "text")
+    nameless = wanted.where("least is null").select("v")
+    if not nameless.isEmpty():  # no id fetches the sets that only rows of null id have
+        unnamed = _fingerprinted(df.where(F.col(row).isNull()).select(F.col(text).alias("text")), k)
+        texts = texts.unionByName(unnamed.join(held(nameless), "v").select("v", "text"))
     sets = scratch.save(_sets(texts, k), "sets")
-    if sets.count() != size:  # rows of one id and one text
+    if (found := sets.count()) != size:  # rows of one id and one text
         sets = scratch.save(sets.dropDuplicates(["v"]), "distinct")
+        found = sets.count()
+    if found != size:
+        raise RuntimeError(f"{found} of {size} sets to compare were fetched")
     own = sets.select(F.col("v").alias("leader"), F.col("tokens").alias("own"))
     met = pairs.join(pairs.groupBy("leader").agg(F.count(F.lit(1)).alias("m")), "leader").join(sets, "v").join(own, "leader")
     given = scratch.save(_differences(met.select("leader", "v", "m", "tokens", "own")), "differences")

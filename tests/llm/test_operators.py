@@ -147,6 +147,24 @@ def test_jaccard(spark, k, num):
     assert got == brute_classes(rows, k, num, 100)
 
 
+def test_jaccard_null_ids(spark):
+    """A near copy of null id as the leader of its buckets, and as the bridge between two others."""
+    words = [f"w{i}" for i in range(60)]
+    changed = lambda *at: " ".join(f"z{i}" if i in at else w for i, w in enumerate(words))
+    for at in range(2, 58):  # the middle one links to both, which do not link; its fingerprint shall be the least
+        a, bridge, b = changed(), changed(at), changed(at, (at + 20) % 60)
+        v = [jaccard.fingerprint(jaccard.shingles(t, 3)) for t in (a, bridge, b)]
+        if v[1] == min(v):
+            break
+    assert v[1] == min(v)
+    rows = [(1, a), (None, bridge), (None, bridge), (2, b), (3, "on its own " + changed(*range(60))), (None, None), (None, "alone here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_classes([(1, a), (1.5, bridge), (2, b)], 3, 85, 100)
+    assert {i: c for i, (_, c) in want.items()} == {1: 1, 1.5: 1, 2: 1} and brute_classes([(1, a), (2, b)], 3, 85, 100)[2][1] == 2
+    got = sorted(((r.doc_id, r.component_id) for r in jaccard.classes(df, k=3, num=85).collect()), key=repr)
+    assert got == sorted([(1, 1), (None, 1), (None, 1), (2, 1), (3, 3), (None, None), (None, None)], key=repr)
+
+
 def test_line_dedup(spark):
     import random
 
