@@ -1,10 +1,10 @@
 r"""Byte-level BPE encoding and decoding with DuckDB recursive queries, one connection a Python worker.
 
 Encoding: a pattern cuts each text into words. A word that is a token is that token. The other distinct words of a
-batch become token-position rows; a recursive query joins neighbours with the merge table and contracts each word's
-leftmost pair of least rank until no word has a pair. (A pair's further occurrences in the word are contracted in the
-same step only where no token that the merge makes possible has a lower rank, which gives the same tokens.) Words once
-merged are remembered, up to REMEMBERED a worker. Words of up to SHORT bytes take a query that contracts one pair a step. Decoding: ids join the vocabulary, and an ordered aggregation
+batch, where of up to SHORT bytes, become token-position rows; a recursive query joins neighbours with the merge table
+and contracts each word's leftmost pair of least rank until no word has a pair. Longer words, whose states of all steps
+would grow with the square of their length, are contracted in the same order by a heap of (rank, place), in n log n steps.
+Words once merged are remembered, up to REMEMBERED a worker. Decoding: ids join the vocabulary, and an ordered aggregation
 concatenates the tokens' bytes.
 
 Null text counts as empty: no ids, and an empty decoding. Texts of any length are taken whole; one batch holds about
@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import numpy as np
@@ -30,28 +31,7 @@ REMEMBERED, SHORT = 1_500_000, 200
 QUERY_ROWS = 1_500_000
 _coders: dict[tuple[str, str], Coder] = {}
 
-MERGE = """
-WITH RECURSIVE state(step, w, pos, id) AS (
-    SELECT 0, w, pos, id FROM letters
-  UNION ALL
-    SELECT step + 1, w, pos, CASE WHEN take THEN merged ELSE id END
-    FROM (
-      SELECT *, coalesce(lag(take) OVER (PARTITION BY w ORDER BY pos), false) AS eaten
-      FROM (
-        SELECT *, coalesce(merged = least_rank AND (pos = leftmost OR (free AND NOT coalesce(before = least_rank, false))), false) AS take
-        FROM (
-          SELECT *, lag(merged) OVER (PARTITION BY w ORDER BY pos) AS before,
-                 min(CASE WHEN merged = least_rank THEN pos END) OVER (PARTITION BY w) AS leftmost
-          FROM (
-            SELECT step, p.w, p.pos, p.id, m.merged, m.free, min(m.merged) OVER (PARTITION BY p.w) AS least_rank
-            FROM (SELECT *, lead(id) OVER (PARTITION BY w ORDER BY pos) AS next FROM state) p
-            LEFT JOIN merges m ON m.l = p.id AND m.r = p.next)
-          WHERE least_rank IS NOT NULL)))
-    WHERE NOT eaten
-)
-SELECT w, string_agg(id::VARCHAR, ' ' ORDER BY pos) AS ids FROM (SELECT *, max(step) OVER (PARTITION BY w) AS last FROM state) WHERE step = last GROUP BY w
-"""
-#: The same for short words, one contraction a step: the least of (rank, place) needs no order but the neighbours'.
+#: One contraction a step: the least of (rank, place) needs no order but the neighbours'.
 MERGE_SHORT = """
 WITH RECURSIVE state(w, k, id, step) AS (
     SELECT w, pos, id, 0 FROM letters
@@ -89,14 +69,10 @@ class Coder:
         self.known: dict[str, str] = {}
         # Every way to cut a token into two tokens is a merge that yields it; its rank is its id.
         cuts = [(self.ranks[t[:k]], self.ranks[t[k:]], n) for t, n in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
-        least: dict[int, int] = {}
-        for a, b, n in cuts:
-            least[a], least[b] = min(n, least.get(a, n)), min(n, least.get(b, n))
-        # Free: no merge that the new token takes part in has a lower rank.
+        self.merges = {(a, b): n for a, b, n in cuts}
         left, right, made = (pa.array(c, pa.int32()) for c in zip(*cuts, strict=True))
-        free = pa.array([least.get(n, n + 1) > n for _, _, n in cuts])
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "preserve_insertion_order": "false"})
-        given = pa.table({"l": left, "r": right, "merged": made, "free": free})
+        given = pa.table({"l": left, "r": right, "merged": made})
         words = pa.table({"id": pa.array(list(self.ranks.values()), pa.int32()), "hex": pa.array([t.hex() for t in self.ranks])})
         self.db.register("given", given)
         self.db.execute("CREATE TABLE merges AS SELECT * FROM given")
@@ -107,45 +83,67 @@ class Coder:
         self.letter = np.array([self.ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
 
     def merge(self, words: list[bytes]) -> tuple[list[int], list[str]]:
-        """Places in `words` and ids as text; each word is of two bytes at least and no token itself."""
+        """Places in `words` and ids as text; each word is of two bytes at least, of SHORT at most, and no token itself."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         raw = np.frombuffer(b"".join(words), np.uint8)
         starts = np.repeat(np.cumsum(sizes) - sizes, sizes)
         letters = pa.table({"w": np.repeat(np.arange(len(words), dtype=np.int32), sizes), "pos": (np.arange(len(raw)) - starts).astype(np.int32), "id": self.letter[raw]})
         self.db.register("letters", letters)
-        got = self.db.sql(MERGE_SHORT if int(sizes.max()) <= SHORT else MERGE).to_arrow_table()
+        got = self.db.sql(MERGE_SHORT).to_arrow_table()
         self.db.unregister("letters")
         return got.column("w").to_pylist(), got.column("ids").to_pylist()
 
+    def merge_long(self, word: bytes) -> str:
+        """Ids as text of a word of any length: neighbours in linked lists, their pairs in a heap of (rank, place)."""
+        merges, n = self.merges, len(word)
+        ids = self.letter[np.frombuffer(word, np.uint8)].tolist()
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap = [(m, k) for k in range(n - 1) if (m := merges.get((ids[k], ids[k + 1]))) is not None]
+        heapify(heap)
+        while heap:
+            made, k = heappop(heap)
+            if ids[k] < 0 or after[k] >= n or merges.get((ids[k], ids[after[k]])) != made:  # eaten, or no longer this pair
+                continue
+            gone = after[k]
+            ids[k], ids[gone], after[k] = made, -1, after[gone]
+            if after[k] < n:
+                before[after[k]] = k
+                if (m := merges.get((made, ids[after[k]]))) is not None:
+                    heappush(heap, (m, k))
+            if before[k] >= 0 and (m := merges.get((ids[before[k]], made))) is not None:
+                heappush(heap, (m, before[k]))
+        return " ".join(str(x) for x in ids if x >= 0)
+
     def learn(self, texts: list[list[str]]) -> dict[str, str]:
         """What each distinct word of the texts encodes to."""
         if len(self.known) > REMEMBERED:  # the older half goes
             self.known = dict(list(self.known.items())[REMEMBERED // 2 :])
         known, ranks = self.known, self.ranks
-        ask: dict[bool, tuple[list[str], list[bytes]]] = {True: ([], []), False: ([], [])}
-        size = {True: 0, False: 0}
+        words: list[str] = []
+        raws: list[bytes] = []
+        size = 0
 
-        def query(short: bool) -> None:
-            words, raws = ask[short]
+        def query() -> None:
             places, ids = self.merge(raws)
             known.update(zip(map(words.__getitem__, places), ids, strict=True))
             words.clear(), raws.clear()
-            size[short] = 0
 
         for word in set(chain.from_iterable(texts)).difference(known):
             raw = word.encode("utf-8", "surrogatepass")
             if raw in ranks:
                 known[word] = str(ranks[raw])
                 continue
-            short = len(raw) <= SHORT
-            if size[short] + len(raw) > QUERY_ROWS and ask[short][0]:
-                query(short)
-            ask[short][0].append(word)
-            ask[short][1].append(raw)
-            size[short] += len(raw)
-        for short in (True, False):
-            if ask[short][0]:
-                query(short)
+            if len(raw) > SHORT:
+                known[word] = self.merge_long(raw)
+                continue
+            if size + len(raw) > QUERY_ROWS and raws:
+                query()
+                size = 0
+            words.append(word)
+            raws.append(raw)
+            size += len(raw)
+        if raws:
+            query()
         return known
 
     def shown(self, texts: list[str]) -> list[str]:

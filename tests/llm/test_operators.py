@@ -78,6 +78,25 @@ def test_bpe(spark, odd, docs):
     assert all(bytes(r.bytes).decode() == r.text for r in both.collect())
 
 
+def test_bpe_long_words(spark, odd):
+    import random
+
+    import tiktoken
+
+    random.seed(5)
+    path = P.path("byte_bpe_50k.tiktoken")
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.load_ranks(path), special_tokens={})
+    letters = "".join(random.choices("etaoinshrdlu", k=60_000))
+    more = ["x" * 201, "ab" * 3000, "the" * 777 + "x" * 501, "=" * 70_001, letters, "\u4e2d\u6587" * 900, "a" * 199]
+    texts = {**{20 + k: t for k, t in enumerate(more)}, 6: "x" * 70_000}
+    df = odd.where("doc_id = 6").select("doc_id", "text").unionByName(spark.createDataFrame([(i, t) for i, t in texts.items() if i != 6], "doc_id long, text string"))
+    got = bpe.round_trip(df, path, P.PATTERN).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        ids = own.encode_ordinary(texts[r.doc_id])
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(texts[r.doc_id].encode()).hexdigest())
+
+
 def test_statistics(odd, docs):
     for df in (odd, docs):
         for r in outliers.with_statistics(df).collect():
