@@ -252,6 +252,31 @@ def promote_first(spark, sf_dir):
     return store.promote(_pending(spark, sf_dir), nodes(spark, sf_dir).withColumn("ord", F.col("key")))
 
 
+# The three above ask for a part of the references; these for those of all orders and all customers.
+_REFS_ALL = ", refs_ AS (SELECT DISTINCT o_custkey AS from_id, upper(substr(o_orderpriority, 3)) AS seeking FROM orders UNION SELECT DISTINCT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey) "
+
+
+def _all_pending(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("from_id"), F.upper(F.expr("substr(o_orderpriority, 3)")).alias("seeking"))
+    named = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("from_id"), F.col("n_name").alias("seeking"))
+    return orders.unionByName(named).distinct().withColumn("edge_kind", F.lit("imports"))
+
+
+@query(G + _REFS_ALL + "SELECT from_id, node_id AS to_id, 'imports' AS kind FROM refs_ JOIN nodes ON seeking = name")
+def resolve_exact_all(spark, sf_dir):
+    return store.resolve(_all_pending(spark, sf_dir), nodes(spark, sf_dir))[0]
+
+
+@query(G + _REFS_ALL + "SELECT from_id, seeking FROM refs_ WHERE seeking NOT IN (SELECT name FROM nodes)")
+def unresolved_remaining_all(spark, sf_dir):
+    return store.resolve(_all_pending(spark, sf_dir), nodes(spark, sf_dir))[1].select("from_id", "seeking")
+
+
+@query(G + _REFS_ALL + "SELECT from_id, first AS to_id, 'imports' AS kind FROM refs_ JOIN (SELECT name, arg_min(node_id, key) AS first FROM nodes GROUP BY 1) ON seeking = name")
+def promote_first_all(spark, sf_dir):
+    return store.promote(_all_pending(spark, sf_dir), nodes(spark, sf_dir).withColumn("ord", F.col("key")))
+
+
 @query(G + "SELECT edge_id FROM edges WHERE to_id NOT IN (SELECT node_id FROM nodes WHERE name NOT LIKE '%E%')")
 def demote_missing(spark, sf_dir):
     return store.demote(edges(spark, sf_dir), nodes(spark, sf_dir).where("name NOT LIKE '%E%'")).select("edge_id")
@@ -370,6 +395,15 @@ def knn_cosine(spark, sf_dir):
     return search.nearest(vectors, of, 20).select("vec_id", F.round("score", 5).alias("score"))
 
 
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT query_id, vec_id, list_cosine_similarity(embedding::DOUBLE[], v::DOUBLE[]) AS c FROM embeddings, q)
+SELECT query_id, vec_id, round(c, 5) AS score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY c DESC, vec_id) <= 20""")
+def knn_batch(spark, sf_dir):
+    """The 20 nearest of every vector whose id is divisible by 100."""
+    vectors = table(spark, sf_dir, "embeddings")
+    queries = vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return search.nearest_batch(vectors, queries, 20).select("query_id", "vec_id", F.round("score", 5).alias("score"))
+
+
 # ---- context
 
 

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodegraph.functions.text import redact_preview
+from lodegraph.scratch import Scratch
 
 PATTERN_LIMIT = 10 << 20
 
@@ -124,6 +126,23 @@ def nearest(vectors: DataFrame, query: list[float], k: int, key: str = "vec_id",
     return scored.orderBy(F.desc("score"), key).limit(k)
 
 
+def nearest_batch(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", block: int = 256) -> DataFrame:
+    """Exact: (query_id, key, score), k rows for each of queries (query_id, query).
+
+    About `block` queries at a time are broadcast and their results written, at any number of queries; the places in a block
+    are cut before the shuffle. Vectors of another dimension than the query's don't take part.
+    """
+    scratch = Scratch(vectors.sparkSession)
+    queries = scratch.save(queries.select("query_id", "query"), "queries")
+    blocks, parts = max(1, -(-queries.count() // block)), []
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
+    for b in range(blocks):
+        asked = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        scored = vectors.select(key, vector).join(F.broadcast(asked), F.size(vector) == F.size("query")).select("query_id", key, cosine(F.col(vector), F.col("query")).alias("score"))
+        parts.append(scratch.save(scored.withColumn("__r", F.row_number().over(best)).where(F.col("__r") <= k).drop("__r"), f"block{b}"))
+    return scratch.finish(reduce(DataFrame.unionByName, parts))
+
+
 def hashed_embedding(text: Column, dimension: int) -> Column:
     """Words into buckets by digest, with the sign of a further byte; unit length."""
     digest = lambda w: F.sha2(w, 256)

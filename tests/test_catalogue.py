@@ -26,3 +26,25 @@ def test_same_as_duckdb(spark, duck, name):
     assert sorted(want.columns) == columns
     places = [want.columns.index(c) for c in columns]
     assert got == sorted(repr(tuple(r[i] for i in places)) for r in want.fetchall())
+
+
+def test_references_of_all_orders_and_customers(spark, duck):
+    """Each is resolved or reported as pending."""
+    told = {(r.from_id, r.seeking) for r in catalogue.QUERIES["unresolved_remaining_all"](spark, SF).collect()}
+    names = dict(duck.sql(catalogue.G + "SELECT node_id, name FROM nodes").fetchall())
+    told |= {(r.from_id, names[r.to_id]) for r in catalogue.QUERIES["resolve_exact_all"](spark, SF).collect()}
+    orders = set(duck.sql("SELECT o_custkey, upper(substr(o_orderpriority, 3)) FROM orders").fetchall())
+    customers = set(duck.sql("SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey").fetchall())
+    assert told == orders | customers
+
+
+@pytest.mark.parametrize("block", [2, 256])
+def test_search_of_every_hundredth_vector(spark, block):
+    from lodegraph.operators import search
+
+    vectors = spark.read.parquet(f"{SF}/embeddings.parquet")
+    queries = vectors.where("vec_id % 100 = 0").selectExpr("vec_id AS query_id", "embedding AS query")
+    got = search.nearest_batch(vectors, queries, 20, block=block).collect()
+    assert {r.query_id for r in got} == {r.query_id for r in queries.collect()} and len(got) == 20 * queries.count()
+    of = vectors.where("vec_id = 100").first().embedding
+    assert sorted(r.vec_id for r in got if r.query_id == 100) == sorted(r.vec_id for r in search.nearest(vectors, [float(x) for x in of], 20).collect())
