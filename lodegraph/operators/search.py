@@ -144,10 +144,16 @@ def nearest_batch(vectors: DataFrame, queries: DataFrame, k: int, key: str = "ve
 
 
 def hashed_embedding(text: Column, dimension: int) -> Column:
-    """Words into buckets by digest, with the sign of a further byte; unit length."""
+    """Words into buckets by digest, with the sign of a further byte; unit length, or zeros where all cancel or none is."""
     digest = lambda w: F.sha2(w, 256)
     bucket = lambda w: F.conv(F.substring(digest(w), 1, 4), 16, 10).cast("long") % dimension
     sign = lambda w: F.when(F.conv(F.substring(digest(w), 7, 2), 16, 10).cast("long") % 2 == 0, 1.0).otherwise(-1.0)
     parts = F.transform(F.filter(F.split(F.lower(text), "\\s+"), lambda x: x != ""), lambda w: F.struct(bucket(w).alias("b"), sign(w).alias("s")))
     raw = F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.aggregate(F.filter(parts, lambda p: p["b"] == i), F.lit(0.0), lambda a, p: a + p["s"]))
-    return raw
+    # Through an array of one, so that the buckets are summed once.
+    return F.get(F.transform(F.array(raw), lambda v: _unit(v)), 0)
+
+
+def _unit(v: Column) -> Column:
+    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+    return F.transform(v, lambda x: F.when(norm > 0, x / norm).otherwise(x))

@@ -90,3 +90,9 @@ def test_stream_sessions(spark, tmp_path):
     stream = watch.sessions(watch.relevant(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))), "2 seconds", watermark="1 second")
     watch.apply_each(stream, lambda batch, _: out.extend(batch.collect()), str(tmp_path / "c")).awaitTermination()
     assert [(r.n_events, r.paths) for r in out] == [(2, ["a"])]
+
+
+def test_hashed_embedding_has_unit_length(spark):
+    df = spark.createDataFrame([("One two two three",), ("a",), ("a a b c d e f",), ("",)], "t string")
+    got = [sum(x * x for x in r.v) for r in df.select(search.hashed_embedding(F.col("t"), 8).alias("v")).collect()]
+    assert got[:3] == pytest.approx([1, 1, 1]) and got[3] == 0
