@@ -2,22 +2,25 @@ r"""N-gram Jaccard join by parity sketches.
 
 A document's set is its distinct shingles of `k` words (fewer words: the whole sequence as one). Each shingle is hashed
 and toggles one bit of a sketch; the Hamming distance of two sketches is at most the symmetric difference of the sets.
-Sizes are cut into bands, each with the greatest difference D that a link in it may have, and a band's sketches are
-cut into D + 1 + E blocks. Linked sets differ in at most D blocks, so 1 + E blocks at least are equal. Empty
-blocks are weak: they are equal in sets that share nothing. A set with w <= E of them has 1 + E - w filled blocks at
-least in common with whatever it links to, and emits the filled ones only; a set with more emits all. So an equality
-join on (band, block, content) finds every link; a set that may be a pair's larger one emits the band below as well. Keys
-that one set alone has are most; they are found by a pre-aggregated count, and a second pass over the texts emits the
-rest only, thinned by a bitmap of bounded size (beyond that size it just thins less).
-
-Groups of near copies would make all pairs of a bucket. Instead a bucket's members meet only its least member, the
+Sizes are cut into bands, each with the greatest difference D that a link in it may have, and a band's sketches (a word
+wide for each shingle) are cut into D + 1 + E blocks. Linked sets differ in at most D blocks, so 1 + E blocks at least are
+equal. Blocks of few shingles are equal in sets that share nothing but these; each set leaves out as many of its sparsest
+as E allows (see block_keys), and an equality join on (band, block, content) of the rest finds every link. A set that may
+be a pair's larger one emits the band below as well.
+
+Equal sets are collapsed to one node before keys are made. Keys that one node alone has are most: a pre-aggregated count
+finds the others, and a bitmap of bounded size thins the nodes' keys to these (with more shared keys than it has bits it
+thins less; the results are the same). A bucket of few nodes gives its pairs; those go on whose narrow sketches, with a bit
+for each shingle, have no greater Hamming distance than a link's difference, and are verified by their whole sets.
+
+Groups of near copies would make all pairs of a bucket. Instead a larger bucket's members meet only its least member, the
 leader, and their symmetric differences from it are computed exactly. Links between members follow from these:
 differences are taken to a centre (the leader with the majority's differences applied); members close enough to the
 centre are a star around the closest; any other link needs a common token in the differences' rarest tokens (prefix
 filter with the exact overlap that the link requires), and the candidates from that are verified exactly. No link
 between different sets is lost, and a group of g copies costs about g.
 
-Equal sets are one node (a 64-bit fingerprint of the set and its size; shingles are 64-bit hashes). Words are longest
+A node is a 64-bit fingerprint of a set and its size; shingles are 64-bit hashes. Words are longest
 runs of characters other than ASCII white space, A-Z lower-cased. Null, empty and blank texts have an empty set, no
 links, and are their own component. Rows of equal id are judged each; a row of null id takes part and never names a
 component unless all its rows are null. Nothing is capped.
@@ -27,7 +30,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,12 +40,12 @@ from pyspark.sql import functions as F
 from lodegraph.llm.common import Scratch, by_bytes, map_batches
 from lodegraph.llm.components import components
 
-#: Bits of a block. Wide: what is shipped is a hash of the block's content, whatever its width.
-BLOCK_BITS = 4096
 #: Growth of sizes from band to band, if the similarity doesn't ask for more.
 WIDEN = 1.25
 #: Bits, as a power of two, of the bitmap over keys that more than one set has.
-BITMAP = 25
+BITMAP = 27
+#: A bucket of no more sets gives its pairs, each refused by sketches or verified; in larger ones all meet the leader.
+FEW = 6
 #: Candidate ids are broadcast up to this many (8 bytes each), and joined by shuffle beyond.
 BROADCAST_IDS = 500_000
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -94,14 +97,17 @@ def _low(i: int, num: int, den: int) -> int:
 
 @lru_cache(maxsize=4096)
 def _blocks(i: int, num: int, den: int) -> tuple[int, int]:
-    """(E, blocks) of band i: the least E by which nearly all sets have half as many filled blocks more as links differ in."""
+    """(E, blocks) of band i: the least E that lets nearly all sets of the band leave out their blocks of fewer than two
+    tokens, or, where sets are too small for that, their empty ones."""
     low, top = _low(i, num, den), _low(i + 1, num, den) - 1
     d = (den - num) * (top + top * den // num) // (den + num)
-    for e in range(1, 2 * d + 4):
-        empty = (d + 1 + e) * math.exp(-low / (d + 1 + e))
-        if 1 + e - empty - 2 * math.sqrt(empty) >= d / 2:
-            break
-    return e, d + 1 + e
+    for fewest in (2, 1):
+        for e in range(d + 3):
+            mean = low / (d + 1 + e)
+            weak = (d + 1 + e) * math.exp(-mean) * (1 + mean if fewest == 2 else 1)
+            if weak + 2 * math.sqrt(weak) <= e:
+                return e, d + 1 + e
+    return d + 2, 2 * d + 3
 
 
 def _band(n: int, num: int, den: int) -> int:
@@ -113,7 +119,11 @@ def _band(n: int, num: int, den: int) -> int:
 
 def block_keys(tokens: np.ndarray, num: int, den: int) -> list[tuple[int, np.ndarray]]:
     """(need, keys) for the set's band and, if it may be the larger of a pair there, the band below: whatever the set
-    links to in that band has at least `need` of the keys."""
+    links to in that band has at least `need` of the keys.
+
+    The set leaves out its blocks of fewer than t tokens, t being the greatest by which these are no more than E. Of the
+    1 + E blocks that a link has equal, each side leaves out no more than those under the greater t of the two, which
+    are E at most; so one at least is emitted by both."""
     n = len(tokens)
     if not n:
         return []
@@ -123,20 +133,39 @@ def block_keys(tokens: np.ndarray, num: int, den: int) -> list[tuple[int, np.nda
         spare, blocks = _blocks(i, num, den)
         with np.errstate(over="ignore"):
             block = ((tokens >> _32) * np.uint64(blocks)) >> _32  # in order, as the tokens are
-            bit = mixed(tokens + _M1) % np.uint64(BLOCK_BITS)
-            toggled = mixed(block * np.uint64(BLOCK_BITS) + bit + np.uint64(1))
+            toggled = mixed(tokens + _M1)  # the place in the block's sketch, as a word to XOR
             first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
             content, which = np.bitwise_xor.reduceat(toggled, first), block[first]
-            weak = blocks - len(which)
-            if weak > spare:
+            filled = np.diff(np.concatenate([first, [n]]))
+            empty = blocks - len(which)
+            if empty > spare:  # all blocks, the empty ones too
                 gone = np.setdiff1d(np.arange(blocks, dtype=np.uint64), which)
-                content, which = np.concatenate([content, np.zeros(len(gone), np.uint64)]), np.concatenate([which, gone])
-            # blocks - D equal blocks at least, D being blocks - 1 - spare, of which no more than `weak` are empty.
+                content, which, weak = np.concatenate([content, np.zeros(len(gone), np.uint64)]), np.concatenate([which, gone]), spare
+            else:
+                under = np.cumsum(np.concatenate([[empty], np.bincount(filled)[1:]]))  # under[t - 1]: blocks of fewer than t
+                t = int(np.searchsorted(under, spare, side="right"))
+                strong = filled >= t
+                content, which, weak = content[strong], which[strong], int(under[t - 1])
             keys = mixed(content ^ mixed((np.uint64(i + 1) << _32) + which))
-            out.append((1 if weak > spare else 1 + spare - weak, keys.view(np.int64)))
+            out.append((1 + spare - weak, keys.view(np.int64)))
     return out
 
 
+def sketch(tokens: np.ndarray) -> bytes:
+    """Parity sketch of a power of two of bits, one for each token at least; folding halves gives the smaller ones."""
+    width = 1 << max(6, (len(tokens) - 1).bit_length())
+    with np.errstate(over="ignore"):
+        at = (mixed(tokens ^ _M2) & np.uint64(width - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=width) & 1).astype(np.uint8)).tobytes()
+
+
+def sketch_distance(x: bytes, y: bytes) -> int:
+    """Hamming distance of two parity sketches at the narrower one's width: no more than the sets' difference."""
+    a, b = (np.frombuffer(s, np.uint8) for s in ((x, y) if len(x) <= len(y) else (y, x)))
+    b = np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def fingerprint(tokens: np.ndarray) -> int:
     with np.errstate(over="ignore"):
         both = np.array([len(tokens), tokens.sum(dtype=np.uint64), np.bitwise_xor.reduce(mixed(tokens ^ _M3)) if len(tokens) else 0], np.uint64)
@@ -146,61 +175,114 @@ def fingerprint(tokens: np.ndarray) -> int:
     return int(h.view(np.int64)[0])
 
 
-def _sketched(df: DataFrame, row: str, text: str, k: int, num: int, den: int, bitmap: np.ndarray | None = None) -> DataFrame:
-    """(id, n, v, bands) of every row, bands being (need, keys) of each; with a bitmap, of the keys those that are in it."""
-    held = None if bitmap is None else df.sparkSession.sparkContext.broadcast(bitmap)
+BANDS = "array<struct<need:int,keys:array<bigint>>>"
+
+
+def _bands_array(by_set: list[list[tuple[int, np.ndarray]]]) -> pa.Array:
+    def offsets(parts: list) -> pa.Array:
+        return pa.array(np.cumsum([0, *map(len, parts)]), pa.int32())
+
+    flat = [x for found in by_set for x in found]
+    keys = pa.ListArray.from_arrays(offsets([x for _, x in flat]), pa.array(np.concatenate([np.empty(0, np.int64), *(x for _, x in flat)])))
+    both = pa.StructArray.from_arrays([pa.array([need for need, _ in flat], pa.int32()), keys], ["need", "keys"])
+    return pa.ListArray.from_arrays(offsets(by_set), both)
+
+
+def _sketched(df: DataFrame, row: str, text: str, k: int, num: int, den: int) -> DataFrame:
+    """(id, n, v, bands, sketch) of every row, bands being (need, keys) of each."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = None if held is None else held.value
-
-        def bands(tokens: np.ndarray) -> list[tuple[int, np.ndarray]]:
-            out = []
-            for need, found in block_keys(tokens, num, den):
-                if bits is not None:
-                    at = found & ((1 << BITMAP) - 1)
-                    found = found[(bits[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)]
-                    if len(found) < need:  # fewer than any link of the set has in this band
-                        continue
-                out.append((need, found))
-            return out
-
-        def offsets(parts: list) -> pa.Array:
-            return pa.array(np.cumsum([0, *map(len, parts)]), pa.int32())
-
-        for batch in by_bytes(batches, text):
+        for batch in by_bytes(batches, text, 1 << 20):
             sets = [shingles(t, k) for t in batch.column(1).to_pylist()]
-            by_set = [bands(s) for s in sets]
-            flat = [x for found in by_set for x in found]
-            keys = pa.ListArray.from_arrays(offsets([x for _, x in flat]), pa.array(np.concatenate([np.empty(0, np.int64), *(x for _, x in flat)])))
-            both = pa.StructArray.from_arrays([pa.array([need for need, _ in flat], pa.int32()), keys], ["need", "keys"])
-            columns = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(offsets(by_set), both)]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "v", "bands"])
+            columns = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.int64()), _bands_array([block_keys(s, num, den) for s in sets]), pa.array(map(sketch, sets), pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "v", "bands", "sketch"])
+
+    return map_batches(df.select(row, text), work, f"id {df.schema[row].dataType.simpleString()}, n long, v long, bands {BANDS}, sketch binary")
 
-    return map_batches(df.select(row, text), work, f"id {df.schema[row].dataType.simpleString()}, n long, v long, bands array<struct<need:int,keys:array<bigint>>>")
 
+def _shared_bits(nodes: DataFrame, scratch: Scratch) -> np.ndarray:
+    """Bits, at the keys' low BITMAP bits, of the keys that two sets at least have; of 2^BITMAP bits at any number of keys."""
+    keys = nodes.select(F.explode("bands.keys").alias("keys")).select(F.explode("keys").alias("key"))
+    again = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.expr(f"key & {(1 << BITMAP) - 1}").alias("at"))
+    pieces = again.groupBy(F.expr("at div 32768").alias("piece")).agg(F.expr("bitmap_construct_agg(at % 32768)").alias("bits"))
+    out = np.zeros((1 << (BITMAP - 15), 4096), np.uint8)
+    for r in scratch.save(pieces, "bitmap").toLocalIterator():
+        out[r["piece"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.reshape(-1)
 
-def _memberships(nodes: DataFrame, buckets: DataFrame) -> DataFrame:
-    """(leader, v): the leaders that v is compared with.
 
-    Linked sets share `need` keys of a band at least, both by the one's count and the other's. So each may leave out
-    half of what is short of that, floor((need - 1) / 2) keys: the two together leave one that both keep. Those of the
-    leaders that v shares fewest keys with go first; most of these just share a phrase with v.
+def _shared_keys(nodes: DataFrame, bits: np.ndarray) -> DataFrame:
+    """(v, band, need, key): the keys whose bit is set, of bands in which a set has as many of these as any link has."""
+    held = nodes.sparkSession.sparkContext.broadcast(bits)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = held.value
+        for batch in batches:
+            bands = batch.column(1)
+            per_set = np.diff(bands.offsets.to_numpy())
+            flat = bands.flatten()
+            need, lists = flat.field(0).to_numpy(), flat.field(1)
+            sizes = np.diff(lists.offsets.to_numpy())
+            keys = lists.flatten().to_numpy()
+            at = keys & ((1 << BITMAP) - 1)
+            hit = (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+            which = np.repeat(np.arange(len(sizes)), sizes)
+            enough = np.bincount(which[hit], minlength=len(sizes)) >= need
+            hit &= enough[which]
+            which = which[hit]
+            v = np.repeat(batch.column(0).to_numpy(), per_set)[which]
+            band = (np.arange(len(sizes)) - np.repeat(np.cumsum(per_set) - per_set, per_set))[which].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(band), pa.array(need[which]), pa.array(keys[hit])], ["v", "band", "need", "key"])
+
+    return map_batches(nodes.select("v", "bands"), work, "v long, band int, need int, key long")
+
+
+def _close(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """Of pairs (x, y) those that their sketches allow to link: the others' Hamming distance is more than a link's
+    difference can be."""
+    a, b = den + num, den - num
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nx, ny, sx, sy = (batch.column(k).to_pylist() for k in (2, 3, 4, 5))
+            may = [num * max(m, n) <= den * min(m, n) and a * sketch_distance(s, t) <= b * (m + n) for m, n, s, t in zip(nx, ny, sx, sy, strict=True)]
+            yield batch.filter(pa.array(may, pa.bool_())).select(["x", "y"])
+
+    known = nodes.select("v", "n", "sketch")
+    both = pairs.join(known.withColumnsRenamed({"v": "x", "n": "nx", "sketch": "sx"}), "x").join(known.withColumnsRenamed({"v": "y", "n": "ny", "sketch": "sy"}), "y")
+    return map_batches(both.select("x", "y", "nx", "ny", "sx", "sy"), work, "x long, y long")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(u, w): of pairs (x, y) those that link, by their whole sets. A set x comes once for all its y."""
+    a, b = den + num, den - num
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u, w, mine, other = batch.columns
+            linked = []
+            for k in range(batch.num_rows):
+                p, q = (c[k].values.to_numpy(zero_copy_only=False) for c in (mine, other))
+                linked.append(a * (len(p) + len(q) - 2 * len(np.intersect1d(p, q, assume_unique=True))) <= b * (len(p) + len(q)))
+            yield pa.RecordBatch.from_arrays([u, w], ["u", "w"]).filter(pa.array(linked, pa.bool_()))
+
+    whole = pairs.join(sets.select(F.col("v").alias("x"), F.col("tokens").alias("mine")), "x").join(sets.select(F.col("v").alias("y"), F.col("tokens").alias("other")), "y")
+    return map_batches(whole.select("x", "y", "mine", "other"), work, "u long, w long")
+
+
+def _memberships(keyed: DataFrame, buckets: DataFrame) -> DataFrame:
+    """(leader, v): the leaders that v is compared with, in buckets of more than FEW sets.
+
+    Linked sets that are in no bucket of few sets together share `need` keys at least of the other buckets, both by the
+    one's count and the other's. So each may leave out half of what is short of that, floor((need - 1) / 2) keys: the two
+    together leave one that both keep. Those of the leaders that v shares fewest keys with go first; most of these just
+    share a phrase with v.
     """
-    keyed = nodes.select("v", F.posexplode("bands").alias("band", "x")).select("v", "band", "x.need", F.explode("x.keys").alias("key"))
     shared = keyed.join(buckets, "key").where("v != leader").groupBy("v", "band", "need", "leader").agg(F.count(F.lit(1)).alias("c"))
     kept = shared.withColumn("gone", F.expr("sum(c) over (partition by v, band order by c, leader rows unbounded preceding)")).where("gone > (need - 1) div 2")
     return kept.select("leader", "v").distinct()
 
 
-def _bitmap(buckets: DataFrame) -> np.ndarray:
-    """Bits at the keys' low BITMAP bits, as 64-bit words; 2^(BITMAP - 6) of them at any number of keys."""
-    place = F.expr(f"key & {(1 << BITMAP) - 1}")
-    rows = buckets.groupBy(F.shiftright(place, 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast((key & 63) as int)))").alias("bits")).toArrow()
-    out = np.zeros(1 << (BITMAP - 6), np.uint64)
-    out[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
-    return out
-
-
 def _fingerprinted(df: DataFrame, k: int) -> DataFrame:
     """(v, text) of rows (text)."""
 
@@ -278,13 +360,21 @@ def classes(df: DataFrame, row: str = "doc_id", text: str = "text", k: int = 3,
     """(row, n_shingles, component_id): sets link where den * intersection >= num * union; a component is named by the
     least id in it. Sets of one text or of copies are one component."""
     scratch = Scratch(df.sparkSession)
-    keyed = _sketched(df, row, text, k, num, den).select(F.explode("bands.keys").alias("keys"), "v").select(F.explode("keys").alias("key"), "v")
-    buckets = keyed.groupBy("key").agg(F.min("v").alias("leader"), F.max("v").alias("most")).where("leader < most").drop("most")
-    buckets = scratch.save(buckets, "buckets")
-    base = scratch.save(_sketched(df, row, text, k, num, den, _bitmap(buckets)), "base")
-    nodes = scratch.save(base.where("n > 0").groupBy("v").agg(F.min("id").alias("least"), F.first("bands").alias("bands")), "nodes")
-    pairs = scratch.save(_memberships(nodes, buckets), "pairs")
-    wanted = scratch.save(pairs.select("v").unionByName(pairs.select(F.col("leader").alias("v"))).distinct().join(nodes, "v").select("v", "least"), "wanted")
+    every = scratch.save(_sketched(df, row, text, k, num, den), "every")
+    base = scratch.save(every.select("id", "n", "v"), "base")
+    nodes = every.where("n > 0").groupBy("v").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    nodes = scratch.save(nodes, "nodes")
+    scratch.drop("every")
+    keyed = scratch.save(_shared_keys(nodes, _shared_bits(nodes, scratch)), "keyed")
+    buckets = scratch.save(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("leader")).where("c > 1"), "buckets")
+    few = keyed.join(buckets.where(f"c <= {FEW}").select("key"), "key").groupBy("key").agg(F.sort_array(F.collect_list("v")).alias("vs"))
+    beside = "flatten(transform(vs, (x, i) -> transform(slice(vs, i + 2, size(vs)), y -> struct(x, y))))"
+    met = few.select(F.explode(F.expr(beside)).alias("p")).select("p.x", "p.y").distinct()
+    close = scratch.save(_close(met, nodes, num, den), "close")
+    pairs = scratch.save(_memberships(keyed, buckets.where(f"c > {FEW}").select("key", "leader")), "pairs")
+    ends = [close.select(F.col("x").alias("v")), close.select(F.col("y").alias("v")), pairs.select("v"), pairs.select(F.col("leader").alias("v"))]
+    wanted = reduce(DataFrame.unionByName, ends).distinct().join(nodes, "v").select("v", "least")
+    wanted = scratch.save(wanted, "wanted")
     size = wanted.count()
     held = F.broadcast if size <= BROADCAST_IDS else lambda x: x
     ids = wanted.where("least is not null").select("v", F.col("least").alias("__id"))
@@ -300,10 +390,11 @@ def classes(df: DataFrame, row: str = "doc_id", text: str = "text", k: int = 3,
     if found != size:
         raise RuntimeError(f"{found} of {size} sets to compare were fetched")
     own = sets.select(F.col("v").alias("leader"), F.col("tokens").alias("own"))
+    verified = scratch.save(_verified(close, sets, num, den), "verified")
     met = pairs.join(pairs.groupBy("leader").agg(F.count(F.lit(1)).alias("m")), "leader").join(sets, "v").join(own, "leader")
     given = scratch.save(_differences(met.select("leader", "v", "m", "tokens", "own")), "differences")
     scratch.drop("sets", "distinct")
-    links = scratch.save(_links(given, num, den, scratch), "links")
+    links = scratch.save(_links(given, num, den, scratch).unionByName(verified), "links")
     roots = components(links, scratch)
     named = nodes.join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
