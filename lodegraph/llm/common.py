@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -63,3 +64,41 @@ def by_bytes(batches: Iterator[pa.RecordBatch], column: str, limit: int = BATCH_
 def map_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     bounded_arrow(df.sparkSession)
     return df.mapInArrow(work, schema)
+
+
+#: Bits, as a power of two, of a field that marks hashes: 8 MB to each worker at any number of them.
+FIELD_BITS = 26
+
+
+def bit_field(hashes: DataFrame, scratch: Scratch, name: str, bits: int = FIELD_BITS) -> np.ndarray:
+    """A bit set at the low `bits` bits of each hash (the table's one long column). A field too full just thins less."""
+    at = hashes.select((F.col(hashes.columns[0]).bitwiseAND((1 << bits) - 1)).alias("at"))
+    pieces = at.groupBy(F.expr("at div 32768").alias("piece")).agg(F.expr("bitmap_construct_agg(at % 32768)").alias("bits"))
+    out = np.zeros((1 << (bits - 15), 4096), np.uint8)
+    for r in scratch.save(pieces, name).toLocalIterator():
+        out[r["piece"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.reshape(-1)
+
+
+def marked(hash_: Column, field: np.ndarray, spark: SparkSession) -> Column:
+    """Whether the hash may be one of the field's: always for those, seldom for others."""
+    bounded_arrow(spark)
+    held, mask = spark.sparkContext.broadcast(field), len(field) * 8 - 1
+
+    def test(column: pa.Array) -> pa.Array:
+        at = column.to_numpy(zero_copy_only=False).astype(np.int64) & mask
+        return pa.array((held.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
+
+    test.__annotations__ = {"column": pa.Array, "return": pa.Array}
+    return F.arrow_udf(test, "boolean")(hash_)
+
+
+def numbered(ordered: DataFrame, scratch: Scratch, name: str, place: str) -> DataFrame:
+    """A table as it is ordered (orderBy: a range sort) with its rows' places from 0; what one task orders of it is a row for
+    each part."""
+    saved = scratch.save(ordered.withColumn("__m", F.monotonically_increasing_id()), name)
+    part = F.shiftright("__m", 33)
+    parts = saved.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__c"))
+    parts = parts.withColumn("__before", F.expr("sum(__c) over (order by __part) - __c")).select("__part", "__before")
+    out = saved.join(F.broadcast(parts), part == F.col("__part")).withColumn(place, F.expr("__before + (__m & 8589934591)"))
+    return out.drop("__m", "__part", "__before")

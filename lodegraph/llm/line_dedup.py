@@ -1,18 +1,24 @@
 r"""Line dedup: repeated runs of lines, found by a distributed suffix array over line ids.
 
+A run of whole consecutive lines of at least `min_words` words is deleted where it occurs earlier too: in a document
+earlier in the order of (id, text's hash), or above in the same one, in both cases without overlap of the two copies.
+What goes are all maximal such runs of every document; blank lines are no part of runs and stay, shorter repeats stay.
+
 Lines with a word become 64-bit ids. Only lines that occur twice can be in a repeat, so each document is cut into
 segments of consecutive such lines with at least `min_words` words. The suffixes of all segments are ranked by prefix
 doubling: a round orders the distinct pairs (rank, rank 2^r lines on) by a range sort and gives their places as new
 ranks, until a round splits no class. Sorted suffixes form the array; the longest common prefix of neighbours comes
 from comparing their segments, joined once for each pair of segments. Where neighbours share at least `min_words`
-words they are in one interval, and an interval's earliest suffix (by document id, then line) is the first copy. Every
-other suffix of the interval is a later copy for as far as it agrees with the first copy; those lines are deleted.
+words they are in one interval. All its suffixes are compared with its earliest, which is the best copy for as far as a
+suffix agrees with it. Those that agree equally far and then have the same next line are an interval within, of a longer
+common prefix, with an earliest of its own; so on, until no interval has two suffixes. That takes as many rounds as
+there are ever later copies that agree ever longer, mostly two or three.
 
 Documents of equal line sequences are one sequence to this: copies of the least id are deleted whole if they have
-`min_words` words. Repeats inside a document count as others do. Shorter repeats stay. Blank lines are no part of runs
-and stay. Rows equal in id and text are one document and are cleaned alike. Null text stays null, empty text empty; a
-null id sorts first. Other columns pass. Nothing is capped: hot lines are pre-aggregated pairs, joins on ranks can be
-split, groups handled in one place are one document's lines or a fixed stretch of the array.
+`min_words` words. Rows equal in id and text are one document and are cleaned alike. Null text stays null, empty text
+empty; a null id sorts first. Texts of any length are taken whole. Other columns pass; those named like the new ones are
+replaced. Nothing is capped: hot lines are pre-aggregated pairs, joins on ranks can be split, groups handled in one
+place are one document's lines or a fixed stretch of the array. Texts of which nothing is deleted are not shuffled.
 """
 
 from __future__ import annotations
@@ -25,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodegraph.llm.common import Scratch, by_bytes, map_batches
+from lodegraph.llm.common import Scratch, bit_field, by_bytes, map_batches, marked, numbered
 
 MIN_WORDS = 50
 #: Places of the suffix array that a window takes at once.
@@ -51,32 +57,37 @@ def _lined(df: DataFrame, row: str, text: str) -> DataFrame:
     return map_batches(given, work, f"id {df.schema[row].dataType.simpleString()}, th long, at array<int>, ids array<long>, words array<int>")
 
 
-def _common(pairs: DataFrame, segments: DataFrame, *carry: str) -> DataFrame:
-    """Adds to pairs (s, o, t, p): common, the lines on which the suffixes agree, and common_words."""
+def _common(pairs: DataFrame, segments: DataFrame) -> DataFrame:
+    """Of pairs (s, o, t, p, g) of suffixes: common, the lines on which they agree, its words, next (the line of the first
+    that follows, if any), and the run of document d that repeats: lines [at, upto) of `run_words` words, which end where
+    the second's copy would reach into the first."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("s", "o", "g", "d", "common", "common_words", "next", "at", "upto", "run_words")
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
         for batch in batches:
-            out: dict[str, list] = {"s": [], "o": [], "t": [], "p": [], "common": [], "common_words": []}
-            for s, t, places, a, b, w in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            out: list[tuple] = []
+            for s, places, a, w, d, start, b, e, begin in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 a, b, sums = np.array(a, np.int64), np.array(b, np.int64), np.concatenate([[0], np.cumsum(w)])
-                by_shift: dict[int, list[int]] = {}
+                by_shift: dict[int, list[tuple[int, int]]] = {}
                 for x in places:
-                    by_shift.setdefault(x["p"] - x["o"], []).append(x["o"])
+                    by_shift.setdefault(x["p"] - x["o"], []).append((x["o"], x["g"]))
                 for shift, offsets in by_shift.items():
-                    low = max(0, -shift)
-                    high = min(len(a), len(b) - shift)
+                    low, high = max(0, -shift), min(len(a), len(b) - shift)
                     unequal = np.flatnonzero(np.concatenate([a[low:high] != b[low + shift : high + shift], [True]])) + low
-                    ends = unequal[np.searchsorted(unequal, offsets)]
-                    for o, end in zip(offsets, ends.tolist(), strict=True):
-                        for k, v in (("s", s), ("o", o), ("t", t), ("p", o + shift), ("common", end - o), ("common_words", int(sums[end] - sums[o]))):
-                            out[k].append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[k], t) for k, t in (("s", pa.int64()), ("o", pa.int32()), ("t", pa.int64()), ("p", pa.int32()), ("common", pa.int32()), ("common_words", pa.int32()))], list(out))
+                    ends = unequal[np.searchsorted(unequal, [o for o, _ in offsets])].tolist()
+                    gap = start - begin - shift if d == e else len(a)  # lines from the one's start to the other's
+                    for (o, g), end in zip(offsets, ends, strict=True):
+                        stop = min(end, o + gap)
+                        out.append((s, o, g, d, end - o, int(sums[end] - sums[o]), int(a[end]) if end < len(a) else None, start + o, start + stop, int(sums[stop] - sums[o])))
+            columns = list(zip(*out, strict=True)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], list(names))
 
-    grouped = pairs.groupBy("s", "t").agg(F.collect_list(F.struct("o", "p")).alias("places"))
-    own = segments.select("s", F.col("ids").alias("a"), "words")
-    other = segments.select(F.col("s").alias("t"), F.col("ids").alias("b"))
-    joined = grouped.join(own, "s").join(other, "t").select("s", "t", "places", "a", "b", "words")
-    return map_batches(joined, work, "s long, o int, t long, p int, common int, common_words int")
+    grouped = pairs.groupBy("s", "t").agg(F.collect_list(F.struct("o", "p", "g")).alias("places"))
+    own = segments.select("s", F.col("ids").alias("a"), "words", "d", "start")
+    other = segments.select(F.col("s").alias("t"), F.col("ids").alias("b"), F.col("d").alias("e"), F.col("start").alias("begin"))
+    joined = grouped.join(own, "s").join(other, "t").select("s", "places", "a", "words", "d", "start", "b", "e", "begin")
+    return map_batches(joined, work, "s long, o int, g long, d long, common int, common_words int, next long, at int, upto int, run_words int")
 
 
 def repeats(lined: DataFrame, scratch: Scratch, min_words: int) -> DataFrame:
@@ -116,38 +127,81 @@ def repeats(lined: DataFrame, scratch: Scratch, min_words: int) -> DataFrame:
 
     order = now.join(segments.select("s", "d", "start"), "s").join(own.select("d", "id", "th"), "d")
     order = order.select("r", "id", "th", (F.col("start") + F.col("o")).alias("k"), "s", "o")
-    array = scratch.save(order.orderBy("r", "id", "th", "k").withColumn("m", F.monotonically_increasing_id()), "array")
-    parts = array.groupBy(F.shiftright("m", 33).alias("part")).agg(F.count(F.lit(1)).alias("c"))
-    parts = parts.withColumn("before", F.expr("sum(c) over (order by part) - c")).select("part", "before")
-    array = array.join(F.broadcast(parts), F.shiftright("m", 33) == F.col("part")).select(F.expr("before + (m & 8589934591)").alias("sa"), "id", "th", "k", "s", "o")
-    array = scratch.save(array, "numbered")
+    array = scratch.save(numbered(order.orderBy("r", "id", "th", "k"), scratch, "array", "sa").drop("r"), "numbered")
     above = array.select((F.col("sa") + 1).alias("sa"), F.col("s").alias("t"), F.col("o").alias("p"))
     beside = scratch.save(array.select("sa", "s", "o").join(above, "sa"), "beside")
-    near = _common(beside.select("s", "o", "t", "p"), segments).where(F.col("common_words") >= min_words).select("s", "o", F.lit(False).alias("opens"))
+    near = _common(beside.select("s", "o", "t", "p", F.lit(0).cast("long").alias("g")), segments).where(F.col("common_words") >= min_words).select("s", "o", F.lit(False).alias("opens"))
     marked = array.join(near, ["s", "o"], "left").withColumn("opens", F.coalesce("opens", F.lit(True)))
     marked = scratch.save(marked.withColumn("stretch", F.expr(f"sa div {STRETCH}")), "marked")
     own_last = "last(if(opens, sa, null), true) over (partition by stretch order by sa)"
     carried = marked.groupBy("stretch").agg(F.max(F.expr("if(opens, sa, null)")).alias("to")).withColumn("from", F.expr("max(to) over (order by stretch rows between unbounded preceding and 1 preceding)")).select("stretch", "from")
     intervals = marked.withColumn("own_last", F.expr(own_last)).join(carried, "stretch").withColumn("g", F.coalesce("own_last", "from"))
-    intervals = scratch.save(intervals.select("g", "id", "th", "k", "s", "o"), "intervals")
-    least = intervals.groupBy("g").agg(F.min(F.struct("id", "th", "k", "s", "o")).alias("f"), F.count(F.lit(1)).alias("c")).where("c > 1").select("g", F.col("f.s").alias("t"), F.col("f.o").alias("p"))
-    later = scratch.save(intervals.join(least, "g").where("s != t or o != p").select("s", "o", "t", "p"), "later")
-    agreed = _common(later, segments).where(F.col("common_words") >= min_words).join(segments.select("s", "d", "start"), "s").join(own.select("d", "id", "th"), "d")
-    # What a later copy repeats must not reach into itself as its own first copy: copies in one segment may overlap.
-    found = agreed.select("id", "th", (F.col("start") + F.col("o")).alias("start"), (F.col("start") + F.col("o") + F.col("common")).alias("end"))
+    inside = scratch.save(intervals.select("g", "id", "th", "k", "s", "o"), "inside0")
+    runs, step = None, 0
+    while True:
+        # The earliest of each interval, and how far the others agree with it; then the intervals within.
+        least = inside.groupBy("g").agg(F.min(F.struct("id", "th", "k", "s", "o")).alias("f"), F.count(F.lit(1)).alias("c")).where("c > 1").select("g", F.col("f.s").alias("t"), F.col("f.o").alias("p"))
+        later = inside.join(least, "g").where("s != t or o != p").select("s", "o", "t", "p", "g")
+        agreed = scratch.save(_common(later, segments), f"agreed{step}")
+        long = agreed.where(F.col("run_words") >= min_words).select("d", "at", "upto")
+        runs = long if runs is None else runs.unionByName(long)
+        deeper = agreed.where("next is not null").select(F.xxhash64("g", "common", "next").alias("deep"), "s", "o")
+        more = deeper.groupBy("deep").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("deep")
+        step += 1
+        inside = scratch.save(deeper.join(more, "deep").join(inside.drop("g"), ["s", "o"]).select(F.col("deep").alias("g"), "id", "th", "k", "s", "o"), f"inside{step}")
+        if inside.isEmpty():
+            break
+    found = runs.join(own.select("d", "id", "th"), "d").select("id", "th", F.col("at").alias("start"), F.col("upto").alias("end"))
     return found.unionByName(copies)
 
 
+def _merged(spans: DataFrame) -> DataFrame:
+    """(id, th, spans): each document's spans, those that meet or overlap as one."""
+    before = "max(end) over (partition by id, th order by start, end rows between unbounded preceding and 1 preceding)"
+    opened = spans.withColumn("opens", F.expr(f"if(coalesce(start > {before}, true), 1, 0)"))
+    whole = opened.withColumn("run", F.expr("sum(opens) over (partition by id, th order by start, end rows unbounded preceding)")).groupBy("id", "th", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return whole.groupBy("id", "th").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
+
+
+def _cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
+    """Texts without the lines of spans, which are places among the lines with words."""
+    rows = []
+    for t, gone in zip(texts.to_pylist(), spans.to_pylist(), strict=True):
+        if t is None or not gone:
+            rows.append({"text": t, "lines": 0, "words": 0})
+            continue
+        out, place, lines, words, at = [], 0, 0, 0, 0
+        for line in t.split("\n"):
+            n = len(line.encode("utf-8", "surrogatepass").split())
+            if n:
+                while at < len(gone) and gone[at]["end"] <= place:
+                    at += 1
+                inside = at < len(gone) and gone[at]["start"] <= place
+                place += 1
+                if inside:
+                    lines, words = lines + 1, words + n
+                    continue
+            out.append(line)
+        rows.append({"text": "\n".join(out), "lines": lines, "words": words})
+    return pa.array(rows, pa.struct([("text", pa.string()), ("lines", pa.int64()), ("words", pa.int64())]))
+
+
+_cut.__annotations__ = {"texts": pa.Array, "spans": pa.Array, "return": pa.Array}
+
+
 def without_repeats(df: DataFrame, row: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """The input with `text` cleaned, n_lines_removed and n_words_removed."""
     scratch = Scratch(df.sparkSession)
     lined = scratch.save(_lined(df, row, text), "lined")
     spans = scratch.save(repeats(lined, scratch, min_words), "spans")
-    gone = spans.select("id", "th", F.explode(F.expr("sequence(start, end - 1)")).alias("k")).distinct().groupBy("id", "th").agg(F.collect_list("k").alias("ks"))
-    cut = lined.dropDuplicates(["id", "th"]).join(gone.withColumnsRenamed({"id": "i", "th": "t"}), F.col("id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t")))
-    cut = cut.select(F.col("id").alias("__i"), F.col("th").alias("__t"), F.expr("transform(ks, k -> at[k])").alias("__gone"), F.size("ks").cast("long").alias("__n"), F.expr("aggregate(ks, 0L, (a, k) -> a + words[k])").alias("__w"))
+    cut = _merged(spans).select(F.col("id").alias("__i"), F.col("th").alias("__t"), "spans").withColumnRenamed("spans", "__spans")
     cut = scratch.finish(cut, "removed")
+    # Only texts that may have a span meet the spans; the others pass without a shuffle.
+    field = bit_field(cut.select(F.xxhash64("__i", "__t")), scratch, "field")
     kept = df.drop("n_lines_removed", "n_words_removed")
-    joined = kept.join(cut.hint("merge"), F.col(row).eqNullSafe(F.col("__i")) & (F.xxhash64(text) == F.col("__t")), "left")
-    cleaned = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(F.expr(f"filter(split(`{text}`, '\\n'), (x, i) -> not array_contains(__gone, i))"), "\n"))
-    return joined.withColumns({text: cleaned, "n_lines_removed": F.coalesce("__n", F.lit(0)).cast("long"), "n_words_removed": F.coalesce("__w", F.lit(0)).cast("long")}).select(*kept.columns, "n_lines_removed", "n_words_removed")
+    mine = marked(F.xxhash64(F.col(row), F.xxhash64(text)), field, df.sparkSession)
+    met = kept.where(mine).join(cut, F.col(row).eqNullSafe(F.col("__i")) & (F.xxhash64(text) == F.col("__t")), "left")
+    met = met.withColumn("__c", F.arrow_udf(_cut, "struct<text:string,lines:long,words:long>")(F.col(text), F.col("__spans")))
+    met = met.withColumns({text: F.col("__c.text"), "n_lines_removed": F.col("__c.lines"), "n_words_removed": F.col("__c.words")})
+    rest = kept.where(~mine).withColumns({"n_lines_removed": F.lit(0).cast("long"), "n_words_removed": F.lit(0).cast("long")})
+    return met.select(*rest.columns).unionByName(rest)

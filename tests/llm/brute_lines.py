@@ -1,36 +1,25 @@
-"""What line dedup must give, by comparing every place with every other."""
+"""What line dedup must give, from the definition: each place is compared with every earlier one."""
 
 
-def removed(rows, min_words):
-    """{(id, text): removed line numbers} of rows (id, text)."""
-    docs = sorted({(i, t) for i, t in rows if t is not None})
-    seqs = {d: [(k, x) for k, x in enumerate(d[1].split("\n")) if x.split()] for d in docs}
+def words(line):
+    return len(line.encode().split())
+
+
+def removed(rows, min_words, order=lambda t: t):
+    """{(id, text): removed line numbers} of rows (id, text): a run of whole lines of at least min_words words goes where
+    it occurs earlier as well (in an earlier document, or above in the same one), the two copies not overlapping. Documents
+    of one id are ordered by `order` of their texts."""
+    docs = sorted({(i, t) for i, t in rows if t is not None}, key=lambda d: (d[0] is not None, d[0] or 0, order(d[1])))
+    lined = [[(k, x) for k, x in enumerate(t.split("\n")) if words(x)] for _, t in docs]
     out = {d: set() for d in docs}
-    first = {}
-    for d in docs:
-        key = tuple(x for _, x in seqs[d])
-        if key in first and sum(len(x.split()) for x in key) >= min_words:
-            out[d] |= {k for k, _ in seqs[d]}
-        first.setdefault(key, d)
-    own = [d for d in docs if first[tuple(x for _, x in seqs[d])] == d]
-    seen = {}
-    for d in own:
-        lines = [x for _, x in seqs[d]]
-        for o in range(len(lines)):
-            total, e = 0, o
-            while e < len(lines) and total < min_words:
-                total += len(lines[e].split())
-                e += 1
-            if total < min_words:
-                continue
-            key = tuple(lines[o:e])
-            if key not in seen:
-                seen[key] = (d, o)
-                continue
-            f, p = seen[key]
-            other = [x for _, x in seqs[f]]
-            n = 0
-            while o + n < len(lines) and p + n < len(other) and lines[o + n] == other[p + n]:
-                n += 1
-            out[d] |= {seqs[d][k][0] for k in range(o, o + n)}
+    for n, own in enumerate(lined):
+        for o in range(len(own)):
+            for m in range(n + 1):
+                for p in range(o if m == n else len(lined[m])):
+                    most = min(len(own) - o, (o - p) if m == n else len(lined[m]) - p)
+                    length = 0
+                    while length < most and own[o + length][1] == lined[m][p + length][1]:
+                        length += 1
+                    if sum(words(x) for _, x in own[o : o + length]) >= min_words:
+                        out[docs[n]] |= {k for k, _ in own[o : o + length]}
     return {d: v for d, v in out.items() if v}
