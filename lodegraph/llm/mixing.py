@@ -8,12 +8,15 @@ until their sizes reach the budget. Heavier documents have smaller keys.
 
 The prefix sum over a source's order is never made in one task: keys are 62-bit numbers in the order's sense, sizes
 are summed by their leading bits (pre-aggregated), and only the bucket in which the budget runs out is opened again,
-with more bits, until a bucket is small; just those last buckets are sorted. So a source with a third of all rows
-costs no more than others, and a rerun takes the same documents.
+with more bits, until a bucket is small; just those last buckets are sorted. A last bucket of any size has rows of one
+key, which are copies of one row: these are numbered by part, and sums over parts are a row each. So a source or a group
+of copies with a third of all rows costs no more than others, and a rerun takes the same documents.
 
-Whole documents are taken; the last is taken where that brings the sum nearer to the budget. Null text has size 0 and
-is taken with its epochs. Null source is a source of its own. Repeated rows count each; equal rows that straddle the
-budget are told apart by a running number.
+Whole documents are taken; the last is taken where that brings the sum nearer to the budget. Null and empty texts have
+size 0 and are taken with their epochs; texts of any length are counted whole. Null source is a source of its own, null ids
+are ids. Weights that are null or not over LEAST_WEIGHT count as that. Repeated rows count each; equal rows that straddle
+the budget are told apart by a running number. An empty table gives none. Columns to carry may have any names but those of
+the result.
 """
 
 from __future__ import annotations
@@ -21,10 +24,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodegraph.llm.common import Scratch, text_or_empty, word_count
+from lodegraph.llm.common import Scratch, numbered, text_or_empty, word_count
 
 SEED = 20240229
 BITS, KEY_BITS = 12, 62
+LEAST_WEIGHT = 1e-12
 #: A bucket with no more rows is sorted in one task.
 SMALL = 50_000
 
@@ -38,17 +42,21 @@ def quality_weight(text: str | Column) -> Column:
 
 
 def sampling_key(row: Column, text: Column, weight: Column, seed: int = SEED) -> Column:
-    """Exponential key as a whole number of KEY_BITS bits: least first. 1 - exp(-key) keeps the order and is in [0, 1)."""
+    """Exponential key as a whole number of KEY_BITS bits: least first.
+
+    The number is that of the key's logarithm, which keeps the order at all weights: keys lie between 2^-54 and
+    54 / LEAST_WEIGHT, their logarithms between -38 and 32, and 2^55 steps to each 1 are finer than doubles there.
+    """
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), row, F.coalesce(text, F.lit(""))), 11) + 0.5) / float(1 << 53)
-    key = -F.log(u) / weight
-    return F.least(F.floor((1 - F.exp(-key)) * float(1 << KEY_BITS)).cast("long"), F.lit((1 << KEY_BITS) - 1))
+    key = -F.log(u) / F.greatest(F.coalesce(weight, F.lit(0.0)), F.lit(LEAST_WEIGHT))
+    return F.floor((F.log(key) + 64) * float(1 << (KEY_BITS - 7))).cast("long")
 
 
 def targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = (3.0, 1.0, 2.0)) -> DataFrame:
-    """(source, source_size, target) of (source, source_size): a row a source; the single-task order is over those."""
-    order = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weighed = sizes.withColumn("w", F.get(F.array(*map(F.lit, weights)), F.pmod(order, F.lit(len(weights)))))
+    """(source, source_size, target) of (source, source_size), a row a source, ordered by a range sort."""
     scratch = Scratch(sizes.sparkSession)
+    placed = numbered(sizes.orderBy(F.col("source").asc_nulls_last()), scratch, "ordered", "__at")
+    weighed = placed.withColumn("w", F.get(F.array(*map(F.lit, weights)), F.pmod("__at", F.lit(len(weights))).cast("int"))).drop("__at")
     weighed = scratch.save(weighed, "sources")
     total = weighed.agg(F.sum("source_size")).first()[0] or 0
     budget, full = share * total, []
@@ -106,10 +114,18 @@ def mix(df: DataFrame, text: str = "text", source: str = "source", row: str = "d
     placed = rows.join(plan, here).withColumn("__at", F.expr("shiftright(__k, bits)")).withColumn("__end", F.expr("shiftright(low, bits)"))
     before = placed.where("`all` or __at < __end").withColumn("once", F.when(F.col("left") > 0, 1).when(F.col("__at") < F.col("__end"), 1).otherwise(0))
     after = placed.where("not `all` and __at > __end").withColumn("once", F.lit(0))
-    order = Window.partitionBy("__p").orderBy("__k", F.col(row), "size", "__tie")
-    last = placed.where("not `all` and __at = __end").withColumn("__tie", F.monotonically_increasing_id())
-    last = last.withColumn("__sum", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    last = last.withColumn("once", F.when(F.col("__sum") - F.col("size") / 2 <= F.col("left"), 1).otherwise(0)).drop("__tie", "__sum")
+    order = Window.partitionBy("__p").orderBy("__k", F.col(row), "size").rowsBetween(Window.unboundedPreceding, 0)
+    nearest = F.when(F.col("__sum") - F.col("size") / 2 <= F.col("left"), 1).otherwise(0)
+    last = placed.where("not `all` and __at = __end")
+    few = last.where("bits > 0").withColumn("__sum", F.sum("size").over(order)).withColumn("once", nearest).drop("__sum")
+    # Rows of one key, so of one id and text: numbered within each part, after all of the parts before.
+    alike = scratch.save(last.where("bits = 0").withColumn("__part", F.shiftright(F.monotonically_increasing_id(), 33)), "alike")
+    parts = alike.groupBy("__p", "__part").agg(F.sum("size").alias("__in"))
+    parts = parts.withColumn("__before", F.sum("__in").over(Window.partitionBy("__p").orderBy("__part")) - F.col("__in")).select(F.col("__p").alias("__q"), F.col("__part").alias("__r"), "__before")
+    own = Window.partitionBy("__p", "__part").orderBy("__k", F.col(row), "size").rowsBetween(Window.unboundedPreceding, 0)
+    alike = alike.join(parts, F.col("__p").eqNullSafe(F.col("__q")) & (F.col("__part") == F.col("__r")))
+    alike = alike.withColumn("__sum", F.col("__before") + F.sum("size").over(own)).withColumn("once", nearest).drop("__sum", "__before", "__q", "__r", "__part")
+    last = few.unionByName(alike)
     out = before.unionByName(after).unionByName(last)
     times = F.least(F.col("epochs") + F.col("once"), F.lit(int(most))).cast("long")
     out = out.withColumn("times", times)
