@@ -23,7 +23,9 @@ between different sets is lost, and a group of g copies costs about g.
 A node is a 64-bit fingerprint of a set and its size; shingles are 64-bit hashes. Words are longest
 runs of characters other than ASCII white space, A-Z lower-cased. Null, empty and blank texts have an empty set, no
 links, and are their own component. Rows of equal id are judged each; a row of null id takes part and never names a
-component unless all its rows are null. Nothing is capped.
+component unless all its rows are null. Texts of any length are taken whole; repeated rows are answered each, alike; ties
+of leaders and hubs go to the least fingerprint; an empty table gives none. Only the id and the text are read, so other
+columns' names don't matter. Nothing is capped.
 """
 
 from __future__ import annotations
@@ -34,10 +36,10 @@ from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodegraph.llm.common import Scratch, by_bytes, map_batches
+from lodegraph.llm.common import Scratch, bit_field, by_bytes, map_batches, marked
 from lodegraph.llm.components import components
 
 #: Growth of sizes from band to band, if the similarity doesn't ask for more.
@@ -46,8 +48,6 @@ WIDEN = 1.25
 BITMAP = 27
 #: A bucket of no more sets gives its pairs, each refused by sketches or verified; in larger ones all meet the leader.
 FEW = 6
-#: Candidate ids are broadcast up to this many (8 bytes each), and joined by shuffle beyond.
-BROADCAST_IDS = 500_000
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _30, _27, _31, _32 = (np.uint64(x) for x in (30, 27, 31, 32))
 
@@ -188,27 +188,24 @@ def _bands_array(by_set: list[list[tuple[int, np.ndarray]]]) -> pa.Array:
     return pa.ListArray.from_arrays(offsets(by_set), both)
 
 
-def _sketched(df: DataFrame, row: str, text: str, k: int, num: int, den: int) -> DataFrame:
-    """(id, n, v, bands, sketch) of every row, bands being (need, keys) of each."""
+def _sketched(df: DataFrame, row: str, text: str, k: int, num: int, den: int, mark: Column) -> DataFrame:
+    """(id, n, v, bands, sketch, mark) of every row, bands being (need, keys) of each."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, text, 1 << 20):
             sets = [shingles(t, k) for t in batch.column(1).to_pylist()]
-            columns = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.int64()), _bands_array([block_keys(s, num, den) for s in sets]), pa.array(map(sketch, sets), pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "v", "bands", "sketch"])
+            columns = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.int64()), _bands_array([block_keys(s, num, den) for s in sets]), pa.array(map(sketch, sets), pa.binary()), batch.column(2)]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "v", "bands", "sketch", "mark"])
 
-    return map_batches(df.select(row, text), work, f"id {df.schema[row].dataType.simpleString()}, n long, v long, bands {BANDS}, sketch binary")
+    given = df.select(row, text, mark.cast("long").alias("__mark"))
+    return map_batches(given, work, f"id {df.schema[row].dataType.simpleString()}, n long, v long, bands {BANDS}, sketch binary, mark long")
 
 
 def _shared_bits(nodes: DataFrame, scratch: Scratch) -> np.ndarray:
     """Bits, at the keys' low BITMAP bits, of the keys that two sets at least have; of 2^BITMAP bits at any number of keys."""
     keys = nodes.select(F.explode("bands.keys").alias("keys")).select(F.explode("keys").alias("key"))
-    again = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.expr(f"key & {(1 << BITMAP) - 1}").alias("at"))
-    pieces = again.groupBy(F.expr("at div 32768").alias("piece")).agg(F.expr("bitmap_construct_agg(at % 32768)").alias("bits"))
-    out = np.zeros((1 << (BITMAP - 15), 4096), np.uint8)
-    for r in scratch.save(pieces, "bitmap").toLocalIterator():
-        out[r["piece"]] = np.frombuffer(r["bits"], np.uint8)
-    return out.reshape(-1)
+    again = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
+    return bit_field(again, scratch, "bitmap", BITMAP)
 
 
 def _shared_keys(nodes: DataFrame, bits: np.ndarray) -> DataFrame:
@@ -356,12 +353,13 @@ def _links(given: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
     return to_leader.unionByName(to_hub).unionByName(verified.select(F.col("x").alias("u"), F.col("y").alias("w")))
 
 
-def classes(df: DataFrame, row: str = "doc_id", text: str = "text", k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
+def classes(df: DataFrame, row: str = "doc_id", text: str = "text", k: int = 3, num: int = 90, den: int = 100, mark: Column | None = None) -> DataFrame:
     """(row, n_shingles, component_id): sets link where den * intersection >= num * union; a component is named by the
-    least id in it. Sets of one text or of copies are one component."""
+    least id in it. Sets of one text or of copies are one component. With `mark`, a whole number that tells rows apart, the
+    result has mark and group too: a number of the component, whatever its ids; null where the set is empty."""
     scratch = Scratch(df.sparkSession)
-    every = scratch.save(_sketched(df, row, text, k, num, den), "every")
-    base = scratch.save(every.select("id", "n", "v"), "base")
+    every = scratch.save(_sketched(df, row, text, k, num, den, F.lit(0) if mark is None else mark), "every")
+    base = scratch.save(every.select("id", "n", "v", "mark"), "base")
     nodes = every.where("n > 0").groupBy("v").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     nodes = scratch.save(nodes, "nodes")
     scratch.drop("every")
@@ -376,13 +374,14 @@ def classes(df: DataFrame, row: str = "doc_id", text: str = "text", k: int = 3,
     wanted = reduce(DataFrame.unionByName, ends).distinct().join(nodes, "v").select("v", "least")
     wanted = scratch.save(wanted, "wanted")
     size = wanted.count()
-    held = F.broadcast if size <= BROADCAST_IDS else lambda x: x
     ids = wanted.where("least is not null").select("v", F.col("least").alias("__id"))
-    texts = df.select(F.col(row).alias("__id"), F.col(text).alias("text")).join(held(ids), "__id").select("v", "text")
+    field = bit_field(ids.select(F.xxhash64("__id")), scratch, "field")
+    near = df.select(F.col(row).alias("__id"), F.col(text).alias("text")).where(marked(F.xxhash64("__id"), field, df.sparkSession))
+    texts = near.join(ids, "__id").select("v", "text")
     nameless = wanted.where("least is null").select("v")
     if not nameless.isEmpty():  # no id fetches the sets that only rows of null id have
         unnamed = _fingerprinted(df.where(F.col(row).isNull()).select(F.col(text).alias("text")), k)
-        texts = texts.unionByName(unnamed.join(held(nameless), "v").select("v", "text"))
+        texts = texts.unionByName(unnamed.join(nameless, "v").select("v", "text"))
     sets = scratch.save(_sets(texts, k), "sets")
     if (found := sets.count()) != size:  # rows of one id and one text
         sets = scratch.save(sets.dropDuplicates(["v"]), "distinct")
@@ -398,6 +397,6 @@ def classes(df: DataFrame, row: str = "doc_id", text: str = "text", k: int = 3,
     roots = components(links, scratch)
     named = nodes.join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(names, "root").select("v", "component_id")
-    out = base.select("id", "n", "v").join(named, "v", "left").select(F.col("id").alias(row), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    named = named.join(names, "root").select("v", "component_id", "root")
+    out = base.join(named, "v", "left").select(F.col("id").alias(row), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), *([] if mark is None else ["mark", F.col("root").alias("group")]))
     return scratch.finish(out)
