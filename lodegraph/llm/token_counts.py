@@ -1,14 +1,17 @@
 """Token counts: batch encoding in an Arrow function that returns lengths only.
 
-Texts of an Arrow batch are cut into pieces, the pieces are dealt into encoder calls of about equal bytes, and only
-the lengths of the encodings leave the worker. Equal texts of a batch are encoded once.
+Texts of an Arrow batch are cut into pieces of about PIECE_BYTES, the pieces are dealt into encoder calls of about
+CALL_BYTES, and only the lengths of the encodings leave the worker. Equal texts of a batch are encoded once. A text is cut
+only for vocabularies whose own way to split texts is known to allow it: the pattern that `pieces` is for, without a
+normalizer, and without added tokens that reach over white space. Others get whole texts.
 
-Null text counts as empty (0 tokens). Repeated rows are counted each. Other columns pass unchanged; columns that have
-the names of the new ones are replaced.
+Null and empty texts have no tokens; texts of any length are counted whole. Repeated rows are counted each, and null ids
+pass. Other columns pass unchanged; columns that have the names of the new ones are replaced. An empty table gives none.
 """
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Callable, Iterator
 
@@ -33,9 +36,7 @@ def load(path: str) -> tuple[Callable[[list[str]], list[int]], bool]:
             encoder = Tokenizer.from_file(path)
             encoder.no_truncation()
             encoder.no_padding()
-            byte_level = '"ByteLevel"' in str(encoder.pre_tokenizer.__getstate__()) if encoder.pre_tokenizer else False
-            splits = byte_level and encoder.normalizer is None
-            _loaded[path] = (lambda texts: [len(x) for x in encoder.encode_batch_fast(texts, add_special_tokens=False)], splits)
+            _loaded[path] = (lambda texts: [len(x) for x in encoder.encode_batch_fast(texts, add_special_tokens=False)], may_split(encoder.to_str()))
         elif path.endswith(".model"):
             import sentencepiece
 
@@ -50,21 +51,36 @@ def load(path: str) -> tuple[Callable[[list[str]], list[int]], bool]:
             with open(path, "rb") as lines:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
             ranked = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-            _loaded[path] = (lambda texts: [len(ranked.encode_ordinary(x)) for x in texts], True)
+            _loaded[path] = (lambda texts: [len(ranked.encode_ordinary(x)) for x in texts], True)  # that pattern is the one of `pieces`
     return _loaded[path]
 
 
+def may_split(tokenizer: str) -> bool:
+    """Whether a tokenizer (as JSON) encodes the pieces of a text to what it encodes the text to."""
+    held = json.loads(tokenizer)
+    before = held.get("pre_tokenizer") or {}
+    known = before.get("type") == "ByteLevel" and before.get("use_regex") is True and not before.get("add_prefix_space")
+    added = [x for x in held.get("added_tokens", []) if x.get("lstrip") or x.get("rstrip") or any(c.isspace() for c in x["content"])]
+    return known and not held.get("normalizer") and not added
+
+
+def _prefix(text: str, start: int, limit: int) -> int:
+    """Characters from `start` on that are no more than `limit` bytes."""
+    return len(text[start : start + limit].encode("utf-8", "surrogatepass")[:limit].decode("utf-8", "ignore"))
+
+
 def pieces(text: str, limit: int = PIECE_BYTES) -> list[str]:
-    """Cuts a long text where white space follows other characters.
+    """Cuts a text of more than `limit` bytes where white space follows other characters.
 
-    No match of the splitting pattern crosses such a place, and the look-ahead of its white-space branch sees the same
-    on both sides, so the pieces' counts sum to the text's. A stretch without such a place stays whole.
+    No match of the pattern of words, numbers, other characters (each after a blank, if any) and white space crosses such a
+    place, and the look-ahead of its white-space branch sees the same on both sides, so the pieces' counts sum to the
+    text's. A stretch without such a place stays whole.
     """
-    if len(text) <= limit:
+    if 3 * len(text) <= limit or _prefix(text, 0, limit) == len(text):
         return [text]
     out, start = [], 0
-    while len(text) - start > limit:
-        at = start + limit
+    while (fits := _prefix(text, start, limit)) < len(text) - start:
+        at = start + max(1, fits)
         while at < len(text) and not (text[at] in " \n\t\r" and not text[at - 1].isspace() and text[at - 1] not in "\x1c\x1d\x1e\x1f\x85"):
             at += 1
         out.append(text[start:at])
@@ -86,7 +102,7 @@ def lengths(texts: list[str], encode: Callable[[list[str]], list[int]], splits:
 
     for k, p in parts:
         call.append((k, p))
-        size += len(p)
+        size += len(p.encode("utf-8", "surrogatepass"))
         if size >= CALL_BYTES:
             flush()
             size = 0
