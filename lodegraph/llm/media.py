@@ -7,15 +7,19 @@ one; media found inside are carved out, outermost first, so that what a medium h
 
 Formats: PNG, GIF, JPEG, BMP, WAV, AVI, WebP, FLAC, MP3 with ID3v2, Ogg, ISO base media (mp4 and kin), PDF, ZIP, gzip.
 
-Null and empty values have no type. Values of any length are scanned whole. Equal values give equal results.
+Null and empty values have no type. Values of any length are scanned whole. Equal values give equal results, and repeated
+rows are read each; null ids pass; an empty table gives none. Only the columns named are read, so other columns' names
+don't matter.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -153,24 +157,97 @@ def _riff(b: bytes, at: int) -> tuple[str, int, str] | None:
     return (kind, min(max(end, stop), len(b)), shape) if whole and (kind != "audio/wav" or b"fmt " in seen and b"data" in seen) and seen else None
 
 
+def _crc(value: bytes, width: int, polynomial: int) -> int:
+    """Cyclic redundancy check, most significant bit first, from 0."""
+    table, top, mask = _crc_table(width, polynomial), width - 8, (1 << width) - 1
+    out = 0
+    for x in value:
+        out = (out << 8 & mask) ^ table[out >> top ^ x]
+    return out
+
+
+@lru_cache(maxsize=4)
+def _crc_table(width: int, polynomial: int) -> list[int]:
+    out, high, mask = [], 1 << width - 1, (1 << width) - 1
+    for x in range(256):
+        x <<= width - 8
+        for _ in range(8):
+            x = (x << 1 ^ polynomial) & mask if x & high else x << 1 & mask
+        out.append(x)
+    return out
+
+
+def _flac_frame(b: bytes, at: int) -> int:
+    """Length of a frame's header with its check, 0 where there is none."""
+    if at + 6 > len(b) or b[at] != 0xFF or b[at + 1] & 0xFE != 0xF8:
+        return 0
+    size, rate, end = b[at + 2] >> 4, b[at + 2] & 15, at + 4
+    if not size or rate == 15 or b[at + 3] & 1 or b[at + 3] >> 4 > 10:
+        return 0
+    extra = 0 if b[end] < 0x80 else 7 - (b[end] ^ 0xFF).bit_length()  # the coded number's further bytes
+    end += 1 + extra + {6: 1, 7: 2}.get(size, 0) + {12: 1, 13: 2, 14: 2}.get(rate, 0)
+    return end + 1 - at if end < len(b) and _crc(b[at:end], 8, 0x07) == b[end] else 0
+
+
 def _flac(b: bytes, at: int) -> tuple[str, int, str] | None:
-    end, first = at + 4, True
-    while end + 4 <= len(b):
+    """Metadata blocks, then frames: each begins with a header that its check confirms and ends in one over all of it."""
+    end, first, last = at + 4, True, 0
+    while not last:
+        if end + 4 > len(b):
+            return None
         last, kind, size = b[end] >> 7, b[end] & 127, int.from_bytes(b[end + 1 : end + 4], "big")
         if first and (kind or size != 34) or kind == 127 or end + 4 + size > len(b):
             return None
         end, first = end + 4 + size, False
-        if last:
-            return ("audio/flac", len(b), "") if b[end : end + 1] == b"\xff" else None
-    return None
+    frames = 0
+    while _flac_frame(b, end):
+        # A frame's length isn't stated: it ends where its check holds, before another frame or where the medium ends.
+        after, table, check, place = end, _crc_table(16, 0x8005), 0, 0
+        for place in range(end, len(b)):
+            if place >= end + 8 and check == int.from_bytes(b[place : place + 2], "big") and (place + 2 >= len(b) or _flac_frame(b, place + 2) or b[place + 2] != 0xFF):
+                after = place + 2
+                break
+            check = (check << 8 & 0xFFFF) ^ table[check >> 8 ^ b[place]]
+        if after == end:
+            break
+        end, frames = after, frames + 1
+    return ("audio/flac", end, f"{frames}f") if frames else None
+
+
+#: Kilobits a second of MPEG audio frames by version 1 or 2 and layer, and samples a second of version 1.
+BIT_RATES = {
+    (1, 1): (0, 32, 64, 96, 128, 160, 192, 224, 256, 288, 320, 352, 384, 416, 448),
+    (1, 2): (0, 32, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320, 384),
+    (1, 3): (0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320),
+    (2, 1): (0, 32, 48, 56, 64, 80, 96, 112, 128, 144, 160, 176, 192, 224, 256),
+    (2, 2): (0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160),
+    (2, 3): (0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160),
+}
+SAMPLE_RATES = (44100, 48000, 32000)
+
+
+def _mpeg_frame(b: bytes, at: int) -> int:
+    """Length of the MPEG audio frame at a place, by its header; 0 where there is none."""
+    if at + 4 > len(b) or b[at] != 0xFF or b[at + 1] & 0xE0 != 0xE0:
+        return 0
+    version, layer, rate, speed = b[at + 1] >> 3 & 3, 4 - (b[at + 1] >> 1 & 3), b[at + 2] >> 4, b[at + 2] >> 2 & 3
+    if version == 1 or layer == 4 or rate in (0, 15) or speed == 3:
+        return 0
+    bits, samples = BIT_RATES[1 if version == 3 else 2, layer][rate] * 1000, SAMPLE_RATES[speed] >> {3: 0, 2: 1, 0: 2}[version]
+    pad = b[at + 2] >> 1 & 1
+    return (12 * bits // samples + pad) * 4 if layer == 1 else (72 if layer == 3 and version != 3 else 144) * bits // samples + pad
 
 
 def _id3(b: bytes, at: int) -> tuple[str, int, str] | None:
+    """A tag of stated size, then whole frames, as many as follow each other, and the tag of 128 bytes at the end, if any."""
     if at + 10 > len(b) or b[at + 3] not in (2, 3, 4) or any(x & 128 for x in b[at + 6 : at + 10]):
         return None
-    size = sum((x & 127) << 7 * (3 - k) for k, x in enumerate(b[at + 6 : at + 10]))
-    end = at + 10 + size
-    return ("audio/mpeg", len(b), "") if end + 2 <= len(b) and b[end] == 0xFF and b[end + 1] & 0xE0 == 0xE0 else None
+    end, frames = at + 10 + sum((x & 127) << 7 * (3 - k) for k, x in enumerate(b[at + 6 : at + 10])), 0
+    while (n := _mpeg_frame(b, end)) and end + n <= len(b):
+        end, frames = end + n, frames + 1
+    if not frames:
+        return None
+    return "audio/mpeg", end + 128 * (b[end : end + 3] == b"TAG" and end + 128 <= len(b)), f"{frames}f"
 
 
 def _ogg(b: bytes, at: int) -> tuple[str, int, str] | None:
@@ -200,8 +277,17 @@ def _mp4(b: bytes, at: int) -> tuple[str, int, str] | None:
 
 
 def _pdf(b: bytes, at: int) -> tuple[str, int, str] | None:
-    end = b.find(b"%%EOF", at)
-    return ("application/pdf", end + 5, "") if end > 0 and b.find(b"startxref", at, end) > 0 and b[at + 5 : at + 8][1:2] == b"." else None
+    """To the last end mark before another file's head: each update of a file adds a part with an end mark of its own. A
+    part counts where its startxref names a cross-reference within it."""
+    if not re.match(rb"%PDF-\d\.\d", b[at : at + 8]):
+        return None
+    following, end, parts = b.find(b"%PDF-", at + 5), 0, 0
+    stop = following if following > 0 else len(b)
+    for m in re.compile(rb"startxref\s+(\d+)\s+%%EOF").finditer(b, at, stop):
+        place = at + int(m[1])
+        if place < m.start() and (b.startswith(b"xref", place) or re.match(rb"\d+ \d+ obj", b[place : place + 24])):
+            end, parts = m.end(), parts + 1
+    return ("application/pdf", end, f"{parts}p") if parts else None
 
 
 def _zip(b: bytes, at: int) -> tuple[str, int, str] | None:
@@ -216,14 +302,16 @@ def _zip(b: bytes, at: int) -> tuple[str, int, str] | None:
 def _gzip(b: bytes, at: int) -> tuple[str, int, str] | None:
     if at + 18 > len(b) or b[at + 3] & 0xE0:
         return None
-    unpack = zlib.decompressobj(31)
+    unpack, fed, rest = zlib.decompressobj(31), at, b""
     try:
-        unpack.decompress(b[at : at + 64])  # most chance matches end here
-        rest = unpack.decompress(b[at + 64 :])
-        del rest
+        while not unpack.eof and (rest or fed < len(b)):  # piece by piece, so that little is held at once
+            if not rest:
+                rest, fed = b[fed : fed + (64 << 10)], min(len(b), fed + (64 << 10))
+            unpack.decompress(rest, 1 << 20)
+            rest = unpack.unconsumed_tail
     except zlib.error:
         return None
-    return ("application/gzip", len(b) - len(unpack.unused_data), "") if unpack.eof else None
+    return ("application/gzip", fed - len(unpack.unused_data), "") if unpack.eof else None
 
 
 VALIDATORS = {"image/png": _png, "image/gif": _gif, "image/jpeg": _jpeg, "image/bmp": _bmp, "riff": _riff, "audio/flac": _flac, "audio/mpeg": _id3, "audio/ogg": _ogg, "video/mp4": _mp4, "application/pdf": _pdf, "application/zip": _zip, "application/gzip": _gzip}
