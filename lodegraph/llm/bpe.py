@@ -8,7 +8,8 @@ Words once merged are remembered, up to REMEMBERED a worker. Decoding: ids join
 concatenates the tokens' bytes.
 
 Null text counts as empty: no ids, and an empty decoding. Texts of any length are taken whole; one batch holds about
-BATCH_BYTES of text and one text at least. Repeated rows are encoded each.
+BATCH_BYTES of text and one text at least. Repeated rows are encoded each, alike; null ids pass; an empty table gives none.
+Of the input only the id and the text are read, so other columns' names don't matter. Nothing is written to a disk.
 """
 
 from __future__ import annotations
@@ -71,7 +72,7 @@ class Coder:
         cuts = [(self.ranks[t[:k]], self.ranks[t[k:]], n) for t, n in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
         self.merges = {(a, b): n for a, b, n in cuts}
         left, right, made = (pa.array(c, pa.int32()) for c in zip(*cuts, strict=True))
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "preserve_insertion_order": "false"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "preserve_insertion_order": "false", "temp_directory": ""})
         given = pa.table({"l": left, "r": right, "merged": made})
         words = pa.table({"id": pa.array(list(self.ranks.values()), pa.int32()), "hex": pa.array([t.hex() for t in self.ranks])})
         self.db.register("given", given)
@@ -200,8 +201,9 @@ def decoded(df: DataFrame, path: str, pattern: str, row: str = "doc_id", ids: st
     return map_batches(df.select(row, ids), work, f"id {df.schema[row].dataType.simpleString()}, bytes binary").withColumnRenamed("id", row)
 
 
-def round_trip(df: DataFrame, path: str, pattern: str, row: str = "doc_id", text: str = "text") -> DataFrame:
-    """(row, n_tokens, ids_sha256, decoded_sha256): encodes and decodes without the ids leaving the worker."""
+def round_trip(df: DataFrame, path: str, pattern: str, row: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+    """(row, n_tokens, ids_sha256, decoded_sha256, and the ids if asked for): encodes and decodes in one pass."""
+    names = ["id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else [])]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(path, pattern)
@@ -210,6 +212,8 @@ def round_trip(df: DataFrame, path: str, pattern: str, row: str = "doc_id", text
             ids = [numbers(x) for x in texts]
             shown = [hashlib.sha256(x.encode()).hexdigest() for x in texts]
             back = [hashlib.sha256(b).hexdigest() for b in own.decode(ids)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(shown, pa.string()), pa.array(back, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            columns = [batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(shown, pa.string()), pa.array(back, pa.string()), *([pa.array(ids, pa.list_(pa.int32()))] if with_ids else [])]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    return map_batches(df.select(row, text), work, f"id {df.schema[row].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", row)
+    schema = f"id {df.schema[row].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return map_batches(df.select(row, text), work, schema).withColumnRenamed("id", row)
