@@ -3,53 +3,102 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodegraph.functions.text import redact_preview
 from lodegraph.scratch import Scratch
+from lodegraph.shipping import ship
 
 PATTERN_LIMIT = 10 << 20
 
 
 def lines(files: DataFrame) -> DataFrame:
-    """(root, path, line, start, text): 1-based lines with their byte offsets. A final newline starts no line."""
+    """(root, path, line, start, text): 1-based lines with their byte offsets. A final newline starts no line.
+
+    Offsets are running sums inside a row, so a corpus of any size is read without a shuffle.
+    """
     parts = F.split("content", "\n")
-    cut = files.select("root", "path", F.posexplode(F.when(F.col("content").endswith("\n"), F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)).alias("k", "raw"))
-    from pyspark.sql import Window
+    raw = files.select("root", "path", F.when(F.col("content").endswith("\n"), F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts).alias("raw"))
+    # Sums by doubling: after step r each place holds the sum of its 2^r places up to it.
+    ends = F.transform("raw", lambda x: (F.octet_length(x) + 1).cast("long"))
+    starts = F.transform(_running(ends), lambda upto, k: upto - F.octet_length(F.get("raw", k)) - 1)
+    cut = raw.select("root", "path", F.posexplode(F.arrays_zip(starts.alias("start"), F.col("raw"))).alias("k", "z"))
+    return cut.select("root", "path", (F.col("k") + 1).cast("long").alias("line"), F.col("z.start").alias("start"), F.regexp_replace("z.raw", "\r$", "").alias("text"))
 
-    order = Window.partitionBy("root", "path").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.octet_length("raw") + 1).over(order), F.lit(0)).cast("long")
-    return cut.select("root", "path", (F.col("k") + 1).cast("long").alias("line"), start.alias("start"), F.regexp_replace("raw", "\r$", "").alias("text"))
+
+def _running(numbers: Column) -> Column:
+    """Running sums of an array in one pass: arrays are joined in runs of about their root, so that no step copies all of it
+    for each element."""
+    width = F.greatest(F.ceil(F.sqrt(F.size(numbers))).cast("int"), F.lit(1))
+    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(numbers) - 1) / width).cast("int"), F.lit(0))), lambda r: F.slice(numbers, r * width + 1, width))
+    empty = F.array().cast("array<bigint>")
+    within = F.transform(runs, lambda run: F.aggregate(run, empty, lambda acc, x: F.concat(acc, F.array(F.coalesce(F.element_at(acc, -1), F.lit(0)) + x))))
+    before = F.aggregate(within, empty, lambda acc, run: F.concat(acc, F.array(F.coalesce(F.element_at(acc, -1), F.lit(0)) + F.coalesce(F.element_at(run, -1), F.lit(0)))))
+    return F.flatten(F.transform(within, lambda run, r: F.transform(run, lambda x: x + F.when(r > 0, F.get(before, r - 1)).otherwise(F.lit(0)))))
 
 
 def checked(pattern: str, is_regex: bool) -> str:
-    """Java pattern of a literal or a regular expression; look-around and back-references are refused."""
+    """The pattern to search by; look-around and back-references are refused, as is what doesn't compile."""
+    import regex
+
     if len(pattern) > PATTERN_LIMIT:
         raise ValueError("the pattern is too large")
     if not is_regex:
-        return "\\Q" + pattern.replace("\\E", "\\E\\\\E\\Q") + "\\E"
-    if re.search(r"\(\?[=!<]", pattern) or re.search(r"\\[1-9]", pattern):
+        return regex.escape(pattern, special_only=True)
+    bare = re.sub(r"\\\\", "", pattern)  # without escaped backslashes
+    if re.search(r"(?<!\\)\(\?(?:=|!|<=|<!|>)", bare) or re.search(r"\\(?:[1-9]|k[<{]|g[<{])", bare):
         raise ValueError("look-around and back-references are not supported")
-    return f"(?Umd){pattern}"
+    try:
+        regex.compile(pattern, regex.MULTILINE)
+    except regex.error as e:
+        raise ValueError(f"the pattern is not valid: {e}") from e
+    return pattern
 
 
-def direct(files: DataFrame, pattern: str, is_regex: bool = False, limit: int | None = None) -> DataFrame:
-    """(root, path, line, column, preview) of every match, a row each; previews are redacted. `limit` is by path and place."""
-    java = checked(pattern, is_regex)
-    hit = lines(files.where(F.col("content").rlike(java))).where(F.col("text").rlike(java))
-    # A line's matches: the texts between them give the columns.
-    pieces = F.expr(f"split(text, {_sql(java)}, -1)")
-    found = hit.withColumns({"pieces": pieces, "matches": F.expr(f"regexp_extract_all(text, {_sql(java)}, 0)")})
-    column = "aggregate(slice(pieces, 1, i + 1), 0, (a, x) -> a + length(x)) + aggregate(slice(matches, 1, i), 0, (a, x) -> a + length(x)) + 1"
-    out = found.withColumn("i", F.explode(F.sequence(F.lit(0), F.size("matches") - 1))).select("root", "path", "line", F.expr(column).cast("long").alias("column"), redact_preview(F.trim("text")).alias("preview"))
-    return out if limit is None else out.orderBy("root", "path", "line", "column").limit(limit)
+MATCHES = "root string, path string, line long, column long, end_line long, end_column long, start long, end long, line_text string"
 
 
-def _sql(text: str) -> str:
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+def direct(files: DataFrame, pattern: str, is_regex: bool = False, limit: int | None = None) -> DataFrame:
+    """(root, path, line, column, end_line, end_column, start, end, preview) of every match, a row each: places are 1-based lines and columns in
+    characters, and byte offsets; previews are the lines of the match, redacted. Matches may span lines. `limit` is by path
+    and place. Only a literal can be asked of the file's text before it leaves the JVM."""
+    own = checked(pattern, is_regex)
+    ship(files.sparkSession)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import regex
+
+        from lodegraph.packs.facts import Places
+
+        compiled = regex.compile(own, regex.MULTILINE)
+        names = [x.split(" ")[0] for x in MATCHES.split(", ")]
+        kinds = [pa.string()] * 2 + [pa.int64()] * 6 + [pa.string()]
+        for batch in batches:
+            rows: list[tuple] = []
+            for root, path, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                text = content.decode("utf-8", "surrogateescape") if isinstance(content, bytes) else content
+                places, before = None, -1
+                for m in compiled.finditer(text or ""):
+                    if m.start() == m.end() == before:  # an empty match right after another one is none
+                        continue
+                    before = m.end()
+                    places = places or Places(text)
+                    (start, line, column), (end, end_line, end_column) = places.at(m.start()), places.at(m.end())
+                    low, high = text.rfind("\n", 0, m.start()) + 1, text.find("\n", m.end())
+                    shown = text[low : high if high >= 0 else len(text)].encode("utf-8", "surrogateescape").decode("utf-8", "replace").strip()
+                    rows.append((root, path, line, column, end_line, end_column, start, end, shown))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    given = files if is_regex else files.where(F.col("content").cast("string").contains(pattern))
+    found = given.select("root", "path", "content").mapInArrow(work, MATCHES.replace("end long", "`end` long"))
+    out = found.withColumn("preview", redact_preview(F.col("line_text"))).drop("line_text")
+    return out if limit is None else out.orderBy("root", "path", "start").limit(limit)
 
 
 def tokens(text: Column) -> Column:
@@ -145,15 +194,46 @@ def nearest_batch(vectors: DataFrame, queries: DataFrame, k: int, key: str = "ve
 
 def hashed_embedding(text: Column, dimension: int) -> Column:
     """Words into buckets by digest, with the sign of a further byte; unit length, or zeros where all cancel or none is."""
-    digest = lambda w: F.sha2(w, 256)
-    bucket = lambda w: F.conv(F.substring(digest(w), 1, 4), 16, 10).cast("long") % dimension
-    sign = lambda w: F.when(F.conv(F.substring(digest(w), 7, 2), 16, 10).cast("long") % 2 == 0, 1.0).otherwise(-1.0)
-    parts = F.transform(F.filter(F.split(F.lower(text), "\\s+"), lambda x: x != ""), lambda w: F.struct(bucket(w).alias("b"), sign(w).alias("s")))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.aggregate(F.filter(parts, lambda p: p["b"] == i), F.lit(0.0), lambda a, p: a + p["s"]))
-    # Through an array of one, so that the buckets are summed once.
-    return F.get(F.transform(F.array(raw), lambda v: _unit(v)), 0)
+    number = lambda d, at, n: F.conv(F.substring(d, at, n), 16, 10).cast("long")
+    words = F.filter(F.split(F.lower(text), "\\s+"), lambda x: x != "")
+    digests = F.transform(words, lambda w: F.sha2(w, 256))
+    # A word's place and sign in one number, sorted: equal places are neighbours.
+    coded = F.transform(digests, lambda d: F.struct((number(d, 1, 4) % dimension).cast("int").alias("b"), F.when(number(d, 7, 2) % 2 == 0, 1.0).otherwise(-1.0).alias("s")))
+    zeros = F.array_repeat(F.lit(0.0), dimension)
+    # Through an array of one, so that the places are made once.
+    raw = F.get(F.transform(F.array(coded), lambda ps: F.transform(zeros, lambda z, i: F.aggregate(F.filter(ps, lambda p: p["b"] == i), z, lambda a, p: a + p["s"]))), 0)
+    return normalised(raw)
+
+
+def normalised(v: Column) -> Column:
+    """Of unit length; zeros stay."""
+    return F.get(F.transform(F.array(v), lambda x: _unit(x)), 0)
+
+
+def pseudo_embedding(text: Column, dimension: int) -> Column:
+    """A digest's bytes, again and again, scaled to -1 to 1, of unit length: what the offline provider gives."""
+    digest = F.sha2(text, 256)
+    byte = lambda i: F.conv(F.substring(digest, (i % 32) * 2 + 1, F.lit(2)), 16, 10).cast("double")
+    return normalised(F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: byte(i) / 255.0 * 2.0 - 1.0))
 
 
 def _unit(v: Column) -> Column:
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
     return F.transform(v, lambda x: F.when(norm > 0, x / norm).otherwise(x))
+
+
+def overlap_score(query: str | Column, content: Column) -> Column:
+    """0.5 and 0.15 for each of the query's words that the content has, 1 at most."""
+    words = F.filter(F.split(F.lower(F.lit(query) if isinstance(query, str) else query), "\\s+"), lambda w: w != "")
+    return F.least(F.lit(1.0), 0.5 + 0.15 * F.size(F.filter(words, lambda w: F.lower(content).contains(w))))
+
+
+def put_vectors(old: DataFrame, new: DataFrame, dimension: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """Vectors of this dimension replace those of their key; others are left out without a word."""
+    fit = new.where(F.size(vector) == dimension)
+    return old.join(fit.select(key), key, "left_anti").unionByName(fit.dropDuplicates([key]))
+
+
+def nearest_where(vectors: DataFrame, query: list[float], k: int, where: Column, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """Exact search among the vectors that fit a condition on their other columns."""
+    return nearest(vectors.where(where), query, k, key, vector)

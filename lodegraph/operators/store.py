@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -49,61 +50,139 @@ class Conflict(RuntimeError):
     """Another writer committed first."""
 
 
+class StoreError(RuntimeError):
+    """The folder holds no store that this version reads."""
+
+
 class Store:
     """Tables as immutable Parquet versions and a manifest for each revision, on any file system that Spark reaches.
 
-    A commit writes new versions of the changed tables, then creates the next revision's manifest; creating fails if
-    it exists, which is the optimistic check. Readers are pinned to the revision they opened.
+    A commit writes new versions of the changed tables, then the next revision's manifest under a name of its own, and
+    renames that to the revision's name, which fails if it is there: that is the optimistic check, and no reader sees half a
+    manifest. (On object stores, where renaming is no such test, writers have to take turns.) Readers are pinned to the
+    revision they opened. A manifest also holds small facts (`meta`): versions, counters.
     """
 
-    FORMAT = 1
+    FORMAT, MARK = 1, "lodegraph-store"
 
-    def __init__(self, spark: SparkSession, folder: str):
+    def __init__(self, spark: SparkSession, folder: str, create: bool = True):
         self.spark, self.folder = spark, folder.rstrip("/")
         jvm = spark._jvm
         self._path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
         self._fs = self._path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
+        if not self._fs.exists(self._path(f"{self.folder}/manifests")):
+            if not create:
+                raise StoreError(f"{folder} holds no store")
+            if self._fs.exists(self._path(self.folder)) and self._fs.listStatus(self._path(self.folder)):
+                raise StoreError(f"{folder} holds something else")
         self._fs.mkdirs(self._path(f"{self.folder}/manifests"))
         self._fs.mkdirs(self._path(f"{self.folder}/tables"))
+        self._held(self.revision())
+
+    @classmethod
+    def temporary(cls, spark: SparkSession) -> Store:
+        """A store in the session's shared folder that goes when the driver ends."""
+        from lodegraph.scratch import Scratch
+
+        return cls(spark, Scratch(spark).root)
+
+    @classmethod
+    def inspect(cls, spark: SparkSession, folder: str) -> dict:
+        """What a folder holds, without opening it: format, revision, tables; an error text where it is no store."""
+        try:
+            store = cls(spark, folder, create=False)
+        except StoreError as e:
+            return {"error": str(e)}
+        at = store.revision()
+        return {"format": cls.FORMAT, "revision": at, "tables": sorted(store.manifest(at)), "meta": store.meta(at)}
+
+    @classmethod
+    def migrate(cls, spark: SparkSession, folder: str) -> int:
+        """Brings a store of an older format to this one; the revision after it. Format 0 had no mark and no meta."""
+        store = cls.__new__(cls)
+        store.spark, store.folder = spark, folder.rstrip("/")
+        store._path = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+        store._fs = store._path(store.folder).getFileSystem(spark._jsc.hadoopConfiguration())
+        at = store.revision()
+        held = store._read(at) if at else None
+        if held is None or held.get("format") == cls.FORMAT:
+            return at
+        if held.get("format") != 0 or "tables" not in held:
+            raise StoreError(f"format {held.get('format')} can't be migrated")
+        store._write(at + 1, held["tables"], {})
+        return at + 1
 
     def revision(self) -> int:
         names = [s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.folder}/manifests"))]
-        return max((int(n[:-5]) for n in names if n.endswith(".json") and not n.startswith(".")), default=0)
+        return max((int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit()), default=0)
 
-    def manifest(self, revision: int | None = None) -> dict[str, str]:
-        at = self.revision() if revision is None else revision
+    def _read(self, at: int) -> dict:
+        return json.loads(self.spark.read.text(f"{self.folder}/manifests/{at:012d}.json", wholetext=True).first()[0])
+
+    def _held(self, at: int) -> dict:
         if not at:
-            return {}
-        text = self.spark.read.text(f"{self.folder}/manifests/{at:012d}.json", wholetext=True).first()[0]
-        held = json.loads(text)
-        if held["format"] != self.FORMAT:
-            raise ValueError(f"format {held['format']} is not {self.FORMAT}")
-        return held["tables"]
+            return {"tables": {}, "meta": {}}
+        held = self._read(at)
+        if held.get("mark") != self.MARK or held.get("format", 0) != self.FORMAT:
+            raise StoreError(f"format {held.get('format')} is not {self.FORMAT}" + ("; migrate the store" if held.get("format") == 0 else ""))
+        return held
+
+    def manifest(self, revision: int | None = None) -> dict[str, str]:
+        return self._held(self.revision() if revision is None else revision)["tables"]
+
+    def meta(self, revision: int | None = None) -> dict:
+        return self._held(self.revision() if revision is None else revision)["meta"]
 
     def read(self, table: str, revision: int | None = None) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/tables/{self.manifest(revision)[table]}")
 
-    def commit(self, base: int, changed: dict[str, DataFrame]) -> int:
+    def commit(self, base: int, changed: dict[str, DataFrame], meta: dict | None = None, clear: bool = False) -> int:
+        """Writes the changed tables as revision base + 1; with `clear` nothing else of the base stays."""
         if self.revision() != base:
             raise Conflict(f"revision {self.revision()} is not {base}")
-        tables = dict(self.manifest(base)) if base else {}
+        held = self._held(0 if clear else base)
+        tables = dict(held["tables"])
         for name, df in changed.items():
             tables[name] = f"{name}-{uuid.uuid4().hex}"
             df.write.parquet(f"{self.folder}/tables/{tables[name]}")
-        target = self._path(f"{self.folder}/manifests/{base + 1:012d}.json")
-        try:
-            out = self._fs.create(target, False)
-        except Exception as e:
-            raise Conflict(f"revision {base + 1} exists") from e
-        out.write(bytearray(json.dumps({"format": self.FORMAT, "tables": tables}).encode()))
-        out.close()
+        self._write(base + 1, tables, held["meta"] | (meta or {}))
         return base + 1
 
-    def vacuum(self, keep: int = 1) -> int:
-        """Deletes table versions that none of the last `keep` revisions has; the number deleted."""
+    def _write(self, revision: int, tables: dict[str, str], meta: dict) -> None:
+        own = self._path(f"{self.folder}/manifests/{uuid.uuid4().hex}.new")
+        out = self._fs.create(own, True)
+        out.write(bytearray(json.dumps({"mark": self.MARK, "format": self.FORMAT, "tables": tables, "meta": meta}).encode()))
+        out.close()
+        jvm = self.spark._jvm
+        target = self._path(f"{self.folder}/manifests/{revision:012d}.json")
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        kinds = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        kinds[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
+        try:
+            context.rename(self._fs.makeQualified(own), self._fs.makeQualified(target), kinds)
+        except Exception as e:
+            self._fs.delete(own, False)
+            if "FileAlreadyExists" in str(e):
+                raise Conflict(f"revision {revision} exists") from e
+            raise
+
+    def vacuum(self, keep: int = 1, older_than_s: float = 86_400) -> int:
+        """Deletes table versions that none of the last `keep` revisions has; the number deleted. Younger ones than
+        `older_than_s` stay, as a writer may be about to commit them."""
         now = self.revision()
         used = {v for r in range(max(1, now - keep + 1), now + 1) for v in self.manifest(r).values()}
-        gone = [s.getPath() for s in self._fs.listStatus(self._path(f"{self.folder}/tables")) if s.getPath().getName() not in used]
+        before = int((time.time() - older_than_s) * 1000)
+        gone = [s.getPath() for s in self._fs.listStatus(self._path(f"{self.folder}/tables")) if s.getPath().getName() not in used and s.getModificationTime() <= before]
         for p in gone:
             self._fs.delete(p, True)
         return len(gone)
+
+    def compact(self, files: int = 1) -> int:
+        """Rewrites each table in few files, as a revision of its own."""
+        at = self.revision()
+        return self.commit(at, {name: self.read(name, at).coalesce(files) for name in self.manifest(at)})
+
+    def remove(self) -> None:
+        """Deletes the store, which must be one."""
+        self._held(self.revision())
+        self._fs.delete(self._path(self.folder), True)
