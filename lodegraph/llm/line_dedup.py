@@ -76,7 +76,7 @@ def _common(pairs: DataFrame, segments: DataFrame) -> DataFrame:
                     low, high = max(0, -shift), min(len(a), len(b) - shift)
                     unequal = np.flatnonzero(np.concatenate([a[low:high] != b[low + shift : high + shift], [True]])) + low
                     ends = unequal[np.searchsorted(unequal, [o for o, _ in offsets])].tolist()
-                    gap = start - begin - shift if d == e else len(a)  # lines from the one's start to the other's
+                    gap = max(0, start - begin - shift) if d == e else len(a)  # lines from the other's start to the one's
                     for (o, g), end in zip(offsets, ends, strict=True):
                         stop = min(end, o + gap)
                         out.append((s, o, g, d, end - o, int(sums[end] - sums[o]), int(a[end]) if end < len(a) else None, start + o, start + stop, int(sums[stop] - sums[o])))
