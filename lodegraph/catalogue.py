@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodegraph.functions import ids, text
-from lodegraph.operators import context, graph, search, store
+from lodegraph.operators import claims, context, extract, graph, indexing, lexical, retrieval, search, store
+from lodegraph.scratch import Scratch, ordinals
 from lodegraph.sources import files
 from lodegraph.streaming import watch
 
@@ -40,7 +41,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_graphs: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
+
+
+def graph_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of the tables' keys, written once a session for each folder: queries read the tables of a graph, they
+    don't derive it. Edges are laid out by what they lead to."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _graphs:
+        scratch = Scratch(spark)
+        held = scratch.save(_nodes(spark, sf_dir), "nodes")
+        _graphs[at] = held, scratch.save(_edges(spark, sf_dir, held).repartition("to_id").sortWithinPartitions("to_id"), "edges")
+    return _graphs[at]
+
+
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph_of(spark, sf_dir)[0]
+
+
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph_of(spark, sf_dir)[1]
+
+
+def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = None
     for name, key, label, kind in NODES:
         path = F.concat(F.lit(f"src/{name}/"), F.col(key).cast("string"), F.lit(".py" if kind == "function" else ".md"))
@@ -49,13 +72,14 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    named = nodes(spark, sf_dir).select("key", "node_id")
+def _edges(spark: SparkSession, sf_dir: str, held: DataFrame) -> DataFrame:
+    named = held.select("key", "node_id")
     out = None
     for name, key, target, ref, kind in EDGES:
         one = table(spark, sf_dir, name).select(F.concat(F.lit(f"{name}:"), F.col(key).cast("string")).alias("f"), F.concat(F.lit(f"{target}:"), F.col(ref).cast("string")).alias("t"), F.lit(kind).alias("kind"))
         out = one if out is None else out.unionByName(one)
-    uses = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("supplier:"), F.col("l_suppkey").cast("string")).alias("f"), F.concat(F.lit("part:"), F.col("l_partkey").cast("string")).alias("t"), F.lit("calls").alias("kind")).distinct()
+    uses = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct()
+    uses = uses.select(F.concat(F.lit("supplier:"), F.col("l_suppkey").cast("string")).alias("f"), F.concat(F.lit("part:"), F.col("l_partkey").cast("string")).alias("t"), F.lit("calls").alias("kind"))
     out = out.unionByName(uses)
     out = out.join(named.select(F.col("key").alias("f"), F.col("node_id").alias("from_id")), "f").join(named.select(F.col("key").alias("t"), F.col("node_id").alias("to_id")), "t")
     return out.select(ids.edge_id(F.col("from_id"), F.col("to_id"), F.col("kind"), F.lit("fk")).alias("edge_id"), "from_id", "to_id", "kind")
@@ -124,7 +148,8 @@ def changes_since(spark, sf_dir):
 
 @query("SELECT doc_id, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) - 1 AS ordinal FROM documents")
 def discriminators(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", (F.row_number().over(Window.partitionBy("lang", "source").orderBy("doc_id")) - 1).cast("long").alias("ordinal"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    return ordinals(docs, ["lang", "source"], ["doc_id"], Scratch(spark)).select("doc_id", "ordinal")
 
 
 # ---- paths, classes, hashes
@@ -228,12 +253,13 @@ def forest_check(spark, sf_dir):
 # ---- resolution and the store's mutations
 
 
-_REFS = ", refs_ AS (SELECT DISTINCT o_custkey AS from_id, upper(substr(o_orderpriority, 3)) AS seeking FROM orders WHERE o_orderkey % 7 = 0 UNION SELECT DISTINCT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 5 = 0) "
+_REFS = ", refs_ AS (SELECT DISTINCT o_custkey AS from_id, upper(substr(o_orderpriority, 3)) AS seeking FROM orders UNION SELECT DISTINCT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey) "
 
 
 def _pending(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").where("o_orderkey % 7 = 0").select(F.col("o_custkey").alias("from_id"), F.upper(F.expr("substr(o_orderpriority, 3)")).alias("seeking"))
-    named = table(spark, sf_dir, "customer").where("c_custkey % 5 = 0").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("from_id"), F.col("n_name").alias("seeking"))
+    """References of all orders and all customers."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("from_id"), F.upper(F.expr("substr(o_orderpriority, 3)")).alias("seeking"))
+    named = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("from_id"), F.col("n_name").alias("seeking"))
     return orders.unionByName(named).distinct().withColumn("edge_kind", F.lit("imports"))
 
 
@@ -252,31 +278,6 @@ def promote_first(spark, sf_dir):
     return store.promote(_pending(spark, sf_dir), nodes(spark, sf_dir).withColumn("ord", F.col("key")))
 
 
-# The three above ask for a part of the references; these for those of all orders and all customers.
-_REFS_ALL = ", refs_ AS (SELECT DISTINCT o_custkey AS from_id, upper(substr(o_orderpriority, 3)) AS seeking FROM orders UNION SELECT DISTINCT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey) "
-
-
-def _all_pending(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("from_id"), F.upper(F.expr("substr(o_orderpriority, 3)")).alias("seeking"))
-    named = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("from_id"), F.col("n_name").alias("seeking"))
-    return orders.unionByName(named).distinct().withColumn("edge_kind", F.lit("imports"))
-
-
-@query(G + _REFS_ALL + "SELECT from_id, node_id AS to_id, 'imports' AS kind FROM refs_ JOIN nodes ON seeking = name")
-def resolve_exact_all(spark, sf_dir):
-    return store.resolve(_all_pending(spark, sf_dir), nodes(spark, sf_dir))[0]
-
-
-@query(G + _REFS_ALL + "SELECT from_id, seeking FROM refs_ WHERE seeking NOT IN (SELECT name FROM nodes)")
-def unresolved_remaining_all(spark, sf_dir):
-    return store.resolve(_all_pending(spark, sf_dir), nodes(spark, sf_dir))[1].select("from_id", "seeking")
-
-
-@query(G + _REFS_ALL + "SELECT from_id, first AS to_id, 'imports' AS kind FROM refs_ JOIN (SELECT name, arg_min(node_id, key) AS first FROM nodes GROUP BY 1) ON seeking = name")
-def promote_first_all(spark, sf_dir):
-    return store.promote(_all_pending(spark, sf_dir), nodes(spark, sf_dir).withColumn("ord", F.col("key")))
-
-
 @query(G + "SELECT edge_id FROM edges WHERE to_id NOT IN (SELECT node_id FROM nodes WHERE name NOT LIKE '%E%')")
 def demote_missing(spark, sf_dir):
     return store.demote(edges(spark, sf_dir), nodes(spark, sf_dir).where("name NOT LIKE '%E%'")).select("edge_id")
@@ -303,44 +304,128 @@ def version_diff_full_outer(spark, sf_dir):
     return store.version_changes(a, b)
 
 
-@query("SELECT 0::BIGINT AS differences")
+_STATES = """WITH now AS (SELECT o_orderkey AS k, o_totalprice AS v FROM orders WHERE o_orderkey % 10 <> 2),
+before AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 10 = 1 THEN 0 ELSE o_totalprice END AS v FROM orders WHERE o_orderkey % 10 <> 9)
+"""
+
+
+@query(_STATES + "SELECT now.k AS o_orderkey, now.v AS o_totalprice, CASE WHEN before.k IS NULL THEN 'added' WHEN before.v <> now.v THEN 'changed' ELSE 'kept' END AS fate FROM now LEFT JOIN before USING (k)")
 def incremental_equals_rebuild(spark, sf_dir):
-    """Changes applied to a first state give what a rebuild of the second state gives."""
+    """Removals and changes applied to a first state: the second state's rows, and what became of each."""
     now = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
     before = now.where("o_orderkey % 10 <> 9").withColumn("o_totalprice", F.expr("if(o_orderkey % 10 = 1, 0, o_totalprice)"))
     gone = before.where("o_orderkey % 10 = 2").select("o_orderkey")
     changed = now.where("o_orderkey % 10 IN (1, 9)")
-    return graph.equal(store.upsert(store.remove(before, gone), changed, ["o_orderkey"]), now.where("o_orderkey % 10 <> 2")).agg(F.count(F.lit(1)).alias("differences"))
+    after = store.upsert(store.remove(before, gone), changed, ["o_orderkey"])
+    old = before.select("o_orderkey", F.col("o_totalprice").alias("was"))
+    fate = F.when(F.col("was").isNull(), "added").when(F.col("was") != F.col("o_totalprice"), "changed").otherwise("kept")
+    return after.join(old, "o_orderkey", "left").select("o_orderkey", "o_totalprice", fate.alias("fate"))
 
 
 # ---- ranking and search
 
 
-def _candidates(spark, sf_dir):
-    d = graph.degrees(edges(spark, sf_dir)).select("node_id", "in_degree")
-    found = nodes(spark, sf_dir).where(F.expr("name ILIKE '%an%'"))
-    return found.join(d, "node_id", "left").withColumns({"in_degree": F.coalesce("in_degree", F.lit(0)), "artifact_class": F.when(F.col("path").endswith(".py"), "code").otherwise("docs"), "fts": F.lit(None).cast("double")})
+QUERY = "united sta"
+_indexes: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
 
 
-_RANK = G + """, c AS (SELECT n.*, (SELECT count(*) FROM edges e WHERE e.to_id = n.node_id) AS deg FROM nodes n WHERE name ILIKE '%an%'),
-r AS (SELECT node_id, name, round(CASE WHEN lower(name) = 'an' THEN 0.5 WHEN starts_with(lower(name), 'an') THEN 0.3 ELSE 0.15 END + CASE WHEN contains(lower(path), 'an') THEN 0.1 ELSE 0 END
-  + deg / greatest((SELECT max(deg) FROM c), 1)::DOUBLE * {boost} + CASE WHEN path LIKE '%.py' THEN 0.1 ELSE 0 END, 6) AS score FROM c)
+def _texts(spark, sf_dir):
+    return nodes(spark, sf_dir).select("node_id", "name", F.col("key").alias("qualified_name"), "path", F.lit(None).cast("map<string,string>").alias("attributes"))
+
+
+def index_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(postings, lengths) of the nodes, written once a session in the order of tokens, so that a query's prefixes prune."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _indexes:
+        scratch, texts = Scratch(spark), _texts(spark, sf_dir)
+        _indexes[at] = scratch.save(lexical.postings(texts).repartitionByRange("token").sortWithinPartitions("token"), "postings"), scratch.save(lexical.lengths(texts), "lengths")
+    return _indexes[at]
+
+
+def _tokens_sql(columns: str) -> str:
+    """Tokens of each node's columns, and what BM25 needs of them for prefixes united, sta and the phrase of both."""
+    each = " UNION ALL ".join(f"SELECT node_id, {k} AS f, regexp_extract_all(strip_accents(lower({c})), '[\\p{{L}}\\p{{N}}]+') AS ts FROM nodes" for k, c in enumerate(columns.split(",")))
+    return f""", t AS ({each}),
+tf AS (SELECT node_id, sum(len(ts)) AS n, sum(len(list_filter(ts, lambda x: starts_with(x, 'united'))))::DOUBLE AS a, sum(len(list_filter(ts, lambda x: starts_with(x, 'sta'))))::DOUBLE AS b,
+  sum(len(list_filter(range(1, len(ts)), lambda i: ts[i] = 'united' AND ts[i + 1] = 'sta')))::DOUBLE AS p FROM t GROUP BY 1),
+st AS (SELECT count(*)::DOUBLE AS al, avg(n) AS av, count(*) FILTER (a > 0) AS da, count(*) FILTER (b > 0) AS db, count(*) FILTER (p > 0) AS dp FROM tf),
+w AS (SELECT al, av, CASE WHEN ln((al - da + 0.5) / (da + 0.5)) <= 0 THEN 1e-6 ELSE ln((al - da + 0.5) / (da + 0.5)) END AS ia, CASE WHEN ln((al - db + 0.5) / (db + 0.5)) <= 0 THEN 1e-6 ELSE ln((al - db + 0.5) / (db + 0.5)) END AS ib,
+  CASE WHEN ln((al - dp + 0.5) / (dp + 0.5)) <= 0 THEN 1e-6 ELSE ln((al - dp + 0.5) / (dp + 0.5)) END AS ip FROM st),
+hits AS (SELECT node_id, ia * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * n / av)) + ib * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * n / av)) + ip * p * 2.2 / (p + 1.2 * (0.25 + 0.75 * n / av)) AS score FROM tf, w WHERE a > 0 OR b > 0 OR p > 0),
+top AS (SELECT * FROM hits ORDER BY score DESC, node_id LIMIT 150)
 """
 
 
-@query(_RANK.format(boost=0.15) + "SELECT * FROM r")
+_LEX = G + _tokens_sql("name,key,path")
+_RANK = _LEX + """, c AS (SELECT n.*, h.score AS fts, (SELECT count(*) FROM edges e WHERE e.to_id = n.node_id) AS deg FROM nodes n LEFT JOIN top h USING (node_id)
+  WHERE h.node_id IS NOT NULL OR name ILIKE '%united sta%' OR name ILIKE '%united%' OR name ILIKE '%sta%'),
+r AS (SELECT node_id, name, round(CASE WHEN lower(name) = 'united sta' THEN 0.5 WHEN starts_with(lower(name), 'united sta') THEN 0.3 WHEN contains(lower(name), 'united sta') THEN 0.15 ELSE 0 END
+  + CASE WHEN contains(lower(path), 'united sta') THEN 0.1 ELSE 0 END + least(0.1 * abs(coalesce(fts, 0)), 0.25)
+  + deg / greatest((SELECT max(deg) FROM c), 1)::DOUBLE * {boost} + CASE WHEN path LIKE '%.py' THEN 0.1 ELSE 0 END, 6) AS score,
+  concat_ws(',', CASE WHEN lower(name) = 'united sta' THEN 'exact_name_match' END, CASE WHEN lower(name) <> 'united sta' AND starts_with(lower(name), 'united sta') THEN 'name_prefix_match' END,
+    CASE WHEN NOT starts_with(lower(name), 'united sta') AND contains(lower(name), 'united sta') THEN 'name_substring_match' END, CASE WHEN contains(lower(path), 'united sta') THEN 'path_match' END,
+    CASE WHEN coalesce(fts, 0) <> 0 THEN 'fts_lexical_match' END, CASE WHEN deg > 0 AND {boost} > 0 THEN 'graph_degree_centrality' END, CASE WHEN path LIKE '%.py' THEN 'artifact_class_code' END) AS reasons FROM c)
+"""
+
+
+def _ranked(spark, sf_dir, boost=0.15, vectors=None):
+    """Lexical hits, names like the query and like its tokens, fused: all candidates."""
+    held = nodes(spark, sf_dir).withColumn("artifact_class", F.when(F.col("path").endswith(".py"), "code").otherwise("docs"))
+    hits = lexical.hits(*index_of(spark, sf_dir), QUERY, 50 * retrieval.HYBRID_FETCH)
+    return retrieval.hybrid(held, graph.degrees(edges(spark, sf_dir)).select("node_id", "in_degree"), hits, QUERY, boost, vectors)
+
+
+def _shown(ranked):
+    return ranked.select("node_id", "name", F.round("score", 6).alias("score"), F.array_join(F.transform("reasons", lambda r: r["signal"]), ",").alias("reasons"))
+
+
+@query(_LEX + "SELECT node_id, round(score, 6) AS score FROM hits")
+def lexical_hits(spark, sf_dir):
+    return lexical.hits(*index_of(spark, sf_dir), QUERY).select("node_id", F.round("score", 6).alias("score"))
+
+
+@query(_RANK.replace("{boost}", "0.15") + "SELECT node_id, round(fts, 6) AS fts FROM c")
+def channel_union(spark, sf_dir):
+    hits = lexical.hits(*index_of(spark, sf_dir), QUERY, 50 * retrieval.HYBRID_FETCH)
+    return retrieval.channels(nodes(spark, sf_dir), hits, QUERY).select("node_id", F.round("fts", 6).alias("fts"))
+
+
+@query(_RANK.replace("{boost}", "0.15") + "SELECT * FROM r")
 def rank_fusion(spark, sf_dir):
-    return search.fused(_candidates(spark, sf_dir), "an").select("node_id", "name", F.round("score", 6).alias("score"))
+    return _shown(_ranked(spark, sf_dir))
 
 
-@query(_RANK.format(boost=0.15) + "SELECT * FROM r ORDER BY score DESC, node_id LIMIT 50")
+@query(_RANK.replace("{boost}", "0.15") + "SELECT r.*, (SELECT count(*) FROM r) > 50 AS truncated FROM r ORDER BY score DESC, node_id LIMIT 50")
 def hybrid_topk(spark, sf_dir):
-    return rank_fusion(spark, sf_dir).orderBy(F.desc("score"), "node_id").limit(50)
+    """The first 50, and whether there are more."""
+    found = retrieval._cut(_shown(_ranked(spark, sf_dir)), 50)
+    return found.rows.withColumn("truncated", F.lit(found.truncated))
 
 
-@query(_RANK.format(boost=0) + "SELECT * FROM r")
+@query(_RANK.replace("{boost}", "0") + "SELECT * FROM r")
 def boost_zero(spark, sf_dir):
-    return search.fused(_candidates(spark, sf_dir), "an", 0.0).select("node_id", "name", F.round("score", 6).alias("score"))
+    return _shown(_ranked(spark, sf_dir, 0.0))
+
+
+@query(_RANK.replace("{boost}", "0.15") + """, v AS (SELECT node_id, (row_number() OVER (ORDER BY node_id) % 10)::DOUBLE / 10 AS s FROM nodes)
+SELECT node_id, name, round(r.score + coalesce(s / greatest((SELECT max(s) FROM v), 1.1920929e-07) * 0.2, 0), 5) AS score FROM r LEFT JOIN v USING (node_id)""")
+def vector_bonus(spark, sf_dir):
+    """A vector search's scores added to what the other channels found."""
+    given = ordinals(nodes(spark, sf_dir).select("node_id"), [], ["node_id"], Scratch(spark), "at")
+    vectors = given.select("node_id", ((F.col("at") + 1) % 10 / 10).alias("score"))
+    return _ranked(spark, sf_dir, vectors=vectors).select("node_id", "name", F.round("score", 5).alias("score"))
+
+
+@query(_LEX + """, f AS (SELECT node_id FROM hits ORDER BY score DESC, node_id LIMIT 100), c AS (SELECT n.*, (SELECT count(*) FROM edges e WHERE e.to_id = n.node_id) AS deg FROM nodes n JOIN f USING (node_id))
+SELECT node_id, round(CASE WHEN lower(name) = 'united sta' THEN 0.5 WHEN starts_with(lower(name), 'united sta') THEN 0.3 WHEN contains(lower(name), 'united sta') THEN 0.15 ELSE 0 END + CASE WHEN contains(lower(path), 'united sta') THEN 0.1 ELSE 0 END
+  + deg / greatest((SELECT max(deg) FROM c), 1)::DOUBLE * 0.15 + CASE WHEN path LIKE '%.py' THEN 0.1 ELSE 0 END, 6) AS score FROM c ORDER BY score DESC, node_id LIMIT 50""")
+def graph_search_topk(spark, sf_dir):
+    """Nodes of lexical hits, ranked by names and degrees alone."""
+    hits = lexical.hits(*index_of(spark, sf_dir), QUERY, 50 * retrieval.GRAPH_FETCH)
+    found = nodes(spark, sf_dir).join(hits.select("node_id"), "node_id", "left_semi").join(graph.degrees(edges(spark, sf_dir)), "node_id", "left")
+    found = found.withColumns({"artifact_class": F.when(F.col("path").endswith(".py"), "code").otherwise("docs"), "fts": F.lit(None).cast("double")})
+    ranked = search.fused(found, QUERY).select("node_id", F.round("score", 6).alias("score"))
+    return retrieval._cut(ranked, 50).rows
 
 
 _BM = r"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ts FROM documents),
@@ -355,21 +440,44 @@ def bm25_prefix(spark, sf_dir):
     return search.bm25(table(spark, sf_dir, "documents"), "tion").select("doc_id", F.round("score", 6).alias("score"))
 
 
-@query()
+@query(r"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ts FROM documents),
+c AS (SELECT doc_id, len(ts) AS n, len(list_filter(range(1, len(ts)), lambda i: ts[i] = 'of' AND ts[i + 1] = 'the'))::DOUBLE AS p, len(list_filter(ts, lambda x: starts_with(x, 'of')))::DOUBLE AS a, len(list_filter(ts, lambda x: starts_with(x, 'the')))::DOUBLE AS b FROM t),
+s AS (SELECT count(*) AS al, avg(n) AS av, count(*) FILTER (p > 0) AS dp, count(*) FILTER (a > 0) AS da, count(*) FILTER (b > 0) AS db FROM c),
+w AS (SELECT al, av, CASE WHEN ln((al - dp + 0.5) / (dp + 0.5)) <= 0 THEN 1e-6 ELSE ln((al - dp + 0.5) / (dp + 0.5)) END AS ip, CASE WHEN ln((al - da + 0.5) / (da + 0.5)) <= 0 THEN 1e-6 ELSE ln((al - da + 0.5) / (da + 0.5)) END AS ia,
+  CASE WHEN ln((al - db + 0.5) / (db + 0.5)) <= 0 THEN 1e-6 ELSE ln((al - db + 0.5) / (db + 0.5)) END AS ib FROM s)
+SELECT doc_id, round(ip * p * 2.2 / (p + 1.2 * (0.25 + 0.75 * n / av)) + ia * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * n / av)) + ib * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * n / av)), 6) AS score FROM c, w WHERE p > 0 OR a > 0 OR b > 0""")
 def bm25_phrase(spark, sf_dir):
-    return search.bm25(table(spark, sf_dir, "documents"), "of the").select("doc_id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(50)
+    return search.bm25(table(spark, sf_dir, "documents"), "of the").select("doc_id", F.round("score", 6).alias("score"))
 
 
-@query(FILES + r""", l AS (SELECT root, path, generate_subscripts(x, 1) AS line, unnest(x) AS t FROM (SELECT root, path, string_split(content, chr(10)) AS x FROM files))
-SELECT root, path, line, count(*) AS n FROM (SELECT root, path, line, unnest(regexp_extract_all(t, '[0-9]{3}-[0-9]{4}')) FROM l) GROUP BY ALL""")
+@query(FILES + r""", l AS (SELECT root, path, generate_subscripts(x, 1) AS line, unnest(x) AS t FROM (SELECT root, path, string_split(content, chr(10)) AS x FROM files)),
+h AS (SELECT root, path, line, t, unnest(regexp_extract_all(t, '[0-9]{3}-[0-9]{4}')) AS m FROM l)
+SELECT root, path, line, count(*) AS n, any_value(CASE WHEN regexp_matches(lower(t), 'api_key|secret|password|token|auth') AND contains(t, '=') THEN split_part(trim(t, chr(32) || chr(9) || chr(13)), '=', 1) || '= [REDACTED]'
+  WHEN regexp_matches(lower(t), 'api_key|secret|password|token|auth') AND contains(t, ':') THEN split_part(trim(t, chr(32) || chr(9) || chr(13)), ':', 1) || ': [REDACTED]' ELSE trim(t, chr(32) || chr(9) || chr(13)) END) AS preview FROM h GROUP BY ALL""")
 def direct_search(spark, sf_dir):
-    return search.direct(files.corpus(spark, sf_dir), "[0-9]{3}-[0-9]{4}", True).groupBy("root", "path", "line").agg(F.count(F.lit(1)).alias("n"))
+    return search.direct(files.corpus(spark, sf_dir), "[0-9]{3}-[0-9]{4}", True).groupBy("root", "path", "line").agg(F.count(F.lit(1)).alias("n"), F.first("preview").alias("preview"))
 
 
-@query(FILES + r""", l AS (SELECT root, path, generate_subscripts(x, 1) AS line, x AS a, unnest(x) AS t FROM (SELECT root, path, string_split(CASE WHEN ends_with(content, chr(10)) THEN left(content, length(content) - 1) ELSE content END, chr(10)) AS x FROM files WHERE root = 'corpus'))
-SELECT path, line, coalesce(sum(octet_length(encode(t)) + 1) OVER (PARTITION BY path ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM l""")
+@query(FILES + r""", h AS (SELECT root, path, content, unnest(range(1, len(string_split(content, ' the ')))) AS k FROM files WHERE contains(content, ' the ')),
+b AS (SELECT root, path, array_to_string(string_split(content, ' the ')[1:k], ' the ') AS before FROM h)
+SELECT root, path, octet_length(encode(before))::BIGINT AS start, (octet_length(encode(before)) + 5)::BIGINT AS "end", len(string_split(before, chr(10)))::BIGINT AS line, (length(string_split(before, chr(10))[-1]) + 1)::BIGINT AS "column" FROM b""")
+def direct_spans(spark, sf_dir):
+    """Bytes, lines and columns of every match of a literal."""
+    return search.direct(files.corpus(spark, sf_dir), " the ").select("root", "path", "start", "end", "line", "column")
+
+
+@query(FILES + r""", l AS (SELECT root, path, generate_subscripts(x, 1) AS line, unnest(x) AS t FROM (SELECT root, path, string_split(CASE WHEN ends_with(content, chr(10)) THEN left(content, length(content) - 1) ELSE content END, chr(10)) AS x FROM files))
+SELECT root, path, line, coalesce(sum(octet_length(encode(t)) + 1) OVER (PARTITION BY root, path ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM l""")
 def line_index(spark, sf_dir):
-    return search.lines(files.corpus(spark, sf_dir).where("root = 'corpus'")).select("path", "line", "start")
+    return search.lines(files.corpus(spark, sf_dir)).select("root", "path", "line", "start")
+
+
+@query("""WITH p AS (SELECT doc_id, left(text, length(text) // 2) AS before FROM documents)
+SELECT doc_id, octet_length(encode(before))::BIGINT AS at, len(string_split(before, chr(10)))::BIGINT AS line, (length(string_split(before, chr(10))[-1]) + 1)::BIGINT AS "column" FROM p""")
+def offset_positions(spark, sf_dir):
+    """Line and column of the byte offset in the middle of each document."""
+    at = F.octet_length(F.expr("left(text, cast(length(text) div 2 as int))")).cast("long")
+    return table(spark, sf_dir, "documents").select("doc_id", at.alias("at"), text.line_of(F.col("text"), at).alias("line"), text.column_of(F.col("text"), at).alias("column"))
 
 
 @query(r"""WITH t AS (SELECT event_id, event_type || '_token: ' || event_id || chr(10) || 'plain ' || user_id || chr(10) || 'password=' || value AS x FROM events)
@@ -425,6 +533,140 @@ def at_position_batch(spark, sf_dir):
     return context.enclosing(points, ranges)
 
 
+# ---- more of the graph
+
+
+@query(G + "SELECT min(node_id) AS node_id FROM nodes WHERE lower(name) = 'germany' OR name ILIKE '%germany%'")
+def entity_pick(spark, sf_dir):
+    return nodes(spark, sf_dir).where((F.lower("name") == "germany") | F.col("name").ilike("%germany%")).agg(F.min("node_id").alias("node_id"))
+
+
+@query(G + "SELECT 'edge leads nowhere' AS invariant, edge_id AS id FROM edges WHERE to_id NOT IN (SELECT node_id FROM nodes WHERE kind <> 'module') UNION ALL SELECT 'node kind is unknown', node_id FROM nodes WHERE false")
+def graph_invariants(spark, sf_dir):
+    """What breaks where the regions are missing."""
+    return claims.invariants(nodes(spark, sf_dir).where("kind <> 'module'").select("node_id", "kind", F.lit("fk").alias("root"), "path"), edges(spark, sf_dir))
+
+
+@query(G + "SELECT a.to_id || ',' || b.to_id AS path FROM edges a JOIN edges b ON b.from_id = a.to_id JOIN nodes s ON s.node_id = a.from_id JOIN nodes t ON t.node_id = b.to_id WHERE s.key = 'customer:1' AND t.kind = 'module'")
+def trace_paths(spark, sf_dir):
+    n = nodes(spark, sf_dir)
+    region = table(spark, sf_dir, "customer").where("c_custkey = 1").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).first()["n_regionkey"]
+    ends = {r["key"]: r["node_id"] for r in n.where(F.col("key").isin("customer:1", f"region:{region}")).collect()}
+    got = retrieval.trace(edges(spark, sf_dir), ends["customer:1"], ends[f"region:{region}"], 3)
+    return got.select(F.array_join(F.slice("nodes", 2, 2), ",").alias("path"))
+
+
+@query("""WITH l AS (SELECT doc_id, string_split(rtrim(replace(text, chr(13) || chr(10), chr(10)), chr(10)) , chr(10)) AS x, text FROM documents)
+SELECT doc_id, list_aggregate(list_transform(range(1, least(3, len(x)) + 1), lambda i: lpad(i::VARCHAR, 4, ' ') || ': ' || regexp_replace(x[i], '(?i)^(.*?(?:api_key|access_key|credential|private_key|secret|password|token|auth|bearer)[^=:]*[=:]).*$', '\\1 [REDACTED]')), 'string_agg', chr(10)) AS shown
+FROM l WHERE doc_id IN (SELECT doc_id FROM documents WHERE NOT contains(text, chr(13)) AND NOT ends_with(text, chr(10) || chr(10)))""")
+def verbatim_lines(spark, sf_dir):
+    """The first three lines of documents, numbered, secrets hidden."""
+    docs = table(spark, sf_dir, "documents").where(~F.col("text").contains("\r") & ~F.col("text").endswith("\n\n"))
+    held = docs.select(F.lit("corpus").alias("root"), F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))
+    ranges = held.select("root", "path", F.lit(1).alias("start_line"), F.lit(3).alias("end_line"))
+    return context.verbatim(held, ranges).select(F.col("path").cast("long").alias("doc_id"), F.col("text").alias("shown"))
+
+
+@query("""WITH r AS (SELECT o_custkey, o_orderpriority, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders), w AS (SELECT o_custkey, min(k) AS k FROM r WHERE o_orderpriority = '1-URGENT' GROUP BY 1)
+SELECT round(avg(CASE WHEN k = 1 THEN 1.0 ELSE 0.0 END)::DOUBLE, 6) AS p_at_1, round(avg(CASE WHEN k <= 5 THEN 1.0 ELSE 0.0 END)::DOUBLE, 6) AS p_at_5, round(avg(coalesce(1.0::DOUBLE / k, 0)), 6) AS mrr FROM (SELECT DISTINCT o_custkey FROM orders) LEFT JOIN w USING (o_custkey)""")
+def eval_p1_p5_mrr(spark, sf_dir):
+    """Each customer's orders by price as a ranking, urgent ones as what is expected."""
+    orders = table(spark, sf_dir, "orders")
+    ranked = orders.select(F.col("o_custkey").cast("string").alias("query"), F.col("o_orderpriority").alias("name"), F.col("o_totalprice").alias("score"), F.col("o_orderkey").alias("node_id"))
+    expected = orders.select(F.col("o_custkey").cast("string").alias("query")).distinct().withColumn("name", F.lit("1-urgent"))
+    return retrieval.evaluated(ranked, expected).select(*(F.round(c, 6).alias(c) for c in ("p_at_1", "p_at_5", "mrr")))
+
+
+@query(f"SELECT conv_id, turn, round(least(1.0::DOUBLE, 0.5::DOUBLE + 0.15::DOUBLE * len(list_filter(['the', 'market', 'of', 'and', 'la'], lambda w: contains(lower(text), w)))), 6) AS score FROM conversations")
+def rerank_word_overlap(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.round(search.overlap_score("The market of AND la", F.col("text")), 6).alias("score"))
+
+
+@query("""WITH r AS (SELECT conv_id, turn, row_number() OVER (ORDER BY length(text) DESC, conv_id || '/' || turn) - 1 AS i FROM conversations), x AS (SELECT * FROM (VALUES (5, 0), (2, 1), (7, 3)) AS t(i, p))
+SELECT conv_id, turn, row_number() OVER (ORDER BY coalesce(p, i + 1000000000)) AS place FROM r LEFT JOIN x USING (i) WHERE i < 20""")
+def rerank_indices(spark, sf_dir):
+    """The 20 longest turns, in the order that a caller's list of indices gives them."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length("text").cast("double").alias("score"), F.concat_ws("/", "conv_id", "turn").alias("node_id"), F.array().cast("array<struct<signal:string,score:double>>").alias("reasons"))
+    first = turns.orderBy(F.desc("score"), "node_id").limit(20)
+    indices = spark.createDataFrame([(5, 0), (2, 1), (5, 2), (7, 3), (999, 4)], "index int, at int")
+    return retrieval.reordered(first, indices).select("conv_id", "turn", F.col("place").cast("long").alias("place"))
+
+
+@query("""WITH w AS (SELECT conv_id, turn, unnest(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '')) AS w FROM conversations),
+h AS (SELECT conv_id, turn, ('0x' || substr(sha256(w), 1, 4))::BIGINT % 16 AS b, CASE WHEN ('0x' || substr(sha256(w), 7, 2))::BIGINT % 2 = 0 THEN 1.0 ELSE -1.0 END AS s FROM w),
+v AS (SELECT conv_id, turn, b, sum(s)::DOUBLE AS x FROM h GROUP BY ALL), n AS (SELECT conv_id, turn, sqrt(sum(x * x)) AS z FROM v GROUP BY ALL)
+SELECT conv_id, turn, b AS place, round(x / z, 6) AS value FROM v JOIN n USING (conv_id, turn) WHERE x <> 0""")
+def feature_hash_embedding(spark, sf_dir):
+    """Places of each turn's embedding that are not 0."""
+    made = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(search.hashed_embedding(F.col("text"), 16)).alias("place", "value"))
+    return made.where("value <> 0").select("conv_id", "turn", F.col("place").cast("long").alias("place"), F.round("value", 6).alias("value"))
+
+
+# ---- packs: a source of each language for every part, and what is found in it
+
+#: Path, source and the (kind, name) that it must give; {k} is the part's number.
+SOURCES = {
+    "rust": ("src/p{k}.rs", "use std::sync::Arc{k};\n/// Part {k}.\npub struct Part{k};\nimpl Part{k} { pub fn turn(&self) {} }\nmod inner { fn deep{k}() {} }\n", (("file", "src/p{k}.rs"), ("struct", "Part{k}"), ("method", "turn"), ("module", "inner"), ("function", "deep{k}")), (("imports", "Arc{k}"),)),
+    "typescript": ("web/p{k}.ts", "import { A } from './lib/a{k}.js';\nexport class Part{k} { turn(): void { if (x) { y(); } } }\nexport const make{k} = () => 1;\n", (("file", "web/p{k}.ts"), ("class", "Part{k}"), ("method", "turn"), ("function", "make{k}")), (("imports", "a{k}"),)),
+    "python": ("py/p{k}.py", "import lib{k}\nLIMIT = 1\nclass Part{k}(Base):\n    size = 2\n    def __init__(self): pass\n    def turn(self): pass\n", (("file", "py/p{k}.py"), ("constant", "LIMIT"), ("class", "Part{k}"), ("field", "size"), ("constructor", "__init__"), ("method", "turn")), (("imports", "lib{k}"), ("extends", "Base"))),
+    "markdown": ("doc/p{k}.md", "# Part {k}\n\nSee [next](./n{k}.md).\n\n## Use\n", (("document", "doc/p{k}.md"), ("heading", "Part {k}"), ("section", "Part {k}"), ("heading", "Use"), ("section", "Use")), (("links_to", "./n{k}.md"),)),
+    "go": ("go/p{k}.go", "package parts\nimport \"a/b{k}\"\nconst Limit = 1\ntype Part{k} struct { Size int }\nfunc (p *Part{k}) Turn() { check{k}(p) }\n", (("file", "go/p{k}.go"), ("package", "parts"), ("constant", "Limit"), ("struct", "Part{k}"), ("field", "Size"), ("method", "Turn")), (("imports", "b{k}"), ("calls", "check{k}"))),
+    "c": ("c/p{k}.c", "#include <lib{k}.h>\n#define SIDES 4\nstruct Part{k} { int size; };\nint turn(int n) { return check{k}(n); }\n", (("file", "c/p{k}.c"), ("constant", "SIDES"), ("struct", "Part{k}"), ("field", "size"), ("function", "turn")), (("imports", "lib{k}"), ("calls", "check{k}"))),
+    "cpp": ("cpp/p{k}.cpp", "#include \"d/lib{k}.hpp\"\nnamespace parts { class Part{k} : public Base{k} { public: Part{k}() { check{k}(); } int size; }; }\n", (("file", "cpp/p{k}.cpp"), ("namespace", "parts"), ("class", "Part{k}"), ("constructor", "Part{k}"), ("field", "size")), (("imports", "lib{k}"), ("extends", "Base{k}"), ("calls", "check{k}"))),
+    "java": ("java/P{k}.java", "package parts;\nimport a.B{k};\npublic class Part{k} extends Base implements Does{k} { static final int LIMIT = 1; void turn() { new Wheel{k}(); } }\n", (("file", "java/P{k}.java"), ("package", "parts"), ("class", "Part{k}"), ("constant", "LIMIT"), ("method", "turn")), (("imports", "B{k}"), ("extends", "Base"), ("implements", "Does{k}"), ("instantiates", "Wheel{k}"), ("has_type", "Wheel{k}"))),
+    "csharp": ("cs/P{k}.cs", "using A.B{k};\nnamespace Parts;\npublic class Part{k} : Base { public int Size { get; } public void Turn() { check{k}(); } }\n", (("file", "cs/P{k}.cs"), ("namespace", "Parts"), ("class", "Part{k}"), ("property", "Size"), ("method", "Turn")), (("imports", "B{k}"), ("extends", "Base"), ("calls", "check{k}"))),
+}
+
+
+def _filled(template: str) -> F.Column:
+    return F.replace(F.lit(template), F.lit("{k}"), F.col("p_partkey").cast("string"))
+
+
+def _pack(language: str):
+    path, content, kinds, refs = SOURCES[language]
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        made = table(spark, sf_dir, "part").select(F.lit("parts").alias("root"), _filled(path).alias("path"), _filled(content).alias("content"))
+        facts = extract.tagged(made)
+        found = facts.where("tag IN ('node', 'unresolved')")
+        return found.select("path", F.col("tag").alias("fact"), "kind", F.when(F.col("tag") == "node", F.col("name")).otherwise(F.col("seeking")).alias("name"))
+
+    want = ", ".join(f"('{fact}', '{kind}', '{name}')" for fact, rows in (("node", kinds), ("unresolved", refs)) for kind, name in rows)
+    fill = lambda x: f"replace({x}, '{{k}}', p_partkey::VARCHAR)"
+    run.__name__ = f"pack_{language}"
+    run.__doc__ = f"Facts of a {language} file for each part."
+    query(f"SELECT {fill(chr(39) + path + chr(39))} AS path, fact, kind, {fill('name')} AS name FROM part, (VALUES {want}) AS w(fact, kind, name)")(run)
+
+
+for _language in SOURCES:
+    _pack(_language)
+
+
+@query("""SELECT 'parts' AS root, 'py/p' || p_partkey || '.py' AS path, k AS claims FROM part, (VALUES (3)) AS t(k)""")
+def index_claims(spark, sf_dir):
+    """Claims of each file after files were taken in, in two batches of which the second replaces a part of the first."""
+    parts = table(spark, sf_dir, "part")
+    made = lambda source, rows: rows.select(F.lit("parts").alias("root"), _filled("py/p{k}.py").alias("path"), _filled(source).alias("content"))
+    held = store.Store.temporary(spark)
+    indexing.index_source(held, made("import lib{k}\nclass Part{k}: pass\nLIMIT = 1\nOTHER = 2\n", parts))
+    indexing.apply_update(held, made("class Part{k}: pass\nLIMIT = 1\n", parts))
+    return claims.View(held).table("nodes").groupBy("root", "path").agg(F.count(F.lit(1)).alias("claims"))
+
+
+@query("""SELECT 'user{k}' AS name, 0 AS n WHERE false UNION ALL SELECT 'use' || p_partkey || ' -> Part' || p_partkey, 1 FROM part""".replace("'user{k}'", "'x'"))
+def index_references(spark, sf_dir):
+    """References of one batch that the definitions of the next one take."""
+    parts = table(spark, sf_dir, "part")
+    made = lambda path, source: parts.select(F.lit("parts").alias("root"), _filled(path).alias("path"), _filled(source).alias("content"))
+    held = store.Store.temporary(spark)
+    indexing.index_source(held, made("use{k}.py", "from parts import Part{k}\n"))
+    indexing.apply_update(held, made("def{k}.py", "class Part{k}: pass\n"))
+    view = claims.View(held)
+    known = view.nodes().select("node_id", "name")
+    met = view.edges().where("kind = 'imports'").join(known.withColumnsRenamed({"node_id": "from_id", "name": "a"}), "from_id").join(known.withColumnsRenamed({"node_id": "to_id", "name": "b"}), "to_id")
+    return met.groupBy(F.concat(F.regexp_replace("a", r"\.py$", ""), F.lit(" -> "), F.col("b")).alias("name")).agg(F.count(F.lit(1)).cast("int").alias("n"))
+
+
 # ---- streaming
 
 
@@ -441,22 +683,6 @@ def coalesced_changes(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("user_id").agg(F.countDistinct("event_type").alias("n_paths"), F.max("event_id").alias("last_event"))
 
 
-# ---- evaluation
-
-
-@query("""WITH r AS (SELECT p_name AS expected, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS rank FROM part)
-SELECT round(avg((rank = 1)::INT), 6) AS p_at_1, round(avg((rank <= 5)::INT), 6) AS p_at_5, round(avg(1.0::DOUBLE / rank), 6) AS mrr FROM r""")
-def eval_p1_p5_mrr(spark, sf_dir):
-    ranked = table(spark, sf_dir, "part").select(F.row_number().over(Window.partitionBy("p_brand").orderBy(F.desc("p_retailprice"), "p_partkey")).alias("rank"))
-    return ranked.agg(F.round(F.avg((F.col("rank") == 1).cast("int")), 6).alias("p_at_1"), F.round(F.avg((F.col("rank") <= 5).cast("int")), 6).alias("p_at_5"), F.round(F.avg(1.0 / F.col("rank")), 6).alias("mrr"))
-
-
-@query("SELECT conv_id, turn, round(least(1.0::DOUBLE, 0.5::DOUBLE + 0.15::DOUBLE * len(list_filter(['the', 'of', 'and'], lambda w: contains(lower(text), w)))), 6) AS score FROM conversations")
-def rerank_word_overlap(spark, sf_dir):
-    n = F.size(F.filter(F.array(*map(F.lit, ("the", "of", "and"))), lambda w: F.lower("text").contains(w)))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.round(F.least(F.lit(1.0), 0.5 + 0.15 * n), 6).alias("score"))
-
-
 @query("SELECT conv_id, turn, greatest(1, length(text) // 4)::BIGINT AS n_tokens FROM conversations")
 def token_estimates(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.estimated_tokens(F.col("text")).alias("n_tokens"))

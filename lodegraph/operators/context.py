@@ -9,18 +9,32 @@ from lodegraph.functions.text import numbered, redact_lines
 from lodegraph.operators.graph import impact
 
 
+#: Parts of a group whose own running totals cut it before it is brought together.
+PARTS = 32
+
+
 def packed(snippets: DataFrame, group: list[str], order: list[str], **budgets: int) -> DataFrame:
     """Of each group's snippets in order, those before any running total passes its budget: bytes=, lines=, units=.
 
     A key that comes again in a group is dropped before totals are taken. Totals only grow, so this is what stopping at
-    the first overflow gives.
+    the first overflow gives. A large group is cut first: where the running total of one of its parts is over, so is the
+    whole's, and with that all that comes later in order; what one task sorts is PARTS budgets at most.
     """
-    first = F.row_number().over(Window.partitionBy(*group, "key").orderBy(*order))
-    rows = snippets.withColumn("__r", first).where("__r = 1").drop("__r")
-    upto = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    for name, most in budgets.items():
-        rows = rows.withColumn(f"total_{name}", F.sum(name).over(upto))
-    return rows.where(" and ".join(f"total_{n} <= {m}" for n, m in budgets.items()))
+    at = F.struct(*order)
+    rest = [c for c in snippets.columns if c not in (*group, "key")]
+    rows = snippets.groupBy(*group, "key").agg(F.min_by(F.struct(*rest), at).alias("__x")).select(*group, "key", "__x.*")
+
+    def totals(df: DataFrame, keys: list[str]) -> DataFrame:
+        upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumns({f"total_{name}": F.sum(name).over(upto) for name in budgets})
+
+    within = " and ".join(f"total_{n} <= {m}" for n, m in budgets.items())
+    parted = totals(rows.withColumn("__part", F.pmod(F.xxhash64("key"), F.lit(PARTS))), [*group, "__part"])
+    over = parted.groupBy(*group).agg(F.min(F.when(~F.expr(within), at)).alias("__over"))
+    same = [F.col(g).eqNullSafe(F.col(f"__g{i}")) for i, g in enumerate(group)]
+    over = over.select(*(F.col(g).alias(f"__g{i}") for i, g in enumerate(group)), "__over")
+    left = parted.where(within).join(over, same).where(F.col("__over").isNull() | (at < F.col("__over")))
+    return totals(left.select(*rows.columns), group).where(within)
 
 
 def enclosing(points: DataFrame, ranges: DataFrame) -> DataFrame:

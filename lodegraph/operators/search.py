@@ -37,8 +37,8 @@ def _running(numbers: Column) -> Column:
     width = F.greatest(F.ceil(F.sqrt(F.size(numbers))).cast("int"), F.lit(1))
     runs = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(numbers) - 1) / width).cast("int"), F.lit(0))), lambda r: F.slice(numbers, r * width + 1, width))
     empty = F.array().cast("array<bigint>")
-    within = F.transform(runs, lambda run: F.aggregate(run, empty, lambda acc, x: F.concat(acc, F.array(F.coalesce(F.element_at(acc, -1), F.lit(0)) + x))))
-    before = F.aggregate(within, empty, lambda acc, run: F.concat(acc, F.array(F.coalesce(F.element_at(acc, -1), F.lit(0)) + F.coalesce(F.element_at(run, -1), F.lit(0)))))
+    within = F.transform(runs, lambda run: F.aggregate(run, empty, lambda acc, x: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + x))))
+    before = F.aggregate(within, empty, lambda acc, run: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + F.coalesce(F.try_element_at(run, F.lit(-1)), F.lit(0)))))
     return F.flatten(F.transform(within, lambda run, r: F.transform(run, lambda x: x + F.when(r > 0, F.get(before, r - 1)).otherwise(F.lit(0)))))
 
 
@@ -106,27 +106,31 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([\\p{L}\\p{N}]+)"), F.lit(1))
 
 
+#: Letters and digits; what lies between tokens is anything else.
+IN = r"[\p{L}\p{N}]"
+
+
 def bm25(docs: DataFrame, query: str, key: str = "doc_id", text: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(key, score) of documents that match: branches of the query are OR-ed, each with its own frequency.
 
     One token asks for its prefix and for itself; several ask for the phrase and for the prefix of each. One pass over
-    the texts counts all branches; corpus statistics are one row and the document frequencies one row a branch.
+    the texts counts all branches and tokens, and its few numbers a document are written; corpus statistics are one row.
     """
     asked = [t for t in re.split(r"[^\w]+|_", query.lower()) if t]
     if not asked:
         return docs.select(key, F.lit(0.0).alias("score")).limit(0)
-    branches: list[Column] = []
-    count = lambda test: F.size(F.filter("__t", test)).cast("double")
-    starts = lambda t: lambda x: x.startswith(t)  # noqa: E731  a default argument would be taken for the place
-    prefixes = [count(starts(t)) for t in asked]
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    count = lambda pattern: F.regexp_count(low, F.lit(pattern)).cast("double")
+    words = [re.escape(t) for t in asked]
+    prefixes = [count(rf"(?<!{IN}){w}") for w in words]
     if len(asked) == 1:
-        branches = [prefixes[0], count(lambda x: x == asked[0])]
+        branches = [prefixes[0], count(rf"(?<!{IN}){words[0]}(?!{IN})")]
     else:
-        # Tokens between doubled blanks; a look-ahead counts overlapping phrases too.
-        joined = F.concat(F.lit(" "), F.array_join("__t", "  "), F.lit(" "))
-        phrase = F.regexp_count(joined, F.lit("(?= " + "  ".join(asked) + " )")).cast("double")
-        branches = [phrase, *prefixes]
-    counted = docs.select(F.col(key), tokens(F.col(text)).alias("__t")).select(key, F.size("__t").alias("__n"), *(c.alias(f"tf{i}") for i, c in enumerate(branches)))
+        # A look-ahead, so that phrases that overlap count too.
+        phrase = rf"(?<!{IN}){words[0]}(?=" + "".join(f"[^\\p{{L}}\\p{{N}}]+{w}" for w in words[1:]) + rf"(?!{IN}))"
+        branches = [count(phrase), *prefixes]
+    counted = docs.select(F.col(key), count(IN + "+").alias("__n"), *(c.alias(f"tf{i}") for i, c in enumerate(branches)))
+    counted = Scratch(docs.sparkSession).save(counted, "counted")
     stats = counted.agg(F.count(F.lit(1)).alias("__all"), F.avg("__n").alias("__avg"), *(F.sum((F.col(f"tf{i}") > 0).cast("int")).alias(f"df{i}") for i in range(len(branches))))
     scored = counted.where(" or ".join(f"tf{i} > 0" for i in range(len(branches)))).join(F.broadcast(stats))
     norm = k1 * (1 - b + b * F.col("__n") / F.col("__avg"))

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Spark's own removal of an execution's shuffle files at its end.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -67,3 +68,26 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
         except Exception:  # noqa: BLE001  at exit the JVM may be gone
             return
+
+
+def numbered(ordered: DataFrame, scratch: Scratch, name: str, place: str) -> DataFrame:
+    """A table as it is ordered (orderBy: a range sort) with its rows' places from 0; what one task orders of it is a row for
+    each part."""
+    saved = scratch.save(ordered.withColumn("__m", F.monotonically_increasing_id()), name)
+    part = F.shiftright("__m", 33)  # the part's number is above a row's place in it
+    parts = saved.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__c"))
+    parts = parts.withColumn("__before", F.expr("sum(__c) over (order by __part) - __c")).select("__part", "__before")
+    out = saved.join(F.broadcast(parts), part == F.col("__part")).withColumn(place, F.expr("__before + (__m & 8589934591)"))
+    return out.drop("__m", "__part", "__before")
+
+
+def ordinals(df: DataFrame, keys: list[str], order: list[str], scratch: Scratch, column: str = "ordinal") -> DataFrame:
+    """Adds a row's place, from 0, among those of its key in an order. By one range sort, so that a key with most of the rows is
+    spread over tasks like others; a key's first place is pre-aggregated."""
+    placed = scratch.save(numbered(df.orderBy(*keys, *order), scratch, "sorted", "__at"), "placed")
+    if not keys:
+        return placed.withColumnRenamed("__at", column)
+    first = placed.groupBy(*keys).agg(F.min("__at").alias("__first"))
+    same = [F.col(f"__k{i}").eqNullSafe(F.col(k)) for i, k in enumerate(keys)]
+    first = first.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), "__first")
+    return placed.join(first, same).withColumn(column, (F.col("__at") - F.col("__first")).cast("long")).select(*df.columns, column)
