@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegraph.scratch import Scratch, shared_folder  # noqa: F401  (re-exported to the operators)
+from lodegraph.scratch import Scratch, numbered, shared_folder  # noqa: F401  (re-exported to the operators)
 from lodegraph.shipping import ship
 
 #: ASCII white space; a word is a longest run of other characters.
@@ -91,14 +91,3 @@ def marked(hash_: Column, field: np.ndarray, spark: SparkSession) -> Column:
 
     test.__annotations__ = {"column": pa.Array, "return": pa.Array}
     return F.arrow_udf(test, "boolean")(hash_)
-
-
-def numbered(ordered: DataFrame, scratch: Scratch, name: str, place: str) -> DataFrame:
-    """A table as it is ordered (orderBy: a range sort) with its rows' places from 0; what one task orders of it is a row for
-    each part."""
-    saved = scratch.save(ordered.withColumn("__m", F.monotonically_increasing_id()), name)
-    part = F.shiftright("__m", 33)
-    parts = saved.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__c"))
-    parts = parts.withColumn("__before", F.expr("sum(__c) over (order by __part) - __c")).select("__part", "__before")
-    out = saved.join(F.broadcast(parts), part == F.col("__part")).withColumn(place, F.expr("__before + (__m & 8589934591)"))
-    return out.drop("__m", "__part", "__before")
