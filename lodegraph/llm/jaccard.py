@@ -96,18 +96,18 @@ def _low(i: int, num: int, den: int) -> int:
 
 
 @lru_cache(maxsize=4096)
-def _blocks(i: int, num: int, den: int) -> tuple[int, int]:
-    """(E, blocks) of band i: the least E that lets nearly all sets of the band leave out their blocks of fewer than two
-    tokens, or, where sets are too small for that, their empty ones."""
+def _blocks(i: int, num: int, den: int) -> tuple[int, int, int]:
+    """(E, blocks, t) of band i: the least E that lets nearly all sets of the band leave out their blocks of fewer than t
+    tokens, t being two, or, where sets are too small for that, one: their empty blocks."""
     low, top = _low(i, num, den), _low(i + 1, num, den) - 1
     d = (den - num) * (top + top * den // num) // (den + num)
-    for fewest in (2, 1):
+    for t in (2, 1):
         for e in range(d + 3):
             mean = low / (d + 1 + e)
-            weak = (d + 1 + e) * math.exp(-mean) * (1 + mean if fewest == 2 else 1)
+            weak = (d + 1 + e) * math.exp(-mean) * (1 + mean if t == 2 else 1)
             if weak + 2 * math.sqrt(weak) <= e:
-                return e, d + 1 + e
-    return d + 2, 2 * d + 3
+                return e, d + 1 + e, t
+    return d + 2, 2 * d + 3, 1
 
 
 def _band(n: int, num: int, den: int) -> int:
@@ -121,16 +121,18 @@ def block_keys(tokens: np.ndarray, num: int, den: int) -> list[tuple[int, np.nda
     """(need, keys) for the set's band and, if it may be the larger of a pair there, the band below: whatever the set
     links to in that band has at least `need` of the keys.
 
-    The set leaves out its blocks of fewer than t tokens, t being the greatest by which these are no more than E. Of the
-    1 + E blocks that a link has equal, each side leaves out no more than those under the greater t of the two, which
-    are E at most; so one at least is emitted by both."""
+    Of the 1 + E blocks at least that linked sets have equal, a set leaves out those of fewer than t tokens, t being the
+    band's, if it has no more than E such; these are in both sets or in none, so all but as many of the equal ones are
+    left. A set with more of them takes a smaller t, or all blocks, and emits what the other one emits and more; as that
+    is all it knows of the other one, it needs one key.
+    """
     n = len(tokens)
     if not n:
         return []
     own = _band(n, num, den)
     out = []
     for i in [own, *([own - 1] if own and n * num <= (_low(own, num, den) - 1) * den else [])]:
-        spare, blocks = _blocks(i, num, den)
+        spare, blocks, most = _blocks(i, num, den)
         with np.errstate(over="ignore"):
             block = ((tokens >> _32) * np.uint64(blocks)) >> _32  # in order, as the tokens are
             toggled = mixed(tokens + _M1)  # the place in the block's sketch, as a word to XOR
@@ -138,16 +140,17 @@ def block_keys(tokens: np.ndarray, num: int, den: int) -> list[tuple[int, np.nda
             content, which = np.bitwise_xor.reduceat(toggled, first), block[first]
             filled = np.diff(np.concatenate([first, [n]]))
             empty = blocks - len(which)
+            need = 1
             if empty > spare:  # all blocks, the empty ones too
                 gone = np.setdiff1d(np.arange(blocks, dtype=np.uint64), which)
-                content, which, weak = np.concatenate([content, np.zeros(len(gone), np.uint64)]), np.concatenate([which, gone]), spare
+                content, which = np.concatenate([content, np.zeros(len(gone), np.uint64)]), np.concatenate([which, gone])
             else:
-                under = np.cumsum(np.concatenate([[empty], np.bincount(filled)[1:]]))  # under[t - 1]: blocks of fewer than t
-                t = int(np.searchsorted(under, spare, side="right"))
-                strong = filled >= t
-                content, which, weak = content[strong], which[strong], int(under[t - 1])
+                weak = empty + int((filled < most).sum())
+                if weak <= spare:
+                    strong = filled >= most
+                    content, which, need = content[strong], which[strong], 1 + spare - weak
             keys = mixed(content ^ mixed((np.uint64(i + 1) << _32) + which))
-            out.append((1 + spare - weak, keys.view(np.int64)))
+            out.append((need, keys.view(np.int64)))
     return out
 
 
