@@ -26,10 +26,10 @@ from pyspark.sql import DataFrame
 
 from lodegraph.llm.common import by_bytes, map_batches
 
-BATCH_BYTES = 2 << 20
-REMEMBERED, SHORT = 1_500_000, 200
+BATCH_BYTES = 1 << 20
+REMEMBERED, SHORT = 400_000, 200
 #: Rows of token positions that one recursive query starts with.
-QUERY_ROWS = 1_500_000
+QUERY_ROWS = 300_000
 _coders: dict[tuple[str, str], Coder] = {}
 
 #: One contraction a step: the least of (rank, place) needs no order but the neighbours'.
@@ -72,7 +72,7 @@ class Coder:
         cuts = [(self.ranks[t[:k]], self.ranks[t[k:]], n) for t, n in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
         self.merges = {(a, b): n for a, b, n in cuts}
         left, right, made = (pa.array(c, pa.int32()) for c in zip(*cuts, strict=True))
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "preserve_insertion_order": "false", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "preserve_insertion_order": "false", "temp_directory": ""})
         given = pa.table({"l": left, "r": right, "merged": made})
         words = pa.table({"id": pa.array(list(self.ranks.values()), pa.int32()), "hex": pa.array([t.hex() for t in self.ranks])})
         self.db.register("given", given)
