@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -91,3 +91,10 @@ def marked(hash_: Column, field: np.ndarray, spark: SparkSession) -> Column:
 
     test.__annotations__ = {"column": pa.Array, "return": pa.Array}
     return F.arrow_udf(test, "boolean")(hash_)
+
+
+def set_aside(df: DataFrame, names: Iterable[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """The table with those of its columns renamed that an operator's own would clash with, and what renames them back."""
+    taken = {n.lower() for n in names}
+    own = {c: f"__aside{k}" for k, c in enumerate(df.columns) if c.lower() in taken}
+    return df.withColumnsRenamed(own), lambda out: out.withColumnsRenamed({v: k for k, v in own.items()})

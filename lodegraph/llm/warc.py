@@ -12,8 +12,9 @@ pre-aggregated group and a join that adaptive execution can split, so no group o
 The reader finds frames by their block headers, decodes each by itself, and checks the version line, the mandatory
 headers, Content-Length against the block, the record's end, and digests; a record that fails has `error` set and its
 neighbours are read all the same. Null payload counts as empty; null url has no WARC-Target-URI; rows of null id are
-written as responses with null id. Repeated rows are written each; of rows with equal id and payload, all are alike
-and none revisits itself: they are responses.
+written as responses with null id. Repeated rows are written each, under record ids of their own; of rows with equal id and
+payload, all are alike and none revisits itself: they are responses. Payloads of any length are one record; a table without
+rows gives no archives. Of further columns none is read, so their names don't matter.
 """
 
 from __future__ import annotations
@@ -23,10 +24,11 @@ import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodegraph.llm.common import map_batches
+from lodegraph.llm.common import Scratch, bit_field, map_batches, marked
 
 SKIPPABLE, FRAME = 0x184D2A5D, 0xFD2FB528
 ARCHIVE_BYTES, DICTIONARY_SAMPLE, DICTIONARY_BYTES = 4 << 20, 1 << 20, 16 << 10
@@ -35,11 +37,11 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = "record_id string, record_type string, target_uri string, refers_to string, payload_bytes long, payload_digest string, payload binary, error string, archive string, number long"
 
 
-def record(page: object, url: str | None, payload: bytes, digest: str, size: int, refers_to: object) -> bytes:
-    """The bytes of one WARC/1.1 record."""
+def record(page: object, url: str | None, payload: bytes, digest: str, size: int, refers_to: object, number: str = "0") -> bytes:
+    """The bytes of one WARC/1.1 record. `number` tells the records of one page apart."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
-    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'' if page is None else page}>", "WARC-Date: 2024-01-01T00:00:00Z"]
+    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'' if page is None else page}?{number}>", "WARC-Date: 2024-01-01T00:00:00Z"]
     if url is not None:
         lines.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
     if refers_to is not None:
@@ -115,7 +117,7 @@ def parse(data: bytes) -> dict:
     lines = head.decode("utf-8", "replace").split("\r\n")
     fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
     named = lambda k: fields[k][10:-1] if fields.get(k, "").startswith("<urn:page:") else None
-    out |= {"record_id": named("warc-record-id"), "record_type": fields.get("warc-type"), "target_uri": fields.get("warc-target-uri"), "refers_to": named("warc-refers-to")}
+    out |= {"record_id": (named("warc-record-id") or "").rpartition("?")[0] if named("warc-record-id") is not None else None, "record_type": fields.get("warc-type"), "target_uri": fields.get("warc-target-uri"), "refers_to": named("warc-refers-to")}
     missing = [k for k in ("warc-type", "warc-record-id", "warc-date", "content-length") if k not in fields]
     if not mark or lines[0] not in ("WARC/1.0", "WARC/1.1"):
         return out | {"error": "no WARC version line"}
@@ -167,20 +169,29 @@ def records(content: bytes) -> Iterator[dict]:
 
 
 def with_revisits(df: DataFrame, page: str = "page_id", payload: str = "html") -> DataFrame:
-    """Adds __payload (binary), __bytes, __digest and __refers (the smallest id of the digest, for revisits)."""
+    """Adds __payload (binary), __bytes, __digest and __refers (the smallest id of the digest, for revisits).
+
+    Digests that come again are found from digests and ids alone; only rows that may have one of these meet their least id,
+    all others pass with their payloads where they lie.
+    """
+    scratch = Scratch(df.sparkSession)
     rows = df.withColumn("__payload", F.encode(F.coalesce(F.col(payload), F.lit("")), "UTF-8"))
     rows = rows.withColumn("__bytes", F.octet_length("__payload").cast("long")).withColumn("__digest", F.sha2("__payload", 256))
     least = rows.where(F.col("__bytes") >= REVISIT_LEAST).groupBy(F.col("__digest").alias("__d")).agg(F.min(page).alias("__least"), F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
-    joined = rows.join(least, F.col("__digest") == F.col("__d"), "left").drop("__d")
-    return joined.withColumn("__refers", F.when(F.col("__least") < F.col(page), F.col("__least"))).drop("__least")
+    least = scratch.save(least, "least")
+    field = bit_field(least.select(F.xxhash64("__d")), scratch, "field", 24)
+    may = (F.col("__bytes") >= REVISIT_LEAST) & marked(F.xxhash64("__digest"), field, df.sparkSession)
+    met = rows.where(may).join(least, F.col("__digest") == F.col("__d"), "left").drop("__d")
+    met = met.withColumn("__refers", F.when(F.col("__least") < F.col(page), F.col("__least"))).drop("__least")
+    return met.unionByName(rows.where(~may).withColumn("__refers", F.lit(None).cast(df.schema[page].dataType)))
 
 
 def write_archives(df: DataFrame, page: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
     """(archive, content): the input's rows as archives, each made by one task from rows that lie together."""
-    rows = with_revisits(df, page, payload).select(F.col(page).cast("string").alias("page"), F.col(url).alias("url"), F.when(F.col("__refers").isNull(), F.col("__payload")).alias("payload"), "__digest", "__bytes", F.col("__refers").cast("string").alias("refers"))
+    rows = with_revisits(df.select(*dict.fromkeys((page, url, payload))), page, payload).select(F.col(page).cast("string").alias("page"), F.col(url).alias("url"), F.when(F.col("__refers").isNull(), F.col("__payload")).alias("payload"), "__digest", "__bytes", F.col("__refers").cast("string").alias("refers"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size, task, n = [], 0, TaskContext.get().partitionId(), 0
 
         def full() -> pa.RecordBatch:
             content = archive(held)
@@ -188,8 +199,9 @@ def write_archives(df: DataFrame, page: str = "page_id", url: str = "url", paylo
             return pa.RecordBatch.from_arrays([pa.array([hashlib.sha256(content).hexdigest()[:24] + ".warc.zst"]), pa.array([content], pa.binary())], ["archive", "content"])
 
         for batch in batches:
-            for page_, url_, body, digest, n, refers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                held.append(record(page_, url_, body or b"", digest, n, refers))
+            for page_, url_, body, digest, length, refers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                n += 1
+                held.append(record(page_, url_, body or b"", digest, length, refers, f"{task}-{n}"))
                 size += len(held[-1])
                 if size >= ARCHIVE_BYTES:
                     yield full()
