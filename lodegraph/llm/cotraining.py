@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodegraph.llm.common import bounded_arrow, text_or_empty
+from lodegraph.llm.common import bounded_arrow, set_aside, text_or_empty
 
 LABELLED = 4000
 ROUNDS, GROWTH, SURE = 4, 0.1, 1.0
@@ -262,7 +262,8 @@ def scored(docs: DataFrame, labels: DataFrame, row: str = "doc_id", text: str =
 
     score.__annotations__ = {"columns": Iterator[tuple[pa.Array, ...]], "return": Iterator[pa.Array]}
     udf = F.arrow_udf(score, T._parse_datatype_string(SCORES))
-    kept = docs.drop("p_text", "p_meta", "score", "kept", "__s")
+    docs, restored = set_aside(docs, ("__s",))
+    kept = docs.drop("p_text", "p_meta", "score", "kept")
     columns = kept.columns
     out = kept.withColumn("__s", udf(text_or_empty(text), F.col("source"), F.col("lang"), F.col("n_chars")))
-    return out.select(*columns, "__s.p_text", "__s.p_meta", "__s.score").withColumn("kept", F.col("score") >= threshold)
+    return restored(out.select(*columns, "__s.p_text", "__s.p_meta", "__s.score").withColumn("kept", F.col("score") >= threshold))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodegraph.llm.common import Scratch, bit_field, by_bytes, map_batches, marked, numbered
+from lodegraph.llm.common import Scratch, bit_field, by_bytes, map_batches, marked, numbered, set_aside
 
 MIN_WORDS = 50
 #: Places of the suffix array that a window takes at once.
@@ -192,6 +192,7 @@ _cut.__annotations__ = {"texts": pa.Array, "spans": pa.Array, "return": pa.Array
 def without_repeats(df: DataFrame, row: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """The input with `text` cleaned, n_lines_removed and n_words_removed."""
     scratch = Scratch(df.sparkSession)
+    df, restored = set_aside(df, ("__i", "__t", "__spans", "__c"))
     lined = scratch.save(_lined(df, row, text), "lined")
     spans = scratch.save(repeats(lined, scratch, min_words), "spans")
     cut = _merged(spans).select(F.col("id").alias("__i"), F.col("th").alias("__t"), "spans").withColumnRenamed("spans", "__spans")
@@ -204,4 +205,4 @@ def without_repeats(df: DataFrame, row: str = "doc_id", text: str = "text", min_
     met = met.withColumn("__c", F.arrow_udf(_cut, "struct<text:string,lines:long,words:long>")(F.col(text), F.col("__spans")))
     met = met.withColumns({text: F.col("__c.text"), "n_lines_removed": F.col("__c.lines"), "n_words_removed": F.col("__c.words")})
     rest = kept.where(~mine).withColumns({"n_lines_removed": F.lit(0).cast("long"), "n_words_removed": F.lit(0).cast("long")})
-    return met.select(*rest.columns).unionByName(rest)
+    return restored(met.select(*rest.columns).unionByName(rest))

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodegraph.llm.common import SPACES, Scratch, text_or_empty, words
+from lodegraph.llm.common import SPACES, Scratch, set_aside, text_or_empty, words
 
 SYMBOLS = "#*$%&|<>"
 #: STEPS at most, if determinants (their logarithms) still change by more than SETTLED.
@@ -44,11 +44,11 @@ CHI_MEDIAN = 4.351
 
 def with_statistics(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
+    df, restored = set_aside(df, ("__w", "__p", "__d", "__l"))
     t = text_or_empty(text)
     squeezed = F.translate(t, SPACES, "")
     lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.btrim(x, F.lit(SPACES))) > 0)
-    new = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "__w", "__p", "__d", "__l")
-    out = df.drop(*(c for c in new if c in df.columns))
+    out = df.drop("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     out = out.withColumns({"__w": words(text), "word_chars": F.length(squeezed).cast("long"), "n_symbols": (F.length(squeezed) - F.length(F.translate(squeezed, SYMBOLS, ""))).cast("long"), "__l": lines})
     out = out.withColumns({"n_words": F.size("__w").cast("long"), "n_dup_lines": (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long")}).drop("__l")
     room = "cast(greatest(n_words, 1) as bigint)"
@@ -66,7 +66,7 @@ def with_statistics(df: DataFrame, text: str = "text") -> DataFrame:
     out = out.withColumn("__d", F.expr(f"sort_array(transform({found}, x -> {place('x')}))"))
     covered = "aggregate(transform(__d, (x, k) -> if(k + 1 < size(__d), least(3, get(__d, k + 1) - x), 3)), 0, (a, x) -> a + x)"
     out = out.withColumn("n_repeat_words", F.expr(covered).cast("long")).drop("__w", "__p", "__d")
-    return out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
+    return restored(out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))))
 
 
 def transformed() -> dict[str, Column]:
@@ -168,10 +168,12 @@ def estimates(points: DataFrame, keys: list[str], scratch: Scratch) -> tuple[Dat
 
 def with_verdicts(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", row: str = "doc_id") -> DataFrame:
     """Adds the base statistics, base_failed, distance (squared, scaled) and kept. Extra columns pass."""
-    spark = df.sparkSession
-    scratch = Scratch(spark)
+    scratch = Scratch(df.sparkSession)
     keys = ["__g", "__h"]
-    stats = with_statistics(df.drop("distance", "kept", *keys), text)
+    new = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "kept")
+    inner = [*keys, "__salt", "m", "med", "d2", *FEATURES, *(f"{x}_{i}" for x in "cz" for i in range(P)), *(f"{x}_{i}{j}" for x in "slx" for i in range(P) for j in range(i + 1))]
+    df, restored = set_aside(df.drop(*new), inner)
+    stats = with_statistics(df, text)
     stats = stats.withColumns({"__g": F.coalesce(F.col(lang).cast("string"), F.lit("\u0000")), "__h": F.coalesce(F.col(source).cast("string"), F.lit("\u0000"))})
     stats = scratch.save(stats.drop(text).withColumns(transformed()), "statistics")
     clean = stats.where(~F.col("base_failed")).select(*keys, *FEATURES)
@@ -191,5 +193,4 @@ def with_verdicts(df: DataFrame, text: str = "text", lang: str = "lang", source:
     judged = _meet(stats, scale, keys, groups, "left").transform(_squared, ONE_SIDED)
     judged = judged.withColumn("distance", F.round(F.col("d2") / F.greatest(F.col("med"), F.lit(0.5)) * CHI_MEDIAN, 6))
     judged = judged.withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= CUTOFF * CHI_MEDIAN))
-    new = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "kept")
-    return judged.select(*(c for c in df.columns if c not in (text, *new)), *new)
+    return restored(judged.select(*(c for c in df.columns if c != text), *new))

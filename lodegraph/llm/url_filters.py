@@ -26,6 +26,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodegraph.llm.common import set_aside
+
 BROADCAST_RULES = 10_000
 #: Characters of tokens (capitals are lowered first); the same at the boundaries of word rules and in the index.
 INSIDE = "a-z0-9_-"
@@ -89,7 +91,7 @@ def parsed(lines: Iterable[str]) -> list[Rule]:
         body = line.removeprefix("||").removesuffix("|") if hosted else line.removesuffix("|")
         start = hosted or body.startswith("|")
         body = re.sub(r"^\|?(?:[a-z]+://)?", "", body) if not hosted else body
-        cut = {"*": ".*", "^": f"(?:[^{INSIDE}.%]|$)"}
+        cut = {"*": ".*", "^": f"(?:[^.%{INSIDE}]|$)"}
         pattern = "".join(cut.get(c, re.escape(c)) for c in body)
         before = r"^(?:[^/]*\.)?" if hosted else "^" if start else ""
         out.append(Rule(name, verdict, f"(?i){before}{pattern}{'$' if tied else ''}", _tokens(body, start, tied), weight))
@@ -119,6 +121,7 @@ def rule_index(spark: SparkSession, rules: list[Rule]) -> tuple[DataFrame, int]:
 def with_verdicts(df: DataFrame, rules: list[Rule], url: str = "url", default: str = "allow", broadcast: int = BROADCAST_RULES) -> DataFrame:
     """Adds host, path, rule (null where none fits) and verdict."""
     index, n = rule_index(df.sparkSession, rules)
+    df, restored = set_aside(df, ("__url",))
     index = F.broadcast(index) if n <= broadcast else index
     distinct = df.select(F.col(url).alias("__url")).distinct().select("__url", host("__url").alias("__host"), path("__url").alias("__path"))
     where = F.concat("__host", "__path")
@@ -135,4 +138,4 @@ def with_verdicts(df: DataFrame, rules: list[Rule], url: str = "url", default: s
         F.coalesce("__best.is.verdict", F.lit(default)).alias("verdict"),
     )
     kept = df.drop("host", "path", "rule", "verdict")
-    return kept.join(judged, kept[url].eqNullSafe(judged["__url"]), "left").drop("__url")
+    return restored(kept.join(judged, kept[url].eqNullSafe(judged["__url"]), "left").drop("__url"))
