@@ -94,4 +94,26 @@ b AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(v, length(rul
 SELECT page_id, host, path, rule,
        coalesce(v, CASE WHEN regexp_matches(host || path, '(?i)(^|[^a-z0-9_-])(cheap-pills|spam-farm|casino|xxx|porn)($|[^a-z0-9_-])') THEN 'block' ELSE 'allow' END) AS verdict
 FROM u LEFT JOIN b USING (page_id)""",
+    "op9_ngram_jaccard": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS t FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(t) = 0 THEN [] WHEN len(t) < 3 THEN [array_to_string(t, ' ')] ELSE list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2]) END) AS x FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+j AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM j JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+sides AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach(x, y) AS (SELECT a, b FROM sides UNION SELECT r.x, b.b FROM reach r JOIN sides b ON r.y = b.a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(m.y, d.doc_id)) AS component_id
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT x, min(y) AS y FROM reach GROUP BY 1) m ON m.x = d.doc_id""",
+    "op10_line_dedup": r"""
+WITH l AS (SELECT doc_id, generate_subscripts(x, 1) AS i, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL)),
+w AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM l),
+p AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM w WHERE n > 0),
+m AS (SELECT a.doc_id AS d, b.doc_id AS e, a.k - b.k AS s, a.k, a.n FROM p a JOIN p b ON a.line = b.line AND (b.doc_id < a.doc_id OR b.doc_id = a.doc_id AND b.k < a.k)),
+r AS (SELECT *, k - row_number() OVER (PARTITION BY d, e, s ORDER BY k) AS g FROM m),
+spans AS (SELECT d, min(k) AS a, max(k) AS z FROM r WHERE e < d GROUP BY d, e, s, g HAVING sum(n) >= 50
+  UNION ALL SELECT d, k, least(k + s - 1, last) FROM (SELECT *, max(k) OVER (PARTITION BY d, s, g) AS last, sum(n) OVER (PARTITION BY d, s, g ORDER BY k ROWS BETWEEN CURRENT ROW AND s - 1 FOLLOWING) AS words FROM r WHERE e = d) WHERE words >= 50),
+gone AS (SELECT DISTINCT doc_id, i, n FROM p JOIN spans ON d = doc_id AND k BETWEEN a AND z),
+c AS (SELECT doc_id, count(*) AS lines, sum(n) AS words FROM gone GROUP BY 1),
+t AS (SELECT l.doc_id, coalesce(string_agg(line, chr(10) ORDER BY l.i) FILTER (g.i IS NULL), '') AS text FROM l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.i = l.i GROUP BY 1)
+SELECT d.doc_id, coalesce(lines, 0)::BIGINT AS n_lines_removed, coalesce(words, 0)::BIGINT AS n_words_removed, sha256(t.text) AS text_sha256 FROM documents d LEFT JOIN t USING (doc_id) LEFT JOIN c USING (doc_id)""",
 }

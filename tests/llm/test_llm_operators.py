@@ -71,7 +71,7 @@ def test_bpe(spark, odd, docs):
     path = P.path("byte_bpe_50k.tiktoken")
     own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.load_ranks(path), special_tokens={})
     texts = {r.doc_id: r.text or "" for r in odd.collect()}
-    for r in bpe.round_trip(odd.where("doc_id <> 6"), path, P.PATTERN).collect():
+    for r in bpe.round_trip(odd, path, P.PATTERN).collect():
         ids = own.encode_ordinary(texts[r.doc_id])
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(texts[r.doc_id].encode()).hexdigest())
     both = bpe.decoded(bpe.encoded(docs, path, P.PATTERN), path, P.PATTERN).join(docs, "doc_id")
