@@ -14,39 +14,30 @@ def value(spark, column):
 
 
 def test_redaction(spark):
-    assert value(spark, text.redact_lines(F.lit("pub fn run() {}\nAPI_KEY=secret-value\n"))) == "pub fn run() {}\nAPI_KEY= [REDACTED]\n"
-    assert value(spark, text.redact_preview(F.lit("my token: abc"))) == "my token: [REDACTED]"
-    assert value(spark, text.redact_preview(F.lit("a = b"))) == "a = b"
+    assert value(spark, text.redact_lines(F.lit("port = 80\ndb_password: hunter2 = x\nplain: y"))) == "port = 80\ndb_password: [REDACTED]\nplain: y"
+    assert value(spark, text.redact_lines(F.lit("the secret\n= 4"))) == "the secret\n= 4"
+    assert value(spark, text.redact_preview(F.lit("refresh_TOKEN => z : q"))) == "refresh_TOKEN = [REDACTED]"
+    assert value(spark, text.redact_preview(F.lit("my auth: abc"))) == "my auth: [REDACTED]" and value(spark, text.redact_preview(F.lit("size = 3"))) == "size = 3"
+    assert value(spark, text.numbered(F.lit("x"), F.lit(7))) == "   7: x" and value(spark, text.numbered(F.lit("x"), F.lit(12345))) == "12345: x"
+    assert value(spark, text.links(F.lit("see [a](b.md) and [c](d)"))) == ["b.md", "d"] and value(spark, text.identifier_words(F.lit("readHTTPFile2_now"))) == ["read", "httpfile", "2", "now"]
 
 
 def test_paths(spark):
-    rows = {".git/config": True, "project/.env": True, "keys/server.key": True, "node_modules/pkg/index.js": True, "src/main.rs": False, "a/build/x.o": True, "x.min.js": True}
+    rows = {"a/.git/HEAD": True, "web/.env.local": True, "ssh/id_ed25519": True, "certs/site.pem": True, "x/node_modules/y.js": True, "lib/core.py": False, "pem": False, "gen/out/x.o": True, "app.map.js": True, "old/deep/z.py": True}
     df = spark.createDataFrame([(p,) for p in rows], "path string")
-    assert {r.path: r.e for r in df.select("path", files.excluded(F.col("path"), ("min.js",), ("**/build/**",)).alias("e")).collect()} == rows
-    kinds = {"src/main.rs": "code", "tests/unit.rs": "tests", "docs/arch.md": "docs", "config.toml": "config"}
+    assert {r.path: r.e for r in df.select("path", files.excluded(F.col("path"), ("map.js",), ("**/out/**", "old/**")).alias("e")).collect()} == rows
+    kinds = {"lib/core.py": "code", "test/a.sh": "tests", "ui/view.spec.ts": "tests", "README.MD": "docs", "book/x": "docs", "api/schema/v1.json": "schema", "app.yaml": "config", "x/.github/run": "ci", "ops/k8s/y": "infra", "db/migrations/1": "data", "Makefile": "build"}
     df = spark.createDataFrame([(p,) for p in kinds], "path string")
     assert {r.path: r.e for r in df.select("path", files.artifact_class(F.col("path")).alias("e")).collect()} == kinds
-    df = spark.createDataFrame([("a/b",), ("../x",), ("/x",), ("",), ("C:/x",)], "path string")
-    assert [r[0] for r in df.select(files.contained(F.col("path"))).collect()] == [True, False, False, False, False]
-
-
-def test_walk(spark, tmp_path):
-    (tmp_path / "src").mkdir()
-    (tmp_path / "src/main.rs").write_text("fn main() {}")
-    (tmp_path / ".env").write_text("A=1")
-    assert [r.path for r in files.walk(spark, str(tmp_path)).collect()] == ["src/main.rs"]
-
-
-def test_direct_search(spark):
-    df = spark.createDataFrame([("m", "a.rs", 'fn main() {\n    println!("hello");\n}\n')], "root string, path string, content string")
-    assert [(r.line, r.column) for r in search.direct(df, "println").collect()] == [(2, 5)]
-    with pytest.raises(ValueError):
-        search.direct(df, "(?=x)", True)
+    df = spark.createDataFrame([("x/y.z",), ("x/../y",), ("/etc",), ("",), ("D:/x",), ("x\\..\\y",)], "path string")
+    assert [r[0] for r in df.select(files.contained(F.col("path"))).collect()] == [True, False, False, False, False, False]
 
 
 def test_line_index(spark):
-    df = spark.createDataFrame([("m", "a", "hello\nworld\nfoo"), ("m", "b", "abc\r\ndef\r\n")], "root string, path string, content string")
-    assert [(r.path, r.line, r.start, r.text) for r in search.lines(df).orderBy("path", "line").collect()] == [("a", 1, 0, "hello"), ("a", 2, 6, "world"), ("a", 3, 12, "foo"), ("b", 1, 0, "abc"), ("b", 2, 5, "def")]
+    df = spark.createDataFrame([("m", "a", "one\r\ntwo é\nthree"), ("m", "b", "\n\nx\n"), ("m", "c", ""), ("m", "d", "y\n" * 1000)], "root string, path string, content string")
+    got = [(r.path, r.line, r.start, r.text) for r in search.lines(df.where("path <> 'd'")).orderBy("path", "line").collect()]
+    assert got == [("a", 1, 0, "one"), ("a", 2, 5, "two é"), ("a", 3, 12, "three"), ("b", 1, 0, ""), ("b", 2, 1, ""), ("b", 3, 2, "x"), ("c", 1, 0, "")]
+    assert [r.start for r in search.lines(df.where("path = 'd'")).orderBy("line").collect()] == list(range(0, 2000, 2))
 
 
 def test_impact_and_paths(spark):
