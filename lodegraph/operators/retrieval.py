@@ -95,6 +95,34 @@ def rank(query: str, nodes: DataFrame) -> DataFrame:
     return search.fused(nodes.withColumns({"in_degree": F.lit(0), "fts": F.lit(None).cast("double")}), query)
 
 
+def with_signals(ranked: DataFrame, query: str, kinds: tuple[str, ...] = (), classes: tuple[str, ...] = (), prefixes: tuple[str, ...] = (), newest: int | None = None, hops: DataFrame | None = None, weight: float = 0.05) -> DataFrame:
+    """Adds further signals of `weight` each at most to ranked nodes: a qualified name that ends in the query, preferred kinds
+    and classes, preferred path prefixes, recency (revision by the newest one), nearness to an anchor, (node_id, depth) in
+    `hops`, and how many channels found it (name, path, lexical)."""
+    found = ranked if hops is None else ranked.join(hops.select("node_id", F.col("depth").alias("__hops")), "node_id", "left")
+    told = F.transform("reasons", lambda r: F.substring_index(r["signal"], "_", 1))
+    channels_ = F.size(F.array_intersect(F.array_distinct(told), F.array(*map(F.lit, ("exact", "name", "path", "fts")))))
+    yes = lambda test: F.when(F.coalesce(test, F.lit(False)), weight).otherwise(0.0)
+    signals = {"channel_agreement": F.lit(weight) * F.greatest(channels_ - 1, F.lit(0)) / 2}
+    if "qualified_name" in ranked.columns:
+        signals["qualified_suffix_match"] = yes(F.lower("qualified_name").endswith("::" + query.lower()))
+    if kinds:
+        signals["kind_preference"] = yes(F.col("kind").isin(*kinds))
+    if classes:
+        signals["artifact_class_preference"] = yes(F.col("artifact_class").isin(*classes))
+    if prefixes:
+        signals["source_priority"] = yes(F.array_contains(F.array(*(F.col("path").startswith(p) for p in prefixes)), True))
+    if newest:
+        signals["recency"] = F.lit(weight) * F.coalesce(F.col("provenance.revision") / newest, F.lit(0.0))
+    if hops is not None:
+        signals["graph_proximity"] = F.coalesce(F.lit(weight) / (1 + F.col("__hops")), F.lit(0.0))
+    for k, v in signals.items():
+        found = found.withColumn(f"__{k}", v.cast("double"))
+    reasons = F.filter(F.array(*(F.struct(F.lit(k).alias("signal"), F.col(f"__{k}").alias("score")) for k in signals)), lambda x: x["score"] > 0)
+    total = sum((F.col(f"__{k}") for k in signals), F.col("score"))
+    return found.withColumns({"score": total, "reasons": F.concat("reasons", reasons)}).drop("__hops", *(f"__{k}" for k in signals))
+
+
 # ---- reranking
 
 

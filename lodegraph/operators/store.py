@@ -186,3 +186,47 @@ class Store:
         """Deletes the store, which must be one."""
         self._held(self.revision())
         self._fs.delete(self._path(self.folder), True)
+
+
+class Lease:
+    """One writer at a time for a folder: a file that names its holder and until when; a lapsed one can be taken over.
+
+        with Lease(spark, folder, "indexer"): ...
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, holder: str, seconds: float = 600.0):
+        self.holder, self.seconds, self.token = holder, seconds, uuid.uuid4().hex
+        self._at = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/lease")
+        self._fs = self._at.getFileSystem(spark._jsc.hadoopConfiguration())
+        self._read = lambda: json.loads(spark.read.text(self._at.toString(), wholetext=True).first()[0])
+
+    def held(self) -> dict | None:
+        """Who holds it, if someone does and it has not lapsed."""
+        if not self._fs.exists(self._at):
+            return None
+        got = self._read()
+        return got if got["until"] > time.time() else None
+
+    def acquire(self) -> None:
+        if other := self.held():
+            raise Conflict(f"{other['holder']} holds the lease")
+        self._fs.delete(self._at, False)
+        try:
+            out = self._fs.create(self._at, False)
+        except Exception as e:
+            if "already exists" in str(e).lower():
+                raise Conflict("another writer took the lease") from e
+            raise
+        out.write(bytearray(json.dumps({"holder": self.holder, "token": self.token, "until": time.time() + self.seconds}).encode()))
+        out.close()
+
+    def release(self) -> None:
+        if (got := self.held()) and got["token"] == self.token:
+            self._fs.delete(self._at, False)
+
+    def __enter__(self) -> Lease:
+        self.acquire()
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.release()

@@ -166,6 +166,12 @@ def size_of(spark: SparkSession, folder: str) -> int:
     return listed(spark, folder).agg(F.sum("size")).first()[0] or 0
 
 
+def assets(spark: SparkSession, folder: str) -> DataFrame:
+    """(name, bytes, files) of what lies below a folder, by the first part of its path: a cache of models, a store's tables."""
+    name = F.split("path", "/")[0]
+    return listed(spark, folder).groupBy(name.alias("name")).agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("files"))
+
+
 def watched(spark: SparkSession, folder: str, root: str = "main") -> DataFrame:
     """A stream of (root, ts, path, op) of files that appear in a folder tree, as Spark's file stream sees them."""
     schema = "path string, modificationTime timestamp, length long, content binary"

@@ -54,6 +54,7 @@ def test_walk(spark, folder):
     assert files.snapshot(spark, folder, "keep.log")["artifact_class"] == "build"
     assert files.snapshot(spark, folder, "../p/keep.log") is None and files.snapshot(spark, folder, ".env") is None and files.snapshot(spark, folder, "nowhere") is None
     assert files.size_of(spark, folder) == sum(len(x) for x in PROJECT.values())
+    assert ("jobs", len(PROJECT["jobs/daily.py"]) + len(PROJECT["jobs/tank.py"]), 2) in rows(files.assets(spark, folder), "name", "bytes", "files")
 
 
 def test_walk_errors(spark, folder):
@@ -228,6 +229,16 @@ def test_store_life(spark, tmp_path):
     at.write_text(json.dumps({"format": 0, "tables": held.manifest(2)}))
     (tmp_path / "s" / "manifests" / f".{3:012d}.json.crc").unlink(missing_ok=True)
     assert store.Store.migrate(spark, str(tmp_path / "s")) == 4 and store.Store(spark, str(tmp_path / "s")).read("t").count() == 3
+    with store.Lease(spark, str(tmp_path / "s"), "one") as one:
+        assert one.held()["holder"] == "one"
+        with pytest.raises(store.Conflict):
+            store.Lease(spark, str(tmp_path / "s"), "two").acquire()
+    lapsed = store.Lease(spark, str(tmp_path / "s"), "three", seconds=-1)
+    lapsed.acquire()
+    with store.Lease(spark, str(tmp_path / "s"), "four") as four:
+        lapsed.release()
+        assert four.held()["holder"] == "four"
+    assert four.held() is None
     held.remove()
     assert not os.path.exists(tmp_path / "s")
 
@@ -260,6 +271,20 @@ def test_hybrid(spark):
     assert [r.name for r in retrieval.rank("wheel", nodes).orderBy(F.desc("score")).limit(1).collect()] == ["wheel"]
 
 
+def test_further_signals(spark):
+    nodes = spark.createDataFrame([("a" * 64, "Engine", "m::Engine", "src/engine.rs", "code", "struct", (4,)), ("b" * 64, "engine_x", "engine_x", "old/b.rs", "docs", "function", (1,))], "node_id string, name string, qualified_name string, path string, artifact_class string, kind string, provenance struct<revision:long>")
+    degree = spark.createDataFrame([], "node_id string, in_degree long")
+    ranked = retrieval.hybrid(nodes, degree, None, "engine")
+    before = {r.name: r.score for r in ranked.collect()}
+    hops = spark.createDataFrame([("b" * 64, 1)], "node_id string, depth int")
+    got = {r.name: r for r in retrieval.with_signals(ranked, "engine", ("struct",), ("docs",), ("src/", "lib/"), 4, hops).collect()}
+    told = {n: {x.signal for x in r.reasons} for n, r in got.items()}
+    assert told["Engine"] >= {"qualified_suffix_match", "kind_preference", "source_priority", "recency", "channel_agreement"} and "graph_proximity" not in told["Engine"]
+    assert told["engine_x"] >= {"artifact_class_preference", "recency", "graph_proximity"} and not told["engine_x"] & {"kind_preference", "channel_agreement"}
+    assert round(got["Engine"].score - before["Engine"], 6) == 0.225 and round(got["engine_x"].score - before["engine_x"], 6) == 0.0875
+    assert {r.name: r.score for r in retrieval.with_signals(ranked, "zzz").collect()}["engine_x"] == before["engine_x"]
+
+
 def test_reranking(spark):
     ranked = spark.createDataFrame([(c * 64, c, 1.0 - k / 10, [("s", 1.0)], "k", "p", {}) for k, c in enumerate("abcd")], "node_id string, name string, score double, reasons array<struct<signal:string,score:double>>, kind string, path string, attributes map<string,string>")
     got = retrieval.rerank(retrieval.Found(ranked), "q", lambda q, shown: f"so: [2, 9, 2, {shown[0]['index']}] done")
