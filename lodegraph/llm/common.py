@@ -26,10 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bounded_arrow(spark: SparkSession) -> None:
-    """Keeps what passes between the JVM and Python at once small enough for long texts; ships the package."""
+    """Keeps what is read at once, and what passes between the JVM and Python, small enough for long texts; ships the
+    package. These settings of the session stay."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", ARROW_ROWS)
 
 
 def text_or_empty(text: str | Column) -> Column:
@@ -61,36 +63,65 @@ def by_bytes(batches: Iterator[pa.RecordBatch], column: str, limit: int = BATCH_
             yield batch.slice(start)
 
 
+#: Bytes of results after which a Python worker gives memory back that it has freed.
+GIVE_BACK = 16 << 20
+
+
+def give_back() -> None:
+    """Returns freed memory to the machine: workers live on between tasks, and so would the peak of each."""
+    import ctypes
+    import ctypes.util
+
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(ctypes.util.find_library("c") or "libc.so.6"), "malloc_trim", None):
+        trim(0)
+
+
 def map_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow by workers that hold little: batches come in bounded, and freed memory goes back."""
+
+    def frugal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = 0
+        for made in work(batches):
+            size += made.nbytes
+            yield made
+            if size > GIVE_BACK:
+                give_back()
+                size = 0
+        give_back()
+
     bounded_arrow(df.sparkSession)
-    return df.mapInArrow(work, schema)
+    return df.mapInArrow(frugal, schema)
 
 
 #: Bits, as a power of two, of a field that marks hashes: 8 MB to each worker at any number of them.
 FIELD_BITS = 26
 
 
-def bit_field(hashes: DataFrame, scratch: Scratch, name: str, bits: int = FIELD_BITS) -> np.ndarray:
-    """A bit set at the low `bits` bits of each hash (the table's one long column). A field too full just thins less."""
+def bit_table(hashes: DataFrame, scratch: Scratch, name: str, bits: int = FIELD_BITS) -> DataFrame:
+    """A field with a bit set at the low `bits` bits of each hash (the table's one long column), as rows (__field, __bits) of
+    32,768 bits. A field too full just thins less."""
     at = hashes.select((F.col(hashes.columns[0]).bitwiseAND((1 << bits) - 1)).alias("at"))
-    pieces = at.groupBy(F.expr("at div 32768").alias("piece")).agg(F.expr("bitmap_construct_agg(at % 32768)").alias("bits"))
-    out = np.zeros((1 << (bits - 15), 4096), np.uint8)
-    for r in scratch.save(pieces, name).toLocalIterator():
-        out[r["piece"]] = np.frombuffer(r["bits"], np.uint8)
-    return out.reshape(-1)
+    return scratch.save(at.groupBy(F.shiftright("at", 15).alias("__field")).agg(F.expr("bitmap_construct_agg(at % 32768)").alias("__bits")), name)
 
 
-def marked(hash_: Column, field: np.ndarray, spark: SparkSession) -> Column:
-    """Whether the hash may be one of the field's: always for those, seldom for others."""
-    bounded_arrow(spark)
-    held, mask = spark.sparkContext.broadcast(field), len(field) * 8 - 1
+def bit_field(hashes: DataFrame, scratch: Scratch, name: str, bits: int = FIELD_BITS) -> np.ndarray:
+    """The same as bytes, for Python workers."""
+    out = np.zeros((1 << (bits - 15), 4096), np.uint8)
+    for r in bit_table(hashes, scratch, name, bits).toLocalIterator():
+        out[r["__field"]] = np.frombuffer(r["__bits"], np.uint8)
+    return out.reshape(-1)
 
-    def test(column: pa.Array) -> pa.Array:
-        at = column.to_numpy(zero_copy_only=False).astype(np.int64) & mask
-        return pa.array((held.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
 
-    test.__annotations__ = {"column": pa.Array, "return": pa.Array}
-    return F.arrow_udf(test, "boolean")(hash_)
+def apart(df: DataFrame, hash_: Column, table: DataFrame, bits: int = FIELD_BITS) -> tuple[DataFrame, DataFrame]:
+    """Rows whose hash may be one of the table's (those all, few others), and the others; nothing is shuffled. The table is
+    broadcast: it has 2^(bits - 3) bytes at most."""
+    at = hash_.bitwiseAND((1 << bits) - 1)
+    place = at.bitwiseAND(32767).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col("__bits"), F.shiftright(place, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.call_function("shiftright", byte, place.bitwiseAND(7)).bitwiseAND(1) == 1
+    met = (F.shiftright(at, 15) == F.col("__field")) & bit
+    return df.join(F.broadcast(table), met, "left_semi"), df.join(F.broadcast(table), met, "left_anti")
 
 
 def set_aside(df: DataFrame, names: Iterable[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:

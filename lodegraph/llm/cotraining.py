@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodegraph.llm.common import bounded_arrow, set_aside, text_or_empty
+from lodegraph.llm.common import bounded_arrow, give_back, map_batches, set_aside, text_or_empty
 
 LABELLED = 4000
 ROUNDS, GROWTH, SURE = 4, 0.1, 1.0
@@ -219,8 +219,7 @@ def _sure(docs: DataFrame, models: list[np.ndarray], quotas: tuple[int, int], kn
             v, y, h, a, b = zip(*rows[k : k + 256], strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.int32()), pa.array(y, pa.int32()), pa.array(h, pa.int64()), pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["view", "y", "h", "a", "b"])
 
-    bounded_arrow(docs.sparkSession)
-    found = _given(docs, row, text).select("__t", "__src", "__lang", "__n", "__h").mapInArrow(work, "view int, y int, h long, a binary, b binary")
+    found = map_batches(_given(docs, row, text).select("__t", "__src", "__lang", "__n", "__h"), work, "view int, y int, h long, a binary, b binary")
     found = found.groupBy("view", "y", "h").agg(F.first("a").alias("a"), F.first("b").alias("b"))  # equal content has equal features
     quota = F.when(F.col("y") == 0, quotas[0]).otherwise(quotas[1])
     for keys in (["view", "y", F.pmod("h", F.lit(64))], ["view", "y"]):
@@ -259,6 +258,7 @@ def scored(docs: DataFrame, labels: DataFrame, row: str = "doc_id", text: str =
             parts = [np.ones((len(t[k : k + 256]), 3)) if model is None else model.scores(*_both(*(c[k : k + 256] for c in (t, s, g, n)))) for k in range(0, len(t), 256)]
             p = np.vstack([*parts, np.empty((0, 3))]).round(6)
             yield pa.StructArray.from_arrays([pa.array(p[:, j], pa.float64()) for j in range(3)], ["p_text", "p_meta", "score"])
+        give_back()
 
     score.__annotations__ = {"columns": Iterator[tuple[pa.Array, ...]], "return": Iterator[pa.Array]}
     udf = F.arrow_udf(score, T._parse_datatype_string(SCORES))

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodegraph.llm.common import Scratch, bit_field, by_bytes, map_batches, marked
+from lodegraph.llm.common import Scratch, apart, bit_field, bit_table, by_bytes, map_batches
 from lodegraph.llm.components import components
 
 #: Growth of sizes from band to band, if the similarity doesn't ask for more.
@@ -63,7 +63,7 @@ class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 150_000:
+        if len(self) > 60_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -378,8 +378,7 @@ def classes(df: DataFrame, row: str = "doc_id", text: str = "text", k: int = 3,
     wanted = scratch.save(wanted, "wanted")
     size = wanted.count()
     ids = wanted.where("least is not null").select("v", F.col("least").alias("__id"))
-    field = bit_field(ids.select(F.xxhash64("__id")), scratch, "field")
-    near = df.select(F.col(row).alias("__id"), F.col(text).alias("text")).where(marked(F.xxhash64("__id"), field, df.sparkSession))
+    near, _ = apart(df.select(F.col(row).alias("__id"), F.col(text).alias("text")), F.xxhash64("__id"), bit_table(ids.select(F.xxhash64("__id")), scratch, "field"))
     texts = near.join(ids, "__id").select("v", "text")
     nameless = wanted.where("least is null").select("v")
     if not nameless.isEmpty():  # no id fetches the sets that only rows of null id have

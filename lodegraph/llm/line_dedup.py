@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodegraph.llm.common import Scratch, bit_field, by_bytes, map_batches, marked, numbered, set_aside
+from lodegraph.llm.common import Scratch, apart, bit_table, by_bytes, map_batches, numbered, set_aside
 
 MIN_WORDS = 50
 #: Places of the suffix array that a window takes at once.
@@ -192,17 +192,17 @@ _cut.__annotations__ = {"texts": pa.Array, "spans": pa.Array, "return": pa.Array
 def without_repeats(df: DataFrame, row: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """The input with `text` cleaned, n_lines_removed and n_words_removed."""
     scratch = Scratch(df.sparkSession)
-    df, restored = set_aside(df, ("__i", "__t", "__spans", "__c"))
+    df, restored = set_aside(df, ("__i", "__t", "__spans", "__c", "__field", "__bits"))
     lined = scratch.save(_lined(df, row, text), "lined")
     spans = scratch.save(repeats(lined, scratch, min_words), "spans")
     cut = _merged(spans).select(F.col("id").alias("__i"), F.col("th").alias("__t"), "spans").withColumnRenamed("spans", "__spans")
     cut = scratch.finish(cut, "removed")
     # Only texts that may have a span meet the spans; the others pass without a shuffle.
-    field = bit_field(cut.select(F.xxhash64("__i", "__t")), scratch, "field")
+    field = bit_table(cut.select(F.xxhash64("__i", "__t")), scratch, "field")
     kept = df.drop("n_lines_removed", "n_words_removed")
-    mine = marked(F.xxhash64(F.col(row), F.xxhash64(text)), field, df.sparkSession)
-    met = kept.where(mine).join(cut, F.col(row).eqNullSafe(F.col("__i")) & (F.xxhash64(text) == F.col("__t")), "left")
+    near, rest = apart(kept, F.xxhash64(F.col(row), F.xxhash64(text)), field)
+    met = near.join(cut, F.col(row).eqNullSafe(F.col("__i")) & (F.xxhash64(text) == F.col("__t")), "left")
     met = met.withColumn("__c", F.arrow_udf(_cut, "struct<text:string,lines:long,words:long>")(F.col(text), F.col("__spans")))
     met = met.withColumns({text: F.col("__c.text"), "n_lines_removed": F.col("__c.lines"), "n_words_removed": F.col("__c.words")})
-    rest = kept.where(~mine).withColumns({"n_lines_removed": F.lit(0).cast("long"), "n_words_removed": F.lit(0).cast("long")})
+    rest = rest.withColumns({"n_lines_removed": F.lit(0).cast("long"), "n_words_removed": F.lit(0).cast("long")})
     return restored(met.select(*rest.columns).unionByName(rest))

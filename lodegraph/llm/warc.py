@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodegraph.llm.common import Scratch, bit_field, map_batches, marked
+from lodegraph.llm.common import Scratch, apart, bit_table, map_batches
 
 SKIPPABLE, FRAME = 0x184D2A5D, 0xFD2FB528
 ARCHIVE_BYTES, DICTIONARY_SAMPLE, DICTIONARY_BYTES = 4 << 20, 1 << 20, 16 << 10
@@ -179,11 +179,11 @@ def with_revisits(df: DataFrame, page: str = "page_id", payload: str = "html") -
     rows = rows.withColumn("__bytes", F.octet_length("__payload").cast("long")).withColumn("__digest", F.sha2("__payload", 256))
     least = rows.where(F.col("__bytes") >= REVISIT_LEAST).groupBy(F.col("__digest").alias("__d")).agg(F.min(page).alias("__least"), F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
     least = scratch.save(least, "least")
-    field = bit_field(least.select(F.xxhash64("__d")), scratch, "field", 24)
-    may = (F.col("__bytes") >= REVISIT_LEAST) & marked(F.xxhash64("__digest"), field, df.sparkSession)
-    met = rows.where(may).join(least, F.col("__digest") == F.col("__d"), "left").drop("__d")
+    field = bit_table(least.select(F.xxhash64("__d")), scratch, "field")
+    near, rest = apart(rows, F.xxhash64("__digest"), field)
+    met = near.join(least, (F.col("__digest") == F.col("__d")) & (F.col("__bytes") >= REVISIT_LEAST), "left").drop("__d")
     met = met.withColumn("__refers", F.when(F.col("__least") < F.col(page), F.col("__least"))).drop("__least")
-    return met.unionByName(rows.where(~may).withColumn("__refers", F.lit(None).cast(df.schema[page].dataType)))
+    return met.unionByName(rest.withColumn("__refers", F.lit(None).cast(df.schema[page].dataType)))
 
 
 def write_archives(df: DataFrame, page: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
