@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodegraph.llm import bpe, cotraining, jaccard, line_dedup, mixing
-from lodegraph.llm.common import Scratch, bit_field, marked, table
+from lodegraph.llm.common import Scratch, apart, bit_table, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -48,14 +48,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     gone = groups.where("own != best").select("own.*").distinct()
     twice = groups.where("own = best").groupBy("own").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("own.*")
     gone, twice = scratch.save(gone, "gone"), scratch.save(twice, "twice")
-    field = bit_field(gone.select("mark").unionByName(twice.select("mark")), scratch, "field")
-    own = docs.select(*COLUMNS).withColumn("__mark", mark)
-    may = marked(F.col("__mark"), field, spark)
-    near = own.where(may)
+    field = bit_table(gone.select("mark").unionByName(twice.select("mark")), scratch, "field")
+    near, rest = apart(docs.select(*COLUMNS).withColumn("__mark", mark), F.col("__mark"), field)
     same = lambda t: (F.col("__mark") == t["mark"]) & F.col("doc_id").isNull().eqNullSafe(t["last"]) & (F.coalesce("doc_id", F.lit(0)) == t["id"])
     left = near.join(gone, same(gone), "left_anti")
     once = left.join(twice, same(twice), "left_semi").dropDuplicates(list(COLUMNS))
-    return own.where(~may).unionByName(left.join(twice, same(twice), "left_anti")).unionByName(once).select(*COLUMNS)
+    return rest.unionByName(left.join(twice, same(twice), "left_anti")).unionByName(once).select(*COLUMNS)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
