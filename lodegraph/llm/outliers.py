@@ -29,7 +29,7 @@ from lodegraph.llm.common import SPACES, Scratch, set_aside, text_or_empty, word
 
 SYMBOLS = "#*$%&|<>"
 #: STEPS at most, if determinants (their logarithms) still change by more than SETTLED.
-SUPPORT, STEPS, SETTLED, PRIOR = 0.75, 12, 0.01, 50.0
+SUPPORT, STEPS, SETTLED, PRIOR = 0.75, 6, 0.05, 50.0
 #: Estimates of so many groups are broadcast (some 200 bytes each); beyond it rows meet them by a join of SALT parts a group.
 BROADCAST_GROUPS, SALT = 50_000, 64
 #: Squared distance beyond which a text is out, as a multiple of the dimension's median distance. Of 3,243 labelled clean
