@@ -345,10 +345,12 @@ def _links(given: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
     ranked = tokens.join(often, ["leader", "token"], "left").withColumn("r", F.expr(order)).where("often is not null")
     far_need = f"greatest(1, ceil((c - {b} * floor(n * {den} / {num})) / {a}))"
     near_need = f"greatest(1, ceil((c + greatest(c, 1 - low)) / {2 * a}))"
-    ranked = scratch.save(ranked.select("leader", "token", "v", "n", "c", F.expr(f"c + low > 0 and r <= d - {far_need} + 1").alias("far"), F.expr(f"r <= d - {near_need} + 1").alias("near")).where("far or near"), "prefixes")
-    x = ranked.where("far").select("leader", "token", F.col("v").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"))
-    y = ranked.where("near").select("leader", "token", F.col("v").alias("y"), F.col("n").alias("ny"), F.col("c").alias("cy"))
-    met = x.join(y, ["leader", "token"]).where(f"x != y and cx >= cy and {num} * greatest(nx, ny) <= {den} * least(nx, ny)")
+    ranked = scratch.save(ranked.select("leader", "token", "v", "n", "c", (F.col("d") - F.col("r")).alias("after"), "d", F.expr(f"c + low > 0 and r <= d - {far_need} + 1").alias("far"), F.expr(f"r <= d - {near_need} + 1").alias("near")).where("far or near"), "prefixes")
+    x = ranked.where("far").select("leader", "token", F.col("v").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"), F.col("d").alias("dx"), F.col("after").alias("ax"))
+    y = ranked.where("near").select("leader", "token", F.col("v").alias("y"), F.col("n").alias("ny"), F.col("c").alias("cy"), F.col("d").alias("dy"), F.col("after").alias("ay"))
+    # From their first common token on, two differences have no more in common than the shorter one has left.
+    left = f"{a} * (dx + dy - 2 - 2 * least(ax, ay)) <= {b} * (nx + ny)"
+    met = x.join(y, ["leader", "token"]).where(f"x != y and cx >= cy and {num} * greatest(nx, ny) <= {den} * least(nx, ny) and {left}")
     met = met.select("leader", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     arrays = centred.select("leader", F.col("v").alias("x"), F.col("delta").alias("dx"), F.col("n").alias("nx"))
     others = centred.select("leader", F.col("v").alias("y"), F.col("delta").alias("dy"), F.col("n").alias("ny"))
