@@ -17,8 +17,9 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 from heapq import heapify, heappop, heappush
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +27,13 @@ from pyspark.sql import DataFrame
 
 from lodegraph.llm.common import by_bytes, map_batches
 
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 19
 REMEMBERED, SHORT = 400_000, 200
 #: Rows of token positions that one recursive query starts with.
-QUERY_ROWS = 300_000
+QUERY_ROWS = 100_000
 _coders: dict[tuple[str, str], Coder] = {}
+#: What words encode to, as decimal text: kept between a worker's tasks, at some 70 bytes a word.
+_known: dict[tuple[str, str], dict[str, str]] = {}
 
 #: One contraction a step: the least of (rank, place) needs no order but the neighbours'.
 MERGE_SHORT = """
@@ -67,12 +70,12 @@ class Coder:
 
         self.ranks, self.pattern = load_ranks(path), regex.compile(pattern)
         #: Words' ids as decimal text, separated by blanks.
-        self.known: dict[str, str] = {}
+        self.known = _known.setdefault((path, pattern), {})
         # Every way to cut a token into two tokens is a merge that yields it; its rank is its id.
         cuts = [(self.ranks[t[:k]], self.ranks[t[k:]], n) for t, n in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
         self.merges = {(a, b): n for a, b, n in cuts}
         left, right, made = (pa.array(c, pa.int32()) for c in zip(*cuts, strict=True))
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "preserve_insertion_order": "false", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "preserve_insertion_order": "false", "temp_directory": ""})
         given = pa.table({"l": left, "r": right, "merged": made})
         words = pa.table({"id": pa.array(list(self.ranks.values()), pa.int32()), "hex": pa.array([t.hex() for t in self.ranks])})
         self.db.register("given", given)
@@ -118,7 +121,8 @@ class Coder:
     def learn(self, texts: list[list[str]]) -> dict[str, str]:
         """What each distinct word of the texts encodes to."""
         if len(self.known) > REMEMBERED:  # the older half goes
-            self.known = dict(list(self.known.items())[REMEMBERED // 2 :])
+            for word in list(islice(self.known, REMEMBERED // 2)):
+                del self.known[word]
         known, ranks = self.known, self.ranks
         words: list[str] = []
         raws: list[bytes] = []
@@ -168,20 +172,27 @@ class Coder:
         return out
 
 
-def coder(path: str, pattern: str) -> Coder:
+@contextmanager
+def coder(path: str, pattern: str) -> Iterator[Coder]:
+    """A worker's coder, for one task: it is made in a third of a second, and between tasks other work has its memory; only the
+    words that it has learned stay."""
     if (path, pattern) not in _coders:
         _coders[path, pattern] = Coder(path, pattern)
-    return _coders[path, pattern]
+    try:
+        yield _coders[path, pattern]
+    finally:
+        if held := _coders.pop((path, pattern), None):
+            held.db.close()
 
 
 def encoded(df: DataFrame, path: str, pattern: str, row: str = "doc_id", text: str = "text") -> DataFrame:
     """(row, ids): the ids of every text."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = coder(path, pattern)
-        for batch in by_bytes(batches, text, BATCH_BYTES):
-            ids = own.encode([t or "" for t in batch.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["id", "ids"])
+        with coder(path, pattern) as own:
+            for batch in by_bytes(batches, text, BATCH_BYTES):
+                ids = own.encode([t or "" for t in batch.column(1).to_pylist()])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["id", "ids"])
 
     return map_batches(df.select(row, text), work, f"id {df.schema[row].dataType.simpleString()}, ids array<int>").withColumnRenamed("id", row)
 
@@ -190,13 +201,13 @@ def decoded(df: DataFrame, path: str, pattern: str, row: str = "doc_id", ids: st
     """(row, bytes): the bytes of every list of ids; null for null, ids outside the vocabulary add nothing."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = coder(path, pattern)
-        for batch in batches:
-            for k in range(0, batch.num_rows, 64):
-                part = batch.slice(k, 64)
-                lists = part.column(1).to_pylist()
-                got = own.decode([np.array(x or [], np.int32) for x in lists])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([None if x is None else b for x, b in zip(lists, got, strict=True)], pa.binary())], ["id", "bytes"])
+        with coder(path, pattern) as own:
+            for batch in batches:
+                for k in range(0, batch.num_rows, 64):
+                    part = batch.slice(k, 64)
+                    lists = part.column(1).to_pylist()
+                    got = own.decode([np.array(x or [], np.int32) for x in lists])
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array([None if x is None else b for x, b in zip(lists, got, strict=True)], pa.binary())], ["id", "bytes"])
 
     return map_batches(df.select(row, ids), work, f"id {df.schema[row].dataType.simpleString()}, bytes binary").withColumnRenamed("id", row)
 
@@ -206,14 +217,14 @@ def round_trip(df: DataFrame, path: str, pattern: str, row: str = "doc_id", text
     names = ["id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else [])]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = coder(path, pattern)
-        for batch in by_bytes(batches, text, BATCH_BYTES):
-            texts = own.shown([t or "" for t in batch.column(1).to_pylist()])
-            ids = [numbers(x) for x in texts]
-            shown = [hashlib.sha256(x.encode()).hexdigest() for x in texts]
-            back = [hashlib.sha256(b).hexdigest() for b in own.decode(ids)]
-            columns = [batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(shown, pa.string()), pa.array(back, pa.string()), *([pa.array(ids, pa.list_(pa.int32()))] if with_ids else [])]
-            yield pa.RecordBatch.from_arrays(columns, names)
+        with coder(path, pattern) as own:
+            for batch in by_bytes(batches, text, BATCH_BYTES):
+                texts = own.shown([t or "" for t in batch.column(1).to_pylist()])
+                ids = [numbers(x) for x in texts]
+                shown = [hashlib.sha256(x.encode()).hexdigest() for x in texts]
+                back = [hashlib.sha256(b).hexdigest() for b in own.decode(ids)]
+                columns = [batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(shown, pa.string()), pa.array(back, pa.string()), *([pa.array(ids, pa.list_(pa.int32()))] if with_ids else [])]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = f"id {df.schema[row].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return map_batches(df.select(row, text), work, schema).withColumnRenamed("id", row)
