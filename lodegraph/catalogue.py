@@ -325,7 +325,7 @@ def incremental_equals_rebuild(spark, sf_dir):
 # ---- ranking and search
 
 
-QUERY = "united sta"
+QUERY = "blue bolt"
 _indexes: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
 
 
@@ -343,11 +343,11 @@ def index_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _tokens_sql(columns: str) -> str:
-    """Tokens of each node's columns, and what BM25 needs of them for prefixes united, sta and the phrase of both."""
+    """Tokens of each node's columns, and what BM25 needs of them for prefixes blue, bolt and the phrase of both."""
     each = " UNION ALL ".join(f"SELECT node_id, {k} AS f, regexp_extract_all(strip_accents(lower({c})), '[\\p{{L}}\\p{{N}}]+') AS ts FROM nodes" for k, c in enumerate(columns.split(",")))
     return f""", t AS ({each}),
-tf AS (SELECT node_id, sum(len(ts)) AS n, sum(len(list_filter(ts, lambda x: starts_with(x, 'united'))))::DOUBLE AS a, sum(len(list_filter(ts, lambda x: starts_with(x, 'sta'))))::DOUBLE AS b,
-  sum(len(list_filter(range(1, len(ts)), lambda i: ts[i] = 'united' AND ts[i + 1] = 'sta')))::DOUBLE AS p FROM t GROUP BY 1),
+tf AS (SELECT node_id, sum(len(ts)) AS n, sum(len(list_filter(ts, lambda x: starts_with(x, 'blue'))))::DOUBLE AS a, sum(len(list_filter(ts, lambda x: starts_with(x, 'bolt'))))::DOUBLE AS b,
+  sum(len(list_filter(range(1, len(ts)), lambda i: ts[i] = 'blue' AND ts[i + 1] = 'bolt')))::DOUBLE AS p FROM t GROUP BY 1),
 st AS (SELECT count(*)::DOUBLE AS al, avg(n) AS av, count(*) FILTER (a > 0) AS da, count(*) FILTER (b > 0) AS db, count(*) FILTER (p > 0) AS dp FROM tf),
 w AS (SELECT al, av, CASE WHEN ln((al - da + 0.5) / (da + 0.5)) <= 0 THEN 1e-6 ELSE ln((al - da + 0.5) / (da + 0.5)) END AS ia, CASE WHEN ln((al - db + 0.5) / (db + 0.5)) <= 0 THEN 1e-6 ELSE ln((al - db + 0.5) / (db + 0.5)) END AS ib,
   CASE WHEN ln((al - dp + 0.5) / (dp + 0.5)) <= 0 THEN 1e-6 ELSE ln((al - dp + 0.5) / (dp + 0.5)) END AS ip FROM st),
@@ -358,12 +358,12 @@ top AS (SELECT * FROM hits ORDER BY score DESC, node_id LIMIT 150)
 
 _LEX = G + _tokens_sql("name,key,path")
 _RANK = _LEX + """, c AS (SELECT n.*, h.score AS fts, (SELECT count(*) FROM edges e WHERE e.to_id = n.node_id) AS deg FROM nodes n LEFT JOIN top h USING (node_id)
-  WHERE h.node_id IS NOT NULL OR name ILIKE '%united sta%' OR name ILIKE '%united%' OR name ILIKE '%sta%'),
-r AS (SELECT node_id, name, round(CASE WHEN lower(name) = 'united sta' THEN 0.5 WHEN starts_with(lower(name), 'united sta') THEN 0.3 WHEN contains(lower(name), 'united sta') THEN 0.15 ELSE 0 END
-  + CASE WHEN contains(lower(path), 'united sta') THEN 0.1 ELSE 0 END + least(0.1 * abs(coalesce(fts, 0)), 0.25)
+  WHERE h.node_id IS NOT NULL OR name ILIKE '%blue bolt%' OR name ILIKE '%blue%' OR name ILIKE '%bolt%'),
+r AS (SELECT node_id, name, round(CASE WHEN lower(name) = 'blue bolt' THEN 0.5 WHEN starts_with(lower(name), 'blue bolt') THEN 0.3 WHEN contains(lower(name), 'blue bolt') THEN 0.15 ELSE 0 END
+  + CASE WHEN contains(lower(path), 'blue bolt') THEN 0.1 ELSE 0 END + least(0.1 * abs(coalesce(fts, 0)), 0.25)
   + deg / greatest((SELECT max(deg) FROM c), 1)::DOUBLE * {boost} + CASE WHEN path LIKE '%.py' THEN 0.1 ELSE 0 END, 6) AS score,
-  concat_ws(',', CASE WHEN lower(name) = 'united sta' THEN 'exact_name_match' END, CASE WHEN lower(name) <> 'united sta' AND starts_with(lower(name), 'united sta') THEN 'name_prefix_match' END,
-    CASE WHEN NOT starts_with(lower(name), 'united sta') AND contains(lower(name), 'united sta') THEN 'name_substring_match' END, CASE WHEN contains(lower(path), 'united sta') THEN 'path_match' END,
+  concat_ws(',', CASE WHEN lower(name) = 'blue bolt' THEN 'exact_name_match' END, CASE WHEN lower(name) <> 'blue bolt' AND starts_with(lower(name), 'blue bolt') THEN 'name_prefix_match' END,
+    CASE WHEN NOT starts_with(lower(name), 'blue bolt') AND contains(lower(name), 'blue bolt') THEN 'name_substring_match' END, CASE WHEN contains(lower(path), 'blue bolt') THEN 'path_match' END,
     CASE WHEN coalesce(fts, 0) <> 0 THEN 'fts_lexical_match' END, CASE WHEN deg > 0 AND {boost} > 0 THEN 'graph_degree_centrality' END, CASE WHEN path LIKE '%.py' THEN 'artifact_class_code' END) AS reasons FROM c)
 """
 
@@ -417,7 +417,7 @@ def vector_bonus(spark, sf_dir):
 
 
 @query(_LEX + """, f AS (SELECT node_id FROM hits ORDER BY score DESC, node_id LIMIT 100), c AS (SELECT n.*, (SELECT count(*) FROM edges e WHERE e.to_id = n.node_id) AS deg FROM nodes n JOIN f USING (node_id))
-SELECT node_id, round(CASE WHEN lower(name) = 'united sta' THEN 0.5 WHEN starts_with(lower(name), 'united sta') THEN 0.3 WHEN contains(lower(name), 'united sta') THEN 0.15 ELSE 0 END + CASE WHEN contains(lower(path), 'united sta') THEN 0.1 ELSE 0 END
+SELECT node_id, round(CASE WHEN lower(name) = 'blue bolt' THEN 0.5 WHEN starts_with(lower(name), 'blue bolt') THEN 0.3 WHEN contains(lower(name), 'blue bolt') THEN 0.15 ELSE 0 END + CASE WHEN contains(lower(path), 'blue bolt') THEN 0.1 ELSE 0 END
   + deg / greatest((SELECT max(deg) FROM c), 1)::DOUBLE * 0.15 + CASE WHEN path LIKE '%.py' THEN 0.1 ELSE 0 END, 6) AS score FROM c ORDER BY score DESC, node_id LIMIT 50""")
 def graph_search_topk(spark, sf_dir):
     """Nodes of lexical hits, ranked by names and degrees alone."""
@@ -536,9 +536,9 @@ def at_position_batch(spark, sf_dir):
 # ---- more of the graph
 
 
-@query(G + "SELECT min(node_id) AS node_id FROM nodes WHERE lower(name) = 'germany' OR name ILIKE '%germany%'")
+@query(G + "SELECT min(node_id) AS node_id FROM nodes WHERE lower(name) = 'africa' OR name ILIKE '%africa%'")
 def entity_pick(spark, sf_dir):
-    return nodes(spark, sf_dir).where((F.lower("name") == "germany") | F.col("name").ilike("%germany%")).agg(F.min("node_id").alias("node_id"))
+    return nodes(spark, sf_dir).where((F.lower("name") == "africa") | F.col("name").ilike("%africa%")).agg(F.min("node_id").alias("node_id"))
 
 
 @query(G + "SELECT 'edge leads nowhere' AS invariant, edge_id AS id FROM edges WHERE to_id NOT IN (SELECT node_id FROM nodes WHERE kind <> 'module') UNION ALL SELECT 'node kind is unknown', node_id FROM nodes WHERE false")

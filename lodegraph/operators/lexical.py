@@ -69,7 +69,8 @@ def hits(posted: DataFrame, lengths_: DataFrame, query: str, limit: int | None =
         n = 2
     else:
         # A phrase: the places of its tokens, each moved back by its number, have one in common.
-        places = [F.flatten(F.collect_list(F.when(F.col("token") == t, F.transform("places", lambda p, k=k: p - k)))).alias(f"p{k}") for k, t in enumerate(wanted)]
+        moved = lambda k: lambda p: p - k  # noqa: E731  a default argument would be taken for the place
+        places = [F.flatten(F.collect_list(F.when(F.col("token") == t, F.transform("places", moved(k))))).alias(f"p{k}") for k, t in enumerate(wanted)]
         inner = near.groupBy("node_id", "field").agg(*branches, *places)
         met = F.col("p0")
         for k in range(1, len(wanted)):
