@@ -55,8 +55,11 @@ def hybrid(nodes: DataFrame, in_degree: DataFrame, hits: DataFrame | None, query
     the greatest score, nothing becomes a candidate by it."""
     found = channels(nodes, hits, query).join(in_degree, "node_id", "left").withColumn("in_degree", F.coalesce("in_degree", F.lit(0)))
     ranked = search.fused(found, query, boost)
-    if vectors is None:
-        return ranked
+    return ranked if vectors is None else with_vectors(ranked, vectors)
+
+
+def with_vectors(ranked: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Adds the vector bonus to ranked nodes."""
     top = vectors.agg(F.greatest(F.max("score"), F.lit(EPSILON)).alias("__top"))
     bonus = F.coalesce(F.col("__v") / F.col("__top") * VECTOR_BONUS, F.lit(0.0))
     with_scores = ranked.join(vectors.select("node_id", F.col("score").alias("__v")), "node_id", "left").join(F.broadcast(top), how="left")

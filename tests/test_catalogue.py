@@ -48,3 +48,12 @@ def test_search_of_every_hundredth_vector(spark, block):
     assert {r.query_id for r in got} == {r.query_id for r in queries.collect()} and len(got) == 20 * queries.count()
     of = vectors.where("vec_id = 100").first().embedding
     assert sorted(r.vec_id for r in got if r.query_id == 100) == sorted(r.vec_id for r in search.nearest(vectors, [float(x) for x in of], 20).collect())
+
+
+def test_vector_bonus_where_scores_tie(spark, duck):
+    """The score is rounded before the bonus and the sum after it; one rounding alone gives 0.28904 for 0.28903 here."""
+    sf, con = "/root/testdata/sf0.01", duckdb.connect()
+    for t in TABLES:
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    got = catalogue.vector_bonus(spark, sf).select("node_id", "name", "score").collect()
+    assert sorted(map(tuple, got)) == sorted(con.sql(f"SELECT node_id, name, score FROM ({catalogue.SQL['vector_bonus']})").fetchall())
