@@ -14,9 +14,11 @@ thins less; the results are the same). A bucket of few nodes gives its pairs; th
 for each shingle, have no greater Hamming distance than a link's difference, and are verified by their whole sets.
 
 Groups of near copies would make all pairs of a bucket. Instead a larger bucket's members meet only its least member, the
-leader, and their symmetric differences from it are computed exactly. Links between members follow from these:
-differences are taken to a centre (the leader with the majority's differences applied); members close enough to the
-centre are a star around the closest; any other link needs a common token in the differences' rarest tokens (prefix
+leader, and their symmetric differences from it are computed exactly. The Jaccard distance is a metric and linked sets are
+no farther apart than e = 1 - num / den, so both are within 2.5 e of the leader or both are beyond 1.5 e. Sets beyond, which
+mostly share parts of a template with many leaders, go once each, whatever the number of these, to a join by their rarest tokens
+(_apart_links). Links between members within 2.5 e follow from the differences: these are taken to a centre (the leader
+with the majority's differences applied); members close enough to the centre are a star around the closest; any other link needs a common token in the differences' rarest tokens (prefix
 filter with the exact overlap that the link requires), and the candidates from that are verified exactly. No link
 between different sets is lost, and a group of g copies costs about g.
 
@@ -36,6 +38,7 @@ from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -211,9 +214,8 @@ def _shared_bits(nodes: DataFrame, scratch: Scratch) -> np.ndarray:
     return bit_field(again, scratch, "bitmap", BITMAP)
 
 
-def _shared_keys(nodes: DataFrame, bits: np.ndarray) -> DataFrame:
+def _shared_keys(nodes: DataFrame, held: Broadcast) -> DataFrame:
     """(v, band, need, key): the keys whose bit is set, of bands in which a set has as many of these as any link has."""
-    held = nodes.sparkSession.sparkContext.broadcast(bits)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = held.value
@@ -304,9 +306,15 @@ def _sets(df: DataFrame, k: int) -> DataFrame:
     return map_batches(df, work, "v long, tokens array<long>")
 
 
-def _differences(df: DataFrame) -> DataFrame:
+def _beyond(halves: int, num: int, den: int) -> str:
+    """Whether a set's Jaccard distance from its leader, d / union, is more than so many halves of a link's greatest."""
+    return f"4 * {den} * d > {halves * (den - num)} * (n + n_leader + d)"
+
+
+def _differences(df: DataFrame, num: int, den: int) -> DataFrame:
     """(leader, v, n, n_leader, d, delta) of rows (leader, v, m, tokens, own): own are the leader's tokens, d the
-    difference's size; the difference itself only where the leader has other sets that it serves to compare with."""
+    difference's size; the difference itself only where the leader has other sets that it serves to compare with, and
+    the set is not beyond comparison."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -315,17 +323,43 @@ def _differences(df: DataFrame) -> DataFrame:
                 many = [m > 1 for m in part.column(2).to_pylist()]
                 pairs = [(part.column(3)[i].values.to_numpy(zero_copy_only=False), part.column(4)[i].values.to_numpy(zero_copy_only=False)) for i in range(part.num_rows)]
                 found = [np.setxor1d(a, b, assume_unique=True) for a, b in pairs]
+                many = [m and 4 * den * len(x) <= 5 * (den - num) * (len(p) + len(q) + len(x)) for m, x, (p, q) in zip(many, found, pairs, strict=True)]
                 sizes = [pa.array([len(x) for x in y], pa.int64()) for y in (*([p[j] for p in pairs] for j in (0, 1)), found)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *sizes, pa.array([x if keep else None for x, keep in zip(found, many, strict=True)], pa.list_(pa.int64()))], ["leader", "v", "n", "n_leader", "d", "delta"])
 
     return map_batches(df, work, "leader long, v long, n long, n_leader long, d long, delta array<long>")
 
 
+def _apart_links(given: DataFrame, sets: DataFrame, nodes: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """(u, w): links between sets that are both beyond 1.5 times a link's distance from a leader that they share.
+
+    A set comes once, with its tokens, the rarest first. Linked sets have num / den of either one's tokens in common at
+    least, so their first common token is among the first n - ceil(n * num / den) + 1 of both.
+    """
+    beyond = given.where(_beyond(3, num, den)).select("leader", "v")
+    several = beyond.groupBy("leader").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("leader")
+    apart_ = scratch.save(beyond.join(several, "leader").select("v").distinct(), "beyond")
+    tokens = apart_.join(sets, "v").select("v", F.size("tokens").cast("long").alias("n"), F.explode("tokens").alias("token"))
+    tokens = scratch.save(tokens, "tokens")
+    often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    order = "row_number() over (partition by v order by coalesce(often, 1), token)"
+    first = f"r <= n - ceil(n * {num} / {den}) + 1"
+    ranked = tokens.join(often, "token", "left").withColumn("r", F.expr(order)).where(f"often is not null and {first}")
+    ranked = scratch.save(ranked.select("token", "v", "n", (F.col("n") - F.col("r")).alias("after")), "firsts")
+    x, y = (ranked.withColumnsRenamed({"v": k, "n": f"n{k}", "after": f"a{k}"}) for k in ("x", "y"))
+    # From their first common token on, two sets have no more in common than the shorter one has left.
+    left = f"{den + num} * (1 + least(ax, ay)) >= {num} * (nx + ny)"
+    met = x.join(y, "token").where(f"x < y and {num} * greatest(nx, ny) <= {den} * least(nx, ny) and {left}")
+    near = scratch.save(_close(met.select("x", "y").distinct(), nodes, num, den), "near")
+    return _verified(near, sets, num, den)
+
+
 def _links(given: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
     """(u, w): links that connect what the differences from leaders show to be connected."""
     a, b = den + num, den - num  # sets link where a * difference <= b * (size + size)
     near = f"{a} * d <= {b} * (n + n_leader)"
     to_leader = given.where(near).select(F.col("leader").alias("u"), F.col("v").alias("w"))
+    given = given.where(f"not ({_beyond(5, num, den)})")
     groups = given.groupBy("leader").agg(F.count(F.lit(1)).alias("m"), F.sum(F.expr(f"if({near}, 0, 1)")).alias("far"), F.first("n_leader").alias("n"))
     opened = scratch.save(groups.where("m > 1 and far > 0"), "groups")
     members = given.join(opened.select("leader", "m"), "leader").select("leader", "v", "n", "delta", "m")
@@ -368,7 +402,9 @@ def classes(df: DataFrame, row: str = "doc_id", text: str = "text", k: int = 3,
     nodes = every.where("n > 0").groupBy("v").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     nodes = scratch.save(nodes, "nodes")
     scratch.drop("every")
-    keyed = scratch.save(_shared_keys(nodes, _shared_bits(nodes, scratch)), "keyed")
+    held = df.sparkSession.sparkContext.broadcast(_shared_bits(nodes, scratch))
+    keyed = scratch.save(_shared_keys(nodes, held), "keyed")
+    held.destroy()
     buckets = scratch.save(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("leader")).where("c > 1"), "buckets")
     few = keyed.join(buckets.where(f"c <= {FEW}").select("key"), "key").groupBy("key").agg(F.sort_array(F.collect_list("v")).alias("vs"))
     beside = "flatten(transform(vs, (x, i) -> transform(slice(vs, i + 2, size(vs)), y -> struct(x, y))))"
@@ -395,9 +431,10 @@ def classes(df: DataFrame, row: str = "doc_id", text: str = "text", k: int = 3,
     own = sets.select(F.col("v").alias("leader"), F.col("tokens").alias("own"))
     verified = scratch.save(_verified(close, sets, num, den), "verified")
     met = pairs.join(pairs.groupBy("leader").agg(F.count(F.lit(1)).alias("m")), "leader").join(sets, "v").join(own, "leader")
-    given = scratch.save(_differences(met.select("leader", "v", "m", "tokens", "own")), "differences")
+    given = scratch.save(_differences(met.select("leader", "v", "m", "tokens", "own"), num, den), "differences")
+    apart_links = scratch.save(_apart_links(given, sets, nodes, num, den, scratch), "apart")
     scratch.drop("sets", "distinct")
-    links = scratch.save(_links(given, num, den, scratch).unionByName(verified), "links")
+    links = scratch.save(_links(given, num, den, scratch).unionByName(verified).unionByName(apart_links), "links")
     roots = components(links, scratch)
     named = nodes.join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -60,6 +60,7 @@ class Scratch:
         for status in files.listStatus(path):
             if status.getPath().getName() != keep:
                 files.delete(status.getPath(), True)
+        self.spark._jvm.System.gc()  # lets Spark's cleaner free the driver's broadcast tables of what is deleted
         return out
 
     def _delete(self, where: str) -> None:
