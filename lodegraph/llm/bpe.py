@@ -35,18 +35,19 @@ _coders: dict[tuple[str, str], Coder] = {}
 #: What words encode to, as decimal text: kept between a worker's tasks, at some 70 bytes a word.
 _known: dict[tuple[str, str], dict[str, str]] = {}
 
-#: One contraction a step: the least of (rank, place) needs no order but the neighbours'.
+#: One contraction a step. A row knows the id after its own (-1: none): the pair's right row takes its place, the row before learns the
+#: new id, so that no step orders the rows.
 MERGE_SHORT = """
-WITH RECURSIVE state(w, k, id, step) AS (
-    SELECT w, pos, id, 0 FROM letters
+WITH RECURSIVE state(w, k, id, next, step) AS (
+    SELECT w, pos, id, next, 0 FROM letters
   UNION ALL
-    SELECT s.w, CASE WHEN s.k > b.k THEN s.k - 1 ELSE s.k END, CASE WHEN s.k = b.k THEN b.merged ELSE s.id END, s.step + 1
+    SELECT s.w, CASE WHEN s.k > b.k THEN s.k - 1 ELSE s.k END, CASE WHEN s.k = b.k + 1 THEN b.merged ELSE s.id END,
+      CASE WHEN s.k = b.k - 1 THEN b.merged ELSE s.next END, s.step + 1
     FROM state s JOIN (
       SELECT w, best & 255 AS k, best >> 8 AS merged FROM (
         SELECT p.w, min((m.merged::BIGINT << 8) | p.k) AS best
-        FROM (SELECT w, k, id, lead(id) OVER (PARTITION BY w ORDER BY k) AS next FROM state) p
-        JOIN merges m ON m.l = p.id AND m.r = p.next GROUP BY p.w)) b ON b.w = s.w
-    WHERE s.k <> b.k + 1
+        FROM state p JOIN merges m ON m.l = p.id AND m.r = p.next GROUP BY p.w)) b ON b.w = s.w
+    WHERE s.k <> b.k
 )
 SELECT w, string_agg(id::VARCHAR, ' ' ORDER BY k) AS ids
 FROM (SELECT s.* FROM state s JOIN (SELECT w, max(step) AS last FROM state GROUP BY w) l ON l.w = s.w AND l.last = s.step) GROUP BY w
@@ -91,7 +92,10 @@ class Coder:
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         raw = np.frombuffer(b"".join(words), np.uint8)
         starts = np.repeat(np.cumsum(sizes) - sizes, sizes)
-        letters = pa.table({"w": np.repeat(np.arange(len(words), dtype=np.int32), sizes), "pos": (np.arange(len(raw)) - starts).astype(np.int32), "id": self.letter[raw]})
+        ids = self.letter[raw]
+        after = np.concatenate([ids[1:], np.full(1, -1, np.int32)])
+        after[np.cumsum(sizes) - 1] = -1
+        letters = pa.table({"w": np.repeat(np.arange(len(words), dtype=np.int32), sizes), "pos": (np.arange(len(raw)) - starts).astype(np.int32), "id": ids, "next": after})
         self.db.register("letters", letters)
         got = self.db.sql(MERGE_SHORT).to_arrow_table()
         self.db.unregister("letters")
