@@ -16,8 +16,8 @@ for each shingle, have no greater Hamming distance than a link's difference, and
 Groups of near copies would make all pairs of a bucket. Instead a larger bucket's members meet only its least member, the
 leader, and their symmetric differences from it are computed exactly. The Jaccard distance is a metric and linked sets are
 no farther apart than e = 1 - num / den, so both are within 2.5 e of the leader or both are beyond 1.5 e. Sets beyond, which
-mostly share parts of a template with many leaders, go once each, whatever the number of these, to a join by their rarest tokens
-(_apart_links). Links between members within 2.5 e follow from the differences: these are taken to a centre (the leader
+mostly share parts of a template with many leaders, go once each, whatever the number of these, to rounds of leaders by their
+rarest tokens, and what these leave to a join by them (_apart_links). Links between members within 2.5 e follow from the differences: these are taken to a centre (the leader
 with the majority's differences applied); members close enough to the centre are a star around the closest; any other link needs a common token in the differences' rarest tokens (prefix
 filter with the exact overlap that the link requires), and the candidates from that are verified exactly. No link
 between different sets is lost, and a group of g copies costs about g.
@@ -51,6 +51,8 @@ WIDEN = 1.25
 BITMAP = 27
 #: A bucket of no more sets gives its pairs, each refused by sketches or verified; in larger ones all meet the leader.
 FEW = 6
+#: Rounds in which sets far from a leader meet another one, before those still left are joined by their rarest tokens.
+ROUNDS = 6
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _30, _27, _31, _32 = (np.uint64(x) for x in (30, 27, 31, 32))
 
@@ -330,11 +332,22 @@ def _differences(df: DataFrame, num: int, den: int) -> DataFrame:
     return map_batches(df, work, "leader long, v long, n long, n_leader long, d long, delta array<long>")
 
 
+def _compared(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """_differences of pairs (leader, v)."""
+    own = sets.select(F.col("v").alias("leader"), F.col("tokens").alias("own"))
+    met = pairs.join(pairs.groupBy("leader").agg(F.count(F.lit(1)).alias("m")), "leader").join(sets, "v").join(own, "leader")
+    return _differences(met.select("leader", "v", "m", "tokens", "own"), num, den)
+
+
 def _apart_links(given: DataFrame, sets: DataFrame, nodes: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
-    """(u, w): links between sets that are both beyond 1.5 times a link's distance from a leader that they share.
+    """(u, w): links, or what connects as they do, between sets that are both beyond 1.5 times a link's distance from a
+    leader that they share.
 
     A set comes once, with its tokens, the rarest first. Linked sets have num / den of either one's tokens in common at
-    least, so their first common token is among the first n - ceil(n * num / den) + 1 of both.
+    least, so their first common token is among the first n - ceil(n * num / den) + 1 of both. Sets with a token there of
+    which there are more than FEW meet a leader again, in rounds: that with the fewest tokens of its own, which of near copies is
+    the least changed. As before, links are within 2.5 times a link's distance of it or beyond 1.5, and only the sets beyond
+    stay with the token. When few pairs are left, or a round takes few away, the rest is joined by its tokens.
     """
     beyond = given.where(_beyond(3, num, den)).select("leader", "v")
     several = beyond.groupBy("leader").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("leader")
@@ -344,14 +357,31 @@ def _apart_links(given: DataFrame, sets: DataFrame, nodes: DataFrame, num: int,
     often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
     order = "row_number() over (partition by v order by coalesce(often, 1), token)"
     first = f"r <= n - ceil(n * {num} / {den}) + 1"
-    ranked = tokens.join(often, "token", "left").withColumn("r", F.expr(order)).where(f"often is not null and {first}")
-    ranked = scratch.save(ranked.select("token", "v", "n", (F.col("n") - F.col("r")).alias("after")), "firsts")
-    x, y = (ranked.withColumnsRenamed({"v": k, "n": f"n{k}", "after": f"a{k}"}) for k in ("x", "y"))
-    # From their first common token on, two sets have no more in common than the shorter one has left.
+    ranked = tokens.join(often, "token", "left").withColumn("r", F.expr(order)).withColumn("alone", F.expr("count_if(often is null) over (partition by v)"))
+    rest = scratch.save(ranked.where(f"often is not null and {first}").select("token", "v", "n", "alone", (F.col("n") - F.col("r")).alias("after")), "firsts")
+    links, last = [], math.inf
+    for k in range(ROUNDS + 1):
+        # From their first common token on, two sets have no more in common than the shorter one has left, and a token's
+        # least set is the smallest that one of its others may link to.
+        least = rest.groupBy("token").agg(F.min("n").alias("low"))
+        rest = rest.join(least, "token").where(f"{den + num} * (1 + after) >= {num} * (n + greatest(low, ceil(n * {num} / {den})))").drop("low")
+        rest = scratch.save(rest, f"rest{k}")
+        buckets = scratch.save(rest.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min_by("v", F.struct("alone", "v")).alias("leader")), f"tokens{k}")
+        rows, pairs = buckets.agg(F.sum("c"), F.sum(F.expr("c * (c - 1) div 2"))).first()
+        if k == ROUNDS or not rows or pairs <= FEW * rows or pairs > 0.8 * last:
+            break
+        last = pairs
+        large = rest.join(buckets.where(f"c > {FEW}").select("token", "leader"), "token").where("v != leader")
+        compared = scratch.save(large.select("leader", "v").distinct(), f"pairs{k}")
+        given = scratch.save(_compared(compared, sets, num, den), f"differences{k}")
+        links.append(scratch.save(_links(given, num, den, scratch), f"links{k}"))
+        left = large.join(given.where(_beyond(3, num, den)).select("leader", "v"), ["leader", "v"]).select(rest.columns)
+        rest = rest.join(buckets.where(f"c <= {FEW}").select("token"), "token").select(rest.columns).unionByName(left)
+    x, y = (rest.drop("alone").withColumnsRenamed({"v": k, "n": f"n{k}", "after": f"a{k}"}) for k in ("x", "y"))
     left = f"{den + num} * (1 + least(ax, ay)) >= {num} * (nx + ny)"
     met = x.join(y, "token").where(f"x < y and {num} * greatest(nx, ny) <= {den} * least(nx, ny) and {left}")
     near = scratch.save(_close(met.select("x", "y").distinct(), nodes, num, den), "near")
-    return _verified(near, sets, num, den)
+    return reduce(DataFrame.unionByName, links, _verified(near, sets, num, den))
 
 
 def _links(given: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
@@ -428,10 +458,8 @@ def classes(df: DataFrame, row: str = "doc_id", text: str = "text", k: int = 3,
         found = sets.count()
     if found != size:
         raise RuntimeError(f"{found} of {size} sets to compare were fetched")
-    own = sets.select(F.col("v").alias("leader"), F.col("tokens").alias("own"))
     verified = scratch.save(_verified(close, sets, num, den), "verified")
-    met = pairs.join(pairs.groupBy("leader").agg(F.count(F.lit(1)).alias("m")), "leader").join(sets, "v").join(own, "leader")
-    given = scratch.save(_differences(met.select("leader", "v", "m", "tokens", "own"), num, den), "differences")
+    given = scratch.save(_compared(pairs, sets, num, den), "differences")
     apart_links = scratch.save(_apart_links(given, sets, nodes, num, den, scratch), "apart")
     scratch.drop("sets", "distinct")
     links = scratch.save(_links(given, num, den, scratch).unionByName(verified).unionByName(apart_links), "links")

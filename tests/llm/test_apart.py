@@ -2,6 +2,7 @@
 
 import random
 
+from brute_sets import components
 from lodegraph.llm import jaccard
 
 
@@ -24,3 +25,30 @@ def test_sets_far_from_leaders_bring_no_differences_and_lose_no_link(spark, monk
     got = {r.doc_id: r.component_id for r in jaccard.classes(df, k=5, num=80).collect()}
     assert got == {k: k - 10 if k >= 20 else k for k in range(24)}
     assert made["far"] > 20 and made["kept"] == 0
+
+
+def test_near_copies_far_from_their_leader_do_not_make_all_pairs(spark, monkeypatch):
+    rng = random.Random(8)
+    base = [f"b{k}" for k in range(300)]
+
+    def changed(places: int) -> str:
+        out = list(base)
+        for at in rng.sample(range(2, 298), places):
+            out[at] = f"w{rng.randrange(10**9)}"
+        return " ".join(out)
+
+    texts = [changed(k) for k in [2] * 80 + [14] * 80]  # the latter link with nothing, but lead buckets
+    found, save = {}, jaccard.Scratch.save
+
+    def spied(self, df, name):
+        out = save(self, df, name)
+        if name in ("beyond", "near"):
+            found[name] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard.Scratch, "save", spied)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard.classes(df).collect()}
+    roots = components(texts, 3, 90, 100)
+    assert got == {k: roots.index(r) for k, r in enumerate(roots)}
+    assert found["beyond"] > 80 and found["near"] < 100
