@@ -4,7 +4,7 @@ Encoding: a pattern cuts each text into words. A word that is a token is that to
 batch, where of up to SHORT bytes, become token-position rows; a recursive query joins neighbours with the merge table
 and contracts each word's leftmost pair of least rank until no word has a pair. Longer words, whose states of all steps
 would grow with the square of their length, are contracted in the same order by a heap of (rank, place), in n log n steps.
-Words once merged are remembered, up to REMEMBERED a worker. Decoding: ids join the vocabulary, and an ordered aggregation
+Words once merged are remembered, up to REMEMBERED a worker, the older ones going. Decoding: ids join the vocabulary, and an ordered aggregation
 concatenates the tokens' bytes.
 
 Null text counts as empty: no ids, and an empty decoding. Texts of any length are taken whole; one batch holds about
@@ -52,7 +52,7 @@ WITH RECURSIVE state(w, k, id, next, step) AS (
 SELECT w, string_agg(id::VARCHAR, ' ' ORDER BY k) AS ids
 FROM (SELECT s.* FROM state s JOIN (SELECT w, max(step) AS last FROM state GROUP BY w) l ON l.w = s.w AND l.last = s.step) GROUP BY w
 """
-DECODE = "SELECT doc, string_agg(hex, '' ORDER BY pos) AS hex FROM tokens JOIN vocabulary USING (id) GROUP BY doc"
+DECODE = "SELECT doc, array_to_string(list(hex ORDER BY pos), '') AS hex FROM tokens JOIN vocabulary USING (id) GROUP BY doc"
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -124,10 +124,12 @@ class Coder:
 
     def learn(self, texts: list[list[str]]) -> dict[str, str]:
         """What each distinct word of the texts encodes to."""
-        if len(self.known) > REMEMBERED:  # the older half goes
-            for word in list(islice(self.known, REMEMBERED // 2)):
-                del self.known[word]
-        known, ranks = self.known, self.ranks
+        known, ranks, distinct = self.known, self.ranks, set(chain.from_iterable(texts))
+        if len(known) > REMEMBERED:
+            for word in distinct & known.keys():  # to the end: what comes often is met in most batches
+                known[word] = known.pop(word)
+            for word in list(islice(known, len(known) - REMEMBERED + REMEMBERED // 8)):
+                del known[word]
         words: list[str] = []
         raws: list[bytes] = []
         size = 0
@@ -137,7 +139,7 @@ class Coder:
             known.update(zip(map(words.__getitem__, places), ids, strict=True))
             words.clear(), raws.clear()
 
-        for word in set(chain.from_iterable(texts)).difference(known):
+        for word in distinct.difference(known):
             raw = word.encode("utf-8", "surrogatepass")
             if raw in ranks:
                 known[word] = str(ranks[raw])
