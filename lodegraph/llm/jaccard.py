@@ -17,7 +17,9 @@ Groups of near copies would make all pairs of a bucket. Instead a larger bucket'
 leader, and their symmetric differences from it are computed exactly. The Jaccard distance is a metric and linked sets are
 no farther apart than e = 1 - num / den, so both are within 2.5 e of the leader or both are beyond 1.5 e. Sets beyond, which
 mostly share parts of a template with many leaders, go once each, whatever the number of these, to rounds of leaders by their
-rarest tokens, and what these leave to a join by them (_apart_links). Links between members within 2.5 e follow from the differences: these are taken to a centre (the leader
+rarest tokens, and what these leave to a join by them (_apart_links). Links between members within 2.5 e follow from the differences. A group of a bounded
+number of members, whose pairs are no more than its differences' tokens, gives those of its pairs that sizes and distances from the leader
+allow to link, once for all leaders, to sketches and verification. A larger group's differences are taken to a centre (the leader
 with the majority's differences applied); members close enough to the centre are a star around the closest; any other link needs a common token in the differences' rarest tokens (prefix
 filter with the exact overlap that the link requires), and the candidates from that are verified exactly. No link
 between different sets is lost, and a group of g copies costs about g.
@@ -51,6 +53,8 @@ WIDEN = 1.25
 BITMAP = 27
 #: A bucket of no more sets gives its pairs, each refused by sketches or verified; in larger ones all meet the leader.
 FEW = 6
+#: A leader's group of no more sets gives its pairs, where these are no more than the tokens of its differences.
+SOME = 256
 #: Rounds in which sets far from a leader meet another one, before those still left are joined by their rarest tokens.
 ROUNDS = 6
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -339,9 +343,9 @@ def _compared(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return _differences(met.select("leader", "v", "m", "tokens", "own"), num, den)
 
 
-def _apart_links(given: DataFrame, sets: DataFrame, nodes: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
+def _apart_links(given: DataFrame, sets: DataFrame, nodes: DataFrame, num: int, den: int, scratch: Scratch) -> tuple[DataFrame, list[DataFrame]]:
     """(u, w): links, or what connects as they do, between sets that are both beyond 1.5 times a link's distance from a
-    leader that they share.
+    leader that they share; and tables (x, y) of pairs that are still to be verified.
 
     A set comes once, with its tokens, the rarest first. Linked sets have num / den of either one's tokens in common at
     least, so their first common token is among the first n - ceil(n * num / den) + 1 of both. Sets with a token there of
@@ -359,7 +363,7 @@ def _apart_links(given: DataFrame, sets: DataFrame, nodes: DataFrame, num: int,
     first = f"r <= n - ceil(n * {num} / {den}) + 1"
     ranked = tokens.join(often, "token", "left").withColumn("r", F.expr(order)).withColumn("alone", F.expr("count_if(often is null) over (partition by v)"))
     rest = scratch.save(ranked.where(f"often is not null and {first}").select("token", "v", "n", "alone", (F.col("n") - F.col("r")).alias("after")), "firsts")
-    links, last = [], math.inf
+    links, beside, last = [], [], math.inf
     for k in range(ROUNDS + 1):
         # From their first common token on, two sets have no more in common than the shorter one has left, and a token's
         # least set is the smallest that one of its others may link to.
@@ -374,24 +378,36 @@ def _apart_links(given: DataFrame, sets: DataFrame, nodes: DataFrame, num: int,
         large = rest.join(buckets.where(f"c > {FEW}").select("token", "leader"), "token").where("v != leader")
         compared = scratch.save(large.select("leader", "v").distinct(), f"pairs{k}")
         given = scratch.save(_compared(compared, sets, num, den), f"differences{k}")
-        links.append(scratch.save(_links(given, num, den, scratch), f"links{k}"))
+        found, between = _links(given, num, den, scratch)
+        links.append(scratch.save(found, f"links{k}"))
+        beside.append(scratch.save(between, f"between{k}"))
         left = large.join(given.where(_beyond(3, num, den)).select("leader", "v"), ["leader", "v"]).select(rest.columns)
         rest = rest.join(buckets.where(f"c <= {FEW}").select("token"), "token").select(rest.columns).unionByName(left)
     x, y = (rest.drop("alone").withColumnsRenamed({"v": k, "n": f"n{k}", "after": f"a{k}"}) for k in ("x", "y"))
     left = f"{den + num} * (1 + least(ax, ay)) >= {num} * (nx + ny)"
     met = x.join(y, "token").where(f"x < y and {num} * greatest(nx, ny) <= {den} * least(nx, ny) and {left}")
     near = scratch.save(_close(met.select("x", "y").distinct(), nodes, num, den), "near")
-    return reduce(DataFrame.unionByName, links, _verified(near, sets, num, den))
+    return reduce(DataFrame.unionByName, links, _verified(near, sets, num, den)), beside
 
 
-def _links(given: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
-    """(u, w): links that connect what the differences from leaders show to be connected."""
+def _links(given: DataFrame, num: int, den: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(u, w): links that connect what the differences from leaders show to be connected; and (x, y), pairs of smaller groups
+    that are still to be verified."""
     a, b = den + num, den - num  # sets link where a * difference <= b * (size + size)
     near = f"{a} * d <= {b} * (n + n_leader)"
     to_leader = given.where(near).select(F.col("leader").alias("u"), F.col("v").alias("w"))
     given = given.where(f"not ({_beyond(5, num, den)})")
-    groups = given.groupBy("leader").agg(F.count(F.lit(1)).alias("m"), F.sum(F.expr(f"if({near}, 0, 1)")).alias("far"), F.first("n_leader").alias("n"))
-    opened = scratch.save(groups.where("m > 1 and far > 0"), "groups")
+    groups = given.groupBy("leader").agg(F.count(F.lit(1)).alias("m"), F.sum(F.expr(f"if({near}, 0, 1)")).alias("far"), F.sum("d").alias("t"), F.first("n_leader").alias("n"))
+    # Of two sets near the leader nothing is left to find; the other pairs are m * (m - 1) / 2 less those.
+    smaller = F.expr(f"m <= {SOME} and m * (m - 1) - (m - far) * (m - far - 1) <= 2 * t")
+    opened = scratch.save(groups.where("m > 1 and far > 0").withColumn("smaller", smaller), "groups")
+    paired = given.withColumn("near", F.expr(near)).join(opened.where("smaller").select("leader"), "leader").select("leader", "v", "n", "d", "near")
+    x, y = (paired.withColumnsRenamed({"v": k, "n": f"n{k}", "d": f"d{k}", "near": f"near{k}"}) for k in ("x", "y"))
+    met = x.join(y, "leader").where(f"x < y and not (nearx and neary) and {num} * greatest(nx, ny) <= {den} * least(nx, ny) and {a} * abs(dx - dy) <= {b} * (nx + ny)")
+    between = met.select("x", "y").distinct()
+    opened = opened.where("not smaller")
+    if opened.isEmpty():
+        return to_leader, between
     members = given.join(opened.select("leader", "m"), "leader").select("leader", "v", "n", "delta", "m")
     members = members.unionByName(opened.select("leader", F.col("leader").alias("v"), "n", F.array().cast("array<bigint>").alias("delta"), "m"))
     counts = members.select("leader", "m", F.explode("delta").alias("token")).groupBy("leader", "token", "m").agg(F.count(F.lit(1)).alias("c"))
@@ -405,8 +421,9 @@ def _links(given: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
     to_hub = placed.where("c + low <= 0 and v != hub").select(F.col("hub").alias("u"), F.col("v").alias("w"))
     tokens = placed.select("leader", "v", "n", "d", "c", "low", F.explode("delta").alias("token"))
     often = tokens.groupBy("leader", "token").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
-    order = "row_number() over (partition by leader, v order by coalesce(often, 1), token)"
-    ranked = tokens.join(often, ["leader", "token"], "left").withColumn("r", F.expr(order)).where("often is not null")
+    # Tokens of one set alone, the rarest, come before those of several, and are not joined.
+    order = "d - count(1) over (partition by leader, v) + row_number() over (partition by leader, v order by often, token)"
+    ranked = tokens.join(often, ["leader", "token"]).withColumn("r", F.expr(order))
     far_need = f"greatest(1, ceil((c - {b} * floor(n * {den} / {num})) / {a}))"
     near_need = f"greatest(1, ceil((c + greatest(c, 1 - low)) / {2 * a}))"
     ranked = scratch.save(ranked.select("leader", "token", "v", "n", "c", (F.col("d") - F.col("r")).alias("after"), "d", F.expr(f"c + low > 0 and r <= d - {far_need} + 1").alias("far"), F.expr(f"r <= d - {near_need} + 1").alias("near")).where("far or near"), "prefixes")
@@ -419,7 +436,7 @@ def _links(given: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
     arrays = centred.select("leader", F.col("v").alias("x"), F.col("delta").alias("dx"), F.col("n").alias("nx"))
     others = centred.select("leader", F.col("v").alias("y"), F.col("delta").alias("dy"), F.col("n").alias("ny"))
     verified = met.join(arrays, ["leader", "x"]).join(others, ["leader", "y"]).where(f"{a} * (size(dx) + size(dy) - 2 * size(array_intersect(dx, dy))) <= {b} * (nx + ny)")
-    return to_leader.unionByName(to_hub).unionByName(verified.select(F.col("x").alias("u"), F.col("y").alias("w")))
+    return to_leader.unionByName(to_hub).unionByName(verified.select(F.col("x").alias("u"), F.col("y").alias("w"))), between
 
 
 def classes(df: DataFrame, row: str = "doc_id", text: str = "text", k: int = 3, num: int = 90, den: int = 100, mark: Column | None = None) -> DataFrame:
@@ -460,9 +477,13 @@ def classes(df: DataFrame, row: str = "doc_id", text: str = "text", k: int = 3,
         raise RuntimeError(f"{found} of {size} sets to compare were fetched")
     verified = scratch.save(_verified(close, sets, num, den), "verified")
     given = scratch.save(_compared(pairs, sets, num, den), "differences")
-    apart_links = scratch.save(_apart_links(given, sets, nodes, num, den, scratch), "apart")
+    apart_links, beside = _apart_links(given, sets, nodes, num, den, scratch)
+    apart_links = scratch.save(apart_links, "apart")
+    found, between = _links(given, num, den, scratch)
+    between = scratch.save(reduce(DataFrame.unionByName, beside, between).distinct(), "between")
+    may = scratch.save(_close(between, nodes, num, den), "may")
+    links = scratch.save(reduce(DataFrame.unionByName, [_verified(may, sets, num, den), verified, apart_links], found), "links")
     scratch.drop("sets", "distinct")
-    links = scratch.save(_links(given, num, den, scratch).unionByName(verified).unionByName(apart_links), "links")
     roots = components(links, scratch)
     named = nodes.join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))

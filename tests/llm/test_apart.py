@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from brute_sets import components
 from lodegraph.llm import jaccard
 
@@ -52,3 +53,38 @@ def test_near_copies_far_from_their_leader_do_not_make_all_pairs(spark, monkeypa
     roots = components(texts, 3, 90, 100)
     assert got == {k: roots.index(r) for k, r in enumerate(roots)}
     assert found["beyond"] > 80 and found["near"] < 100
+
+
+@pytest.mark.parametrize("some", [jaccard.SOME, 3])
+def test_groups_of_fewer_pairs_than_tokens_give_their_pairs(spark, monkeypatch, some):
+    rng = random.Random(11)
+    base = [f"b{k}" for k in range(300)]
+
+    def changed(words: list[str], places: int) -> list[str]:
+        out = list(words)
+        for at in rng.sample(range(2, 298), places):
+            out[at] = f"w{rng.randrange(10**9)}"
+        return out
+
+    texts = [changed(base, 5) for _ in range(30)]  # within 2.5 times a link's distance of each other, and not linked
+    texts = [" ".join(t) for t in texts + [changed(t, 2) for t in texts[10:18]]]
+    made, save = {"tokens": 0}, jaccard.Scratch.save
+
+    def spied(self, df, name):
+        out = save(self, df, name)
+        if name == "centred":
+            made["tokens"] += out.groupBy().sum("d").first()[0] or 0
+        elif name == "between":
+            made[name], made["distinct"] = out.count(), out.distinct().count()
+        return out
+
+    monkeypatch.setattr(jaccard, "SOME", some)
+    monkeypatch.setattr(jaccard.Scratch, "save", spied)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard.classes(df).collect()}
+    roots = components(texts, 3, 90, 100)
+    assert got == {k: roots.index(r) for k, r in enumerate(roots)} and len(set(got.values())) == 30
+    if some == 3:  # the same by tokens
+        assert made["tokens"] > 500
+    else:
+        assert not made["tokens"] and 0 < made["between"] == made["distinct"] <= 38 * 37 // 2
