@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import itertools
 import re
 import tempfile
 import uuid
@@ -26,6 +27,28 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Written tables after which the driver's JVM gives memory back.
+RELIEF = 12
+_saves = itertools.count(1)
+
+
+def relieve(spark: SparkSession) -> str | None:
+    """Collects the driver's garbage, which lets Spark's cleaner free broadcast tables of what is deleted, and returns to the
+    machine what the JVM's compilers and buffers have freed, which else stays with the process. What the JVM says of it; a
+    JVM without that command only collects."""
+    jvm, new = spark._jvm, spark.sparkContext._gateway.new_array
+    jvm.System.gc()
+    try:
+        named = jvm.java.lang.Class.forName
+        kinds, given = new(jvm.java.lang.Class, 4), new(jvm.java.lang.Object, 4)
+        for k, kind in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+            kinds[k] = named(kind)
+        given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        return named("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), given)
+    except Exception:  # noqa: BLE001  another JVM or C library
+        return None
+
+
 class Scratch:
     """Written tables that cut lineage: a lost executor rereads files instead of recomputing everything before them.
 
@@ -47,6 +70,8 @@ class Scratch:
             df.write.mode("overwrite").parquet(path)
         finally:
             self.spark.conf.unset(CLEANUP) if before is None else self.spark.conf.set(CLEANUP, before)
+        if next(_saves) % RELIEF == 0:
+            relieve(self.spark)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
@@ -60,7 +85,7 @@ class Scratch:
         for status in files.listStatus(path):
             if status.getPath().getName() != keep:
                 files.delete(status.getPath(), True)
-        self.spark._jvm.System.gc()  # lets Spark's cleaner free the driver's broadcast tables of what is deleted
+        relieve(self.spark)
         return out
 
     def _delete(self, where: str) -> None:
