@@ -6,9 +6,12 @@ import re
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from lodegraph.functions.text import redact_preview
 from lodegraph.scratch import Scratch
@@ -179,23 +182,125 @@ def nearest(vectors: DataFrame, query: list[float], k: int, key: str = "vec_id",
     return scored.orderBy(F.desc("score"), key).limit(k)
 
 
-def nearest_batch(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", block: int = 256) -> DataFrame:
+#: Queries that are searched for in one pass over the vectors; vectors of a task of it; vectors whose scores are held at once.
+BLOCK, TASK_VECTORS, TILE = 4096, 100_000, 512
+#: More than products of matrices differ from sums in order; norms beyond which nothing is said of that.
+MARGIN, TINY, HUGE = 1e-9, 1e-100, 1e100
+
+
+def nearest_batch(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
     """Exact: (query_id, key, score), k rows for each of queries (query_id, query).
 
-    About `block` queries at a time are broadcast and their results written, at any number of queries; the places in a block
-    are cut before the shuffle. Vectors of another dimension than the query's don't take part.
+    About `block` queries at a time go to all tasks and their results are written, at any number of queries. A task holds the
+    k best of each query among its vectors: products of matrices refuse what can't be among them, the others are scored as
+    `cosine` does. Vectors of another dimension than the query's don't take part.
     """
-    scratch = Scratch(vectors.sparkSession)
+    spark = vectors.sparkSession
+    scratch = Scratch(spark)
+    ship(spark)
     queries = scratch.save(queries.select("query_id", "query"), "queries")
     blocks, parts = max(1, -(-queries.count() // block)), []
+    spread = vectors.select(key, vector).repartition(max(spark.sparkContext.defaultParallelism, vectors.count() // TASK_VECTORS))
+    schema = StructType([StructField("at", LongType()), StructField(key, vectors.schema[key].dataType), StructField("score", DoubleType())])
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
     for b in range(blocks):
-        asked = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        scored = vectors.select(key, vector).join(F.broadcast(asked), F.size(vector) == F.size("query")).select("query_id", key, cosine(F.col(vector), F.col("query")).alias("score"))
+        asked = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toArrow()
+        names = spark.createDataFrame(pa.table({"at": pa.array(range(asked.num_rows), pa.int64()), "query_id": asked["query_id"]}))
+        given = spark.sparkContext.broadcast(_by_size(asked["query"]))
+        scored = spread.mapInArrow(_best_of(given, k), schema).join(F.broadcast(names), "at").select("query_id", key, "score")
         parts.append(scratch.save(scored.withColumn("__r", F.row_number().over(best)).where(F.col("__r") <= k).drop("__r"), f"block{b}"))
+        given.destroy()
     return scratch.finish(reduce(DataFrame.unionByName, parts))
 
 
+def _by_size(lists: pa.ChunkedArray | pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each length of vectors: their places, their numbers (NaN where null), and whether a number is null."""
+    whole = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    whole = pa.concat_arrays(whole.chunks) if isinstance(whole, pa.ChunkedArray) else whole
+    sizes = pc.fill_null(pc.list_value_length(whole), -1).to_numpy(zero_copy_only=False)
+    out = {}
+    for n in np.unique(sizes[sizes >= 0]).tolist():
+        at = np.flatnonzero(sizes == n)
+        flat = whole.take(pa.array(at)).flatten()
+        numbers = pc.cast(flat, pa.float64()).to_numpy(zero_copy_only=False).reshape(len(at), n)
+        out[n] = at, numbers, flat.is_null().to_numpy(zero_copy_only=False).reshape(len(at), n).any(axis=1)
+    return out
+
+
+def _norms(rows: np.ndarray) -> np.ndarray:
+    """Square roots of sums in order, as the engine adds."""
+    total = np.zeros(len(rows))
+    with np.errstate(all="ignore"):
+        for d in range(rows.shape[1]):
+            total = total + rows[:, d] * rows[:, d]
+    return np.sqrt(total)
+
+
+def _best_of(given, k: int):
+    """A task's k best (at, key, score) of each query: by score, NaN first and null last, then by key."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = {n: (at, q, bad, _norms(np.where(bad[:, None], 0.0, q))) for n, (at, q, bad) in given.value.items()}
+        held = {n: (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, object)) for n in asked}
+        least = {n: np.full(len(x[0]), -np.inf) for n, x in asked.items()}
+        schema = None
+        with np.errstate(all="ignore"):
+            for batch in batches:
+                schema = schema or pa.schema([pa.field("at", pa.int64()), batch.schema.field(0), pa.field("score", pa.float64())])
+                keys = batch.column(0)
+                own = keys.to_numpy(zero_copy_only=False) if pa.types.is_integer(keys.type) and not keys.null_count else np.array([*keys.to_pylist(), None], object)[:-1]
+                for n, (places, numbers, bad) in _by_size(batch.column(1)).items():
+                    for low in range(0, len(places) if n in asked else 0, TILE):
+                        cut = slice(low, low + TILE)
+                        q, score, rows = _candidates(numbers[cut], bad[cut], *asked[n][1:], least[n], k)
+                        q, score, mine = (np.concatenate(x) for x in zip(held[n], (q, score, own[places[cut]][rows]), strict=True))
+                        held[n], least[n] = _first(q, score, mine, k, len(asked[n][0]))
+        for n, (q, score, mine) in held.items():
+            if len(q):
+                shown = pa.array([None if x == -3 else float("nan") if x == 3 else x for x in score.tolist()], pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(asked[n][0][q], pa.int64()), pa.array(mine.tolist(), schema.field(1).type), shown], schema=schema)
+
+    return work
+
+
+def _candidates(rows: np.ndarray, bad: np.ndarray, asked: np.ndarray, bad_asked: np.ndarray, norms_asked: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, score, row) of the pairs that can be among the k best; scores of NaN are 3, null ones -3."""
+    norms = _norms(np.where(bad[:, None], 0.0, rows))
+    near = (rows @ asked.T) / np.where(norms == 0, 1.0, norms)[:, None] / np.where(norms_asked == 0, 1.0, norms_asked)
+    odd = lambda held, own: held | ~((own == 0) | ((own > TINY) & (own < HUGE)))
+    near[odd(bad, norms)], near[:, odd(bad_asked, norms_asked)] = np.nan, np.nan
+    may = ~(near < least - MARGIN)
+    if len(rows) > k and np.count_nonzero(may) > 4 * k * len(asked):
+        tops = np.where(np.isnan(near), -np.inf, near)
+        may &= ~(near < np.partition(tops, len(rows) - k, axis=0)[len(rows) - k] - 2 * MARGIN)
+    row, q = np.nonzero(may)
+    dot = np.zeros(len(row))
+    for d in range(rows.shape[1]):
+        dot = dot + rows[row, d] * asked[q, d]
+    score = dot / (norms[row] * norms_asked[q])
+    score[np.isnan(score)] = 3.0
+    score[bad[row] | bad_asked[q]] = -3.0
+    score[((norms[row] == 0) & ~bad[row]) | ((norms_asked[q] == 0) & ~bad_asked[q])] = 0.0
+    return q, score, row
+
+
+def _first(q: np.ndarray, score: np.ndarray, keys: np.ndarray, k: int, n: int) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+    """The k best of each query, and the score that a further one must have at least."""
+    rank = keys
+    if keys.dtype == object:
+        order = {x: i for i, x in enumerate(sorted(set(keys.tolist()), key=lambda x: (x is not None, x if x is not None else 0)))}
+        rank = np.array([order[x] for x in keys.tolist()], np.int64)
+    order = np.lexsort((rank, -score, q))
+    sorted_ = q[order]
+    new = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]]) if len(q) else np.zeros(0, np.int64)
+    place = np.arange(len(q)) - np.repeat(new, np.diff(np.r_[new, len(q)]))
+    least = np.full(n, -np.inf)
+    last = order[place == k - 1]
+    least[q[last]] = score[last]
+    stay = order[place < k]
+    return (q[stay], score[stay], keys[stay]), least
+
+
 def hashed_embedding(text: Column, dimension: int) -> Column:
     """Words into buckets by digest, with the sign of a further byte; unit length, or zeros where all cancel or none is."""
     number = lambda d, at, n: F.conv(F.substring(d, at, n), 16, 10).cast("long")
