@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodegraph.model import KEYS, TABLES, TRANSITIVE_KINDS, known_kinds, shaped
-from lodegraph.operators import lexical, store
+from lodegraph.operators import graph, lexical, store
 
 FACTS = ("nodes", "edges", "unresolved", "skips", "diagnostics")
 
@@ -301,22 +301,23 @@ def transact(held: store.Store, change: Callable[[Transaction], None], attempts:
                 raise
 
 
-def invariants(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def invariants(nodes: DataFrame, edges: DataFrame, astray: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(invariant, id) of what breaks a well-formed graph: ids that are no digests, unknown kinds, edges with a missing end,
     edges from a node to itself by containment, nodes in two containers of one root, containers in a cycle (within
-    the depth a tree of these nodes can have), ranges that end before they start, files under two nodes."""
+    the depth a tree of these nodes can have), ranges that end before they start, files under two nodes. `astray`: the edges
+    (edge_id) from and to missing nodes, where the caller has found them already."""
     from lodegraph.model import EDGE_KINDS, NODE_KINDS
 
     def broken(rows: DataFrame, name: str, key: str) -> DataFrame:
         return rows.select(F.lit(name).alias("invariant"), F.col(key).alias("id"))
 
-    ids = nodes.select("node_id")
+    nowhere = astray or graph.astray(nodes, edges)
     contained = edges.where("kind = 'contains'").select("from_id", "to_id").distinct()
     parts = [
         broken(nodes.where(~F.col("node_id").rlike("^[0-9a-f]{64}$")), "node id is no digest", "node_id"),
         broken(edges.where(~F.col("edge_id").rlike("^[0-9a-f]{64}$")), "edge id is no digest", "edge_id"),
         broken(nodes.where(~F.col("kind").isin(*NODE_KINDS)), "node kind is unknown", "node_id").unionByName(broken(edges.where(~F.col("kind").isin(*EDGE_KINDS)), "edge kind is unknown", "edge_id")),
-        broken(edges.join(ids, F.col("from_id") == F.col("node_id"), "left_anti"), "edge leads from nowhere", "edge_id").unionByName(broken(edges.join(ids, F.col("to_id") == F.col("node_id"), "left_anti"), "edge leads nowhere", "edge_id")),
+        broken(nowhere[0], "edge leads from nowhere", "edge_id").unionByName(broken(nowhere[1], "edge leads nowhere", "edge_id")),
         broken(contained.groupBy("to_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "node has two containers", "to_id"),
         broken(nodes.where(F.col("kind").isin("file", "document")).groupBy("root", "path").agg(F.count(F.lit(1)).alias("c"), F.min("node_id").alias("id")).where("c > 1"), "file has two nodes", "id"),
     ]

@@ -14,6 +14,23 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("e.node_id").agg(F.sum("e.i").alias("in_degree"), F.sum("e.o").alias("out_degree"))
 
 
+def in_degrees(edges: DataFrame) -> DataFrame:
+    """(node_id, in_degree) of nodes that an edge leads to."""
+    return edges.groupBy(F.col("to_id").alias("node_id")).agg(F.count(F.lit(1)).alias("in_degree"))
+
+
+def reached(edges: DataFrame, seeds: DataFrame, steps: int) -> DataFrame:
+    """Edges within so many steps from the seeds (node_id), each once: those that paths from there can have."""
+    scratch = Scratch(edges.sparkSession)
+    level = scratch.save(seeds.select("node_id").distinct(), "reached0")
+    seen = level
+    for k in range(1, steps):
+        new = edges.join(level, F.col("from_id") == F.col("node_id"), "left_semi").select(F.col("to_id").alias("node_id")).distinct()
+        level = scratch.save(new.join(seen, "node_id", "left_anti"), f"reached{k}")
+        seen = seen.unionByName(level)
+    return edges.join(seen, F.col("from_id") == F.col("node_id"), "left_semi")
+
+
 def neighbors(nodes: DataFrame, edges: DataFrame, of: DataFrame) -> DataFrame:
     """One hop out and in of the ids in `of` (node_id); a missing neighbour keeps its row with null name."""
     out = edges.join(of.select(F.col("node_id").alias("from_id")), "from_id").select("edge_id", "kind", F.lit("out").alias("direction"), F.col("to_id").alias("node_id"))
@@ -64,10 +81,20 @@ def paths(edges: DataFrame, source: str, target: str, max_depth: int = 5) -> Dat
     return done
 
 
+def astray(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges that come from no node, and those that lead to none. The ids that are missing are found first and written, so that
+    where they are few they go to the edges, which then aren't shuffled."""
+    scratch, out = Scratch(edges.sparkSession), []
+    for end in ("from_id", "to_id"):
+        lost = scratch.save(edges.select(end).distinct().join(nodes.select("node_id"), F.col(end) == F.col("node_id"), "left_anti"), end)
+        out.append(edges.join(lost, end, "left_semi").select(*edges.columns).unionByName(edges.where(F.col(end).isNull())))
+    return out[0], out[1]
+
+
 def dangling(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges of which an end isn't a node."""
-    ids = nodes.select("node_id")
-    return edges.join(ids, F.col("from_id") == F.col("node_id"), "left_anti").select("edge_id").unionByName(edges.join(ids, F.col("to_id") == F.col("node_id"), "left_anti").select("edge_id")).distinct()
+    one, other = astray(nodes, edges)
+    return one.select("edge_id").unionByName(other.select("edge_id")).distinct()
 
 
 def many_parents(edges: DataFrame) -> DataFrame:

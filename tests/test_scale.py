@@ -29,3 +29,54 @@ def test_one_pass_over_the_vectors_answers_many_queries(spark, saved):
     each = df.join(F.broadcast(queries), F.size("embedding") == F.size("query")).select("query_id", "vec_id", search.cosine(F.col("embedding"), F.col("query")).alias("score"))
     want = each.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where("r <= 5").drop("r").collect()
     assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture
+def graphs(monkeypatch):
+    """No graph is held yet."""
+    from lodegraph import catalogue
+
+    for name in ("_nodes_of", "_links_of", "_counts", "_indexes"):
+        monkeypatch.setattr(catalogue, name, {})
+    return catalogue
+
+
+def test_nodes_are_read_without_edges(spark, saved, graphs):
+    assert graphs.QUERIES["declared_filters"](spark, SF).count() == 30
+    assert list(saved) == ["nodes"]
+
+
+@pytest.mark.parametrize("name", ["graph_invariants", "neighbors", "dangling_edges", "impact_bfs_d3", "boost_zero", "in_degree"])
+def test_edges_are_held_by_numbers(spark, saved, graphs, name):
+    """Digests are written of no more edges than a query tells of: none of all edges."""
+    assert graphs.QUERIES[name](spark, SF).count() > 0
+    assert dict((f.name, f.dataType.simpleString()) for f in saved["links"]) == {"from_id": "bigint", "to_id": "bigint", "kind": "string"}
+    assert "edges" not in saved and "edge_id" not in {f.name for t in saved.values() for f in t}
+
+
+def test_nodes_of_one_key_have_edges_of_their_own(spark, graphs, tmp_path):
+    """A key that comes twice: the edges are those of the SQL, whose joins are by digests."""
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("region", "nation", "supplier", "customer", "part", "lineitem"):
+        more = {"supplier": " UNION ALL SELECT s_suppkey, 'Again', s_nationkey, s_acctbal FROM x WHERE s_suppkey = 1", "nation": " UNION ALL SELECT 99, 'NOWHERE', NULL"}.get(t, "")
+        con.sql(f"COPY (WITH x AS (FROM '{SF}/{t}.parquet') SELECT * FROM x{more}) TO '{tmp_path}/{t}.parquet'")
+        con.sql(f"CREATE VIEW {t} AS FROM '{tmp_path}/{t}.parquet'")
+    for name in ("edge_ids", "in_degree", "out_degree", "distinct_counts", "forest_check", "dangling_edges", "demote_missing", "neighbors"):
+        want = con.sql(graphs.SQL[name])
+        got = graphs.QUERIES[name](spark, str(tmp_path)).select(*want.columns).collect()
+        assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want.fetchall())), name
+
+
+def test_edges_with_a_missing_end(spark):
+    from lodegraph.operators import graph
+
+    nodes = spark.createDataFrame([("a",), ("b",)], "node_id string")
+    edges = spark.createDataFrame([("e1", "a", "b"), ("e2", "a", "x"), ("e3", "y", "b"), ("e4", "y", "x"), ("e5", "a", None), ("e6", None, "b")], "edge_id string, from_id string, to_id string")
+    one, other = graph.astray(nodes, edges)
+    assert sorted(r.edge_id for r in one.collect()) == ["e3", "e4", "e6"] and sorted(r.edge_id for r in other.collect()) == ["e2", "e4", "e5"]
+    assert sorted(r.edge_id for r in graph.dangling(nodes, edges).collect()) == ["e2", "e3", "e4", "e5", "e6"]
