@@ -11,29 +11,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodegraph.scratch import Scratch, numbered, shared_folder  # noqa: F401  (re-exported to the operators)
-from lodegraph.shipping import ship
+from lodegraph.shipping import ARROW_ROWS, BATCH_BYTES, bounded_arrow, ship  # noqa: F401  (re-exported to the operators)
 
 #: ASCII white space; a word is a longest run of other characters.
 SPACES = " \t\n\x0b\f\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]"
-#: Rows and bytes of text that a Python worker takes at once.
-ARROW_ROWS = 512
-BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_arrow(spark: SparkSession) -> None:
-    """Keeps what is read at once, and what passes between the JVM and Python, small enough for long texts; ships the
-    package. These settings of the session stay."""
-    ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", ARROW_ROWS)
-
-
 def text_or_empty(text: str | Column) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 

@@ -15,7 +15,7 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from lodegraph.functions.text import redact_preview
 from lodegraph.scratch import Scratch
-from lodegraph.shipping import ship
+from lodegraph.shipping import bounded_arrow, ship
 
 PATTERN_LIMIT = 10 << 20
 
@@ -63,47 +63,81 @@ def checked(pattern: str, is_regex: bool) -> str:
     return pattern
 
 
-MATCHES = "root string, path string, line long, column long, end_line long, end_column long, start long, end long, line_text string"
+MATCHES = {"root": pa.string(), "path": pa.string(), "line": pa.int64(), "column": pa.int64(), "end_line": pa.int64(), "end_column": pa.int64(), "start": pa.int64(), "end": pa.int64(), "line_text": pa.string()}
+#: Matches, and bytes of their lines, that a worker hands on at once.
+MOST_MATCHES, MOST_BYTES = 4096, 4 << 20
 
 
-def direct(files: DataFrame, pattern: str, is_regex: bool = False, limit: int | None = None) -> DataFrame:
+def direct(files: DataFrame, pattern: str, is_regex: bool = False, limit: int | None = None, previews: bool = True) -> DataFrame:
     """(root, path, line, column, end_line, end_column, start, end, preview) of every match, a row each: places are 1-based lines and columns in
-    characters, and byte offsets; previews are the lines of the match, redacted. Matches may span lines. `limit` is by path
-    and place. Only a literal can be asked of the file's text before it leaves the JVM."""
+    characters, and byte offsets; previews are the lines of the match, redacted, if they are asked for. Matches may span lines.
+    `limit` is by path and place. Only a literal can be asked of the file's text before it leaves the JVM."""
     own = checked(pattern, is_regex)
-    ship(files.sparkSession)
+    bounded_arrow(files.sparkSession)
+    kinds = dict(list(MATCHES.items())[: None if previews else -1])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        from lodegraph.packs.facts import Places
-
         compiled = regex.compile(own, regex.MULTILINE)
-        names = [x.split(" ")[0] for x in MATCHES.split(", ")]
-        kinds = [pa.string()] * 2 + [pa.int64()] * 6 + [pa.string()]
-        for batch in batches:
-            rows: list[tuple] = []
-            for root, path, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                text = content.decode("utf-8", "surrogateescape") if isinstance(content, bytes) else content
-                places, before = None, -1
-                for m in compiled.finditer(text or ""):
-                    if m.start() == m.end() == before:  # an empty match right after another one is none
-                        continue
-                    before = m.end()
-                    places = places or Places(text)
-                    (start, line, column), (end, end_line, end_column) = places.at(m.start()), places.at(m.end())
-                    low, high = text.rfind("\n", 0, m.start()) + 1, text.find("\n", m.end())
-                    shown = text[low : high if high >= 0 else len(text)].encode("utf-8", "surrogateescape").decode("utf-8", "replace").strip()
-                    rows.append((root, path, line, column, end_line, end_column, start, end, shown))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+        found = (m for batch in batches for m in matches(batch, compiled, previews))
+        for rows in bounded(found):
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds.values(), strict=True)], list(kinds))
 
     given = files if is_regex else files.where(F.col("content").cast("string").contains(pattern))
-    found = given.select("root", "path", "content").mapInArrow(work, MATCHES.replace("end long", "`end` long"))
-    out = found.withColumn("preview", redact_preview(F.col("line_text"))).drop("line_text")
+    found = given.select("root", "path", "content").mapInArrow(work, ", ".join(f"`{n}` {'string' if k == pa.string() else 'long'}" for n, k in kinds.items()))
+    out = found.withColumn("preview", redact_preview(F.col("line_text"))).drop("line_text") if previews else found
     return out if limit is None else out.orderBy("root", "path", "start").limit(limit)
 
 
+def matches(batch: pa.RecordBatch, compiled, previews: bool) -> Iterator[tuple]:
+    """Rows of MATCHES of a batch of files. Places are told from the match before, so that long lines are not read again for
+    each of their matches."""
+    for root, path, content in zip(*batch.columns, strict=True):
+        content = content.as_py()
+        text = (content.decode("utf-8", "surrogateescape") if isinstance(content, bytes) else content) or ""
+        own = root.as_py(), path.as_py()
+        before, place, low, high, shown = -1, (0, 0, 1, 1), 0, -1, None
+        for m in compiled.finditer(text):
+            if m.start() == m.end() == before:  # an empty match right after another one is none
+                continue
+            before = m.end()
+            start = _moved(text, place, m.start())
+            place = end = _moved(text, start, m.end())
+            row = (*own, start[2], start[3], end[2], end[3], start[1], end[1])
+            if not previews:
+                yield row
+                continue
+            if not low <= m.start() <= m.end() <= high:
+                low, high = text.rfind("\n", 0, m.start()) + 1, text.find("\n", m.end())
+                high = high if high >= 0 else len(text)
+                shown = text[low:high].encode("utf-8", "surrogateescape").decode("utf-8", "replace").strip()
+                if "\n" in text[low:high]:  # the lines of this match alone
+                    high = -1
+            yield (*row, shown)
+
+
+def _moved(text: str, place: tuple[int, int, int, int], to: int) -> tuple[int, int, int, int]:
+    """(character, byte, line, column) of a later character."""
+    at, byte, line, column = place
+    between = text[at:to]
+    lines = between.count("\n")
+    return to, byte + len(between.encode("utf-8", "surrogateescape")), line + lines, len(between) - between.rfind("\n") if lines else column + len(between)
+
+
+def bounded(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
+    """Rows in lists of MOST_MATCHES at most; what is shown of them has about MOST_BYTES at most."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[-1]) if isinstance(row[-1], str) else 0
+        if len(held) == MOST_MATCHES or size >= MOST_BYTES:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def tokens(text: Column) -> Column:
     """Lower-cased runs of letters and digits."""
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([\\p{L}\\p{N}]+)"), F.lit(1))

@@ -80,3 +80,30 @@ def test_edges_with_a_missing_end(spark):
     one, other = graph.astray(nodes, edges)
     assert sorted(r.edge_id for r in one.collect()) == ["e3", "e4", "e6"] and sorted(r.edge_id for r in other.collect()) == ["e2", "e4", "e5"]
     assert sorted(r.edge_id for r in graph.dangling(nodes, edges).collect()) == ["e2", "e3", "e4", "e5", "e6"]
+
+
+def test_spans_carry_no_lines(spark):
+    from lodegraph import catalogue
+
+    assert "line_text" not in catalogue.direct_spans(spark, SF)._jdf.queryExecution().toString()
+
+
+def test_matches_of_a_long_line_are_handed_on_in_parts(spark):
+    """A worker holds few lines at once, though each match has its line."""
+    most = []
+    text = "x é the y" + " the" * 6000 + "\nand the end"
+    import pyarrow as pa
+    import regex
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["r"]), pa.array(["p"]), pa.array([text])], ["root", "path", "content"])
+    for rows in search.bounded(search.matches(batch, regex.compile(" the"), True)):
+        most.append((len(rows), sum(len(r[-1]) for r in rows)))
+    assert sum(n for n, _ in most) == 6002 and max(b for _, b in most) < search.MOST_BYTES + len(text)
+    df = spark.createDataFrame([("r", "p", text)], "root string, path string, content string")
+    got = {r.start: r for r in search.direct(df, " the").collect()}
+    for start in (4, 10 + 4 * 5999, len("x é the y".encode()) + 24000 + 4):
+        before = text.encode()[:start].decode()
+        assert (got[start].line, got[start].column) == (before.count("\n") + 1, len(before) - before.rfind("\n")) and len(got) == 6002
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10000)
+    search.direct(df, " the")
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 512
