@@ -273,7 +273,7 @@ class Transaction:
         """The inverted index from the canonical nodes, marked as current."""
         claims = known_kinds(self["nodes"], "nodes")
         nodes = claims.groupBy("node_id").agg(*(F.min_by(c, "owner").alias(c) for c in ("name", "qualified_name", "path", "attributes")))
-        self["postings"] = lexical.postings(nodes).repartitionByRange("token").sortWithinPartitions("token")
+        self["postings"] = lexical.postings(nodes)
         self["lengths"] = lexical.lengths(nodes)
         self.acknowledge_index("lexical", int(self.meta.get("revision", self.view.revision())))
 

@@ -41,11 +41,14 @@ def _texts(nodes: DataFrame) -> DataFrame:
     return nodes.select("node_id", *(F.col(f) for f in FIELDS[:-1]), values.alias("attributes"))
 
 
-def postings(nodes: DataFrame) -> DataFrame:
-    """(token, node_id, field, places): a row for each token of a field of a node."""
+def postings(nodes: DataFrame, tasks: int | None = None) -> DataFrame:
+    """(token, node_id, field, places): a row for each token of a field of a node, in the order of tokens. One shuffle: tokens
+    are dealt by range over the session's partitions or `tasks`, a token that most nodes have over many of them, and gathered
+    where they are."""
     of = F.array(*(F.struct(F.lit(k).alias("field"), tokens(F.col(f)).alias("ts")) for k, f in enumerate(FIELDS)))
     flat = _texts(nodes).select("node_id", F.explode(of).alias("x")).select("node_id", "x.field", F.posexplode("x.ts").alias("at", "token"))
-    return flat.groupBy("token", "node_id", "field").agg(F.sort_array(F.collect_list("at")).alias("places"))
+    dealt = flat.repartitionByRange(*(() if tasks is None else (tasks,)), "token", "node_id", "field")
+    return dealt.groupBy("token", "node_id", "field").agg(F.sort_array(F.collect_list("at")).alias("places")).sortWithinPartitions("token", "node_id", "field")
 
 
 def lengths(nodes: DataFrame) -> DataFrame:

@@ -107,3 +107,18 @@ def test_matches_of_a_long_line_are_handed_on_in_parts(spark):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10000)
     search.direct(df, " the")
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 512
+
+
+def test_a_token_of_all_nodes_is_gathered_by_many_tasks(spark):
+    from lodegraph.operators import lexical
+
+    nodes = spark.range(4000).selectExpr("id AS node_id", "'src src' AS name", "'' AS qualified_name", "'' AS path", "'' AS attributes")
+    posted = lexical.postings(nodes, 8)
+    assert sorted(r.places for r in posted.collect()) == [[0, 1]] * 4000
+    each = [r["count"] for r in posted.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(each) == 8 and max(each) < 1000 and {r.token for r in posted.collect()} == {"src"}
+
+
+def test_the_index_is_held_by_numbers(spark, saved, graphs):
+    graphs.QUERIES["lexical_hits"](spark, SF).count()
+    assert "links" not in saved and saved["postings"]["node_id"].dataType.simpleString() == saved["lengths"]["node_id"].dataType.simpleString() == "bigint"
