@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lodegraph.model import RANGE, owner, provenance, shaped
 from lodegraph.packs import PACKS, Pack, extract
-from lodegraph.shipping import ship
+from lodegraph.shipping import bounded_arrow
 
 KINDS = {
     "tag": pa.string(), "root": pa.string(), "path": pa.string(), "artifact_class": pa.string(), "language": pa.string(), "producer": pa.string(), "version": pa.string(),
@@ -25,7 +25,7 @@ ROWS = 4096
 def tagged(files: DataFrame, packs: tuple[Pack, ...] = PACKS) -> DataFrame:
     """A row for each fact (`tag`: node, edge, unresolved, diagnostic) of files (root, path, content[, artifact_class]), and a
     row `skip` for each file that no pack takes. Content may be text or bytes; null content is skipped too."""
-    ship(files.sparkSession)
+    bounded_arrow(files.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []

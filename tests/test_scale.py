@@ -122,3 +122,19 @@ def test_a_token_of_all_nodes_is_gathered_by_many_tasks(spark):
 def test_the_index_is_held_by_numbers(spark, saved, graphs):
     graphs.QUERIES["lexical_hits"](spark, SF).count()
     assert "links" not in saved and saved["postings"]["node_id"].dataType.simpleString() == saved["lengths"]["node_id"].dataType.simpleString() == "bigint"
+
+
+@pytest.mark.parametrize("name", ["pack_java", "pack_markdown"])
+def test_files_of_a_small_table_are_extracted_by_many_tasks(spark, graphs, monkeypatch, name):
+    assert graphs.QUERIES[name](spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(graphs, "TASK_FILES", 10)
+    assert graphs.QUERIES[name](spark, SF).rdd.getNumPartitions() == 20
+
+
+def test_both_batches_of_an_index_are_extracted_by_many_tasks(spark, graphs, monkeypatch):
+    from lodegraph.operators import extract
+
+    tasks, tagged = [], extract.tagged
+    monkeypatch.setattr(extract, "tagged", lambda files, packs: (tasks.append(files.rdd.getNumPartitions()), tagged(files, packs))[1])
+    assert graphs.QUERIES["index_claims"](spark, SF).count() == 200
+    assert len(tasks) == 2 and min(tasks) >= spark.sparkContext.defaultParallelism
